@@ -95,8 +95,13 @@ def parse_values(values: DataFrame, schema: T.StructType, column: str = "value")
     """JSON text or bytes to typed columns, next to the other columns. Malformed text gives
     nulls throughout; a field of the wrong type gives a null for that field alone."""
     others = [name for name in values.columns if name != column]
-    parsed = F.from_json(F.col(column).cast("string"), schema)
-    return values.select(*others, parsed.alias("data")).select(*others, "data.*")
+    return values.select(*others, _parsed(F.col(column).cast("string"), schema))
+
+
+def _parsed(text: Column, schema: T.StructType, options: dict[str, str] | None = None) -> Column:
+    """The parsed fields as columns. They come out of a generator because conditions on them
+    would otherwise be pushed into the scan with one more parse of the text for each."""
+    return F.inline(F.array(F.from_json(text, schema, options or {})))
 
 
 def scorer_rows(values: DataFrame) -> DataFrame:
@@ -111,7 +116,7 @@ def _reject_reason() -> Column:
     def bad_id(name: str) -> Column:
         return F.col(name).isNotNull() & id_or_null(F.col(name)).isNull()
 
-    checks = {"bad_json": F.col("whole").isNull()}
+    checks = {"bad_json": F.col("whole").isNotNull() | F.col("value").isNull()}
     for name in ("user_id", "product_id"):
         checks[f"missing_{name}"] = F.col(name).isNull()
         checks[f"bad_{name}"] = bad_id(name)
@@ -125,17 +130,11 @@ def _reject_reason() -> Column:
 
 def checked_messages(values: DataFrame) -> DataFrame:
     """Every message with its text, parsed fields (still untrusted text) and `reason`."""
-    corrupt = T.StructField("whole", T.StringType())
-    schema = T.StructType([*RAW_MESSAGE.fields, corrupt])
+    schema = T.StructType([*RAW_MESSAGE.fields, T.StructField("whole", T.StringType())])
     options = {"columnNameOfCorruptRecord": "whole"}
     text = F.col("value").cast("string")
-    parsed = values.select(text.alias("value"), F.from_json(text, schema, options).alias("data"))
-    fields = parsed.select(
-        "value",
-        *[F.col(f"data.{f.name}") for f in RAW_MESSAGE.fields],
-        F.when(F.col("data.whole").isNull(), F.col("value")).alias("whole"),
-    )
-    return fields.withColumn("reason", _reject_reason()).drop("whole")
+    parsed = values.select(text.alias("value"), _parsed(text, schema, options))
+    return parsed.withColumn("reason", _reject_reason()).drop("whole")
 
 
 def quarantined(checked: DataFrame) -> DataFrame:

@@ -26,14 +26,12 @@ def recommend_top(scores: DataFrame, products: DataFrame, limit: int = 200) -> D
 
 
 def recommend_all(scores: DataFrame, products: DataFrame, limit: int = 20) -> DataFrame:
-    """Each user's products by score. Spark cuts to `limit` rows per user within each task
-    before the shuffle, so a user with very many products does not fill one task."""
+    """Each user's products by score; `scores` has one row per pair. Spark cuts to `limit`
+    rows per user within each task before the shuffle, so a user with very many products
+    does not fill one task."""
     order = Window.partitionBy("user_id").orderBy(F.desc("score"), "product_id")
-    totals = scores.groupBy("user_id", "product_id").agg(
-        F.sum("popularity_score").alias("score")
-    )
     return (
-        _named(totals, products)
+        _named(scores.withColumnRenamed("popularity_score", "score"), products)
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= limit)
         .select("user_id", "product_id", "name", "category", "score", "rank")
@@ -200,7 +198,7 @@ def _unseen_places(history: DataFrame, n: int, n_products: int, block: int) -> D
 
 
 def recommend_unseen(
-    interactions: DataFrame,
+    pairs: DataFrame,
     staging: Staging,
     n: int = 5,
     near_rows: int = BROADCAST_ROWS,
@@ -208,18 +206,15 @@ def recommend_unseen(
 ) -> DataFrame:
     """Each user's `n` most popular products without an interaction.
 
+    `pairs` is a stored table of interactions, one row per pair; it is read several times.
     Popularity order is the same for everybody, so a user with h products finds the answer
-    among the first n + h places. Writes its intermediate tables to `staging`; the only
-    values the driver sees are two counts.
+    among the first n + h places. The ranking is written to `staging`; the only values the
+    driver sees are two counts.
     """
-    pairs = staging.put(
-        interactions.select("user_id", "product_id", "interaction_score"), "interactions"
-    )
     ranked = rank_products(product_popularity(pairs), staging)
     n_products = ranked.count()
-    longest = (
-        pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("h")).agg(F.max("h")).first()[0] or 0
-    )
+    per_user = pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("h"))
+    longest = per_user.agg(F.max("h")).first()[0] or 0
     reach = min(n + longest, n_products)
     history = _join_places(
         pairs.select("user_id", "product_id"), ranked, "product_id", ["place"], reach, near_rows
@@ -231,9 +226,10 @@ def recommend_unseen(
     return named.select("user_id", "product_id", "popularity_score", "rank")
 
 
-def unseen_counts(interactions: DataFrame) -> DataFrame:
-    """How many products each user has yet to touch. Every product in a history is in the
-    catalogue of interactions, so this is a subtraction, not a product of the two."""
-    catalogue = interactions.select("product_id").distinct().agg(F.count("product_id")).scalar()
-    touched = interactions.groupBy("user_id").agg(F.count("product_id").alias("n_touched"))
+def unseen_counts(pairs: DataFrame) -> DataFrame:
+    """How many products each user has yet to touch; `pairs` as above. Every product in a
+    history is in the catalogue of interactions, so this is a subtraction, not a product of
+    the two."""
+    catalogue = pairs.select("product_id").distinct().agg(F.count("product_id")).scalar()
+    touched = pairs.groupBy("user_id").agg(F.count("product_id").alias("n_touched"))
     return touched.select("user_id", (catalogue - F.col("n_touched")).alias("n_candidates"))

@@ -98,7 +98,7 @@ def click_events(data: Canonical) -> DataFrame:
 
 @query
 def rejected_events(data: Canonical) -> DataFrame:
-    return cleaning.rejected_events(data.raw_events(), data.sessions())
+    return cleaning.rejected_events(data.raw_events(), data.session_owners())
 
 
 @query
@@ -132,7 +132,7 @@ def key_check(data: Canonical) -> DataFrame:
         "customers": data.customers(),
         "products": data.products(),
         "orders": data.orders(),
-        "sessions": data.sessions(),
+        "sessions": data.session_owners(),
         "user_click_logs": data.click_log(),
         "user_recommendations": landing.score_increments(data.click_log()),
     }
@@ -149,7 +149,7 @@ def load_audit(data: Canonical) -> DataFrame:
             "products": data.products(),
             "orders": data.orders(),
             "order_items": data.order_items(),
-            "sessions": data.sessions(),
+            "sessions": data.session_owners(),
             "events": data.click_log(),
         }
     )
@@ -160,17 +160,21 @@ def load_audit(data: Canonical) -> DataFrame:
 
 def _interactions(data: Canonical) -> DataFrame:
     return interactions.interactions(
-        data.click_log(), data.sessions(), data.orders(), data.order_items()
+        data.click_log(), data.session_owners(), data.orders(), data.order_items()
     )
 
 
+def _stored_interactions(data: Canonical, staging: Staging) -> DataFrame:
+    return staging.put(_interactions(data), "interactions")
+
+
 def _scores(data: Canonical) -> DataFrame:
     return landing.score_increments(data.click_log())
 
 
 @query
 def interactions_view(data: Canonical) -> DataFrame:
-    return interactions.sum_pairs(interactions.scored_views(data.click_log(), data.sessions()))
+    return interactions.sum_pairs(interactions.scored_views(data.click_log(), data.session_owners()))
 
 
 @query
@@ -195,12 +199,13 @@ def top_products(data: Canonical) -> DataFrame:
 
 @query
 def candidates_unseen(data: Canonical) -> DataFrame:
-    return recommend.unseen_counts(_interactions(data))
+    return recommend.unseen_counts(_stored_interactions(data, Staging(data.spark)))
 
 
 @query
 def recommend_unseen(data: Canonical) -> DataFrame:
-    return recommend.recommend_unseen(_interactions(data), Staging(data.spark))
+    staging = Staging(data.spark)
+    return recommend.recommend_unseen(_stored_interactions(data, staging), staging)
 
 
 @query
@@ -287,12 +292,12 @@ def country_intensity(data: Canonical) -> DataFrame:
 
 @query
 def device_source(data: Canonical) -> DataFrame:
-    return daily.device_source(data.click_log(), data.sessions())
+    return daily.device_source(data.click_log(), data.session_origins())
 
 
 @query
 def traffic_breakdown(data: Canonical) -> DataFrame:
-    return daily.traffic_breakdown(daily.device_source(data.click_log(), data.sessions()))
+    return daily.traffic_breakdown(daily.device_source(data.click_log(), data.session_origins()))
 
 
 @query

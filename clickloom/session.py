@@ -43,6 +43,8 @@ def streaming_session(spark: SparkSession) -> SparkSession:
     sibling = spark.newSession()
     sibling.conf.set("spark.sql.session.timeZone", UTC)
     sibling.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # Commit the changes of a batch, not the whole state.
+    sibling.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     cores = spark.sparkContext.defaultParallelism
     sibling.conf.set("spark.sql.shuffle.partitions", str(cores))
     return sibling

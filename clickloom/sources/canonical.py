@@ -32,9 +32,12 @@ class Canonical:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._given: dict[str, DataFrame] = {}
 
     def given(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._given:
+            self._given[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._given[name]
 
     def customers(self) -> DataFrame:
         nations = self.given("nation").select(
@@ -102,7 +105,7 @@ class Canonical:
                 F.col("user_id") * SESSIONS_PER_USER
                 + F.date_diff(day, F.lit(FIRST_DAY).cast("date"))
             ).alias("session_id"),
-            F.col("value").alias("value"),
+            "value",
             day.alias("event_date"),
         )
         kind_is = F.col("event_type")
@@ -119,23 +122,27 @@ class Canonical:
             }
         ).select(*CLICK_LOG.names)
 
-    def sessions(self) -> DataFrame:
+    def session_owners(self) -> DataFrame:
         """A session is a user's day."""
-        people = self.customers().select("customer_id", "country")
-        number = F.col("session_id")
         return (
             self.click_log()
             .groupBy("session_id", F.col("user_id").alias("customer_id"))
             .agg(F.min("timestamp").alias("start_time"))
+        )
+
+    def session_origins(self) -> DataFrame:
+        number = F.col("session_id")
+        return self.session_owners().withColumns(
+            {"device": _pick(DEVICES, number), "source": _pick(SOURCES, number)}
+        )
+
+    def sessions(self) -> DataFrame:
+        """With the country of the customer."""
+        people = self.customers().select("customer_id", "country")
+        return (
+            self.session_origins()
             .join(people, "customer_id", "left")
-            .select(
-                "session_id",
-                "customer_id",
-                "start_time",
-                _pick(DEVICES, number).alias("device"),
-                _pick(SOURCES, number).alias("source"),
-                "country",
-            )
+            .select("session_id", "customer_id", "start_time", "device", "source", "country")
         )
 
     def raw_events(self) -> DataFrame:

@@ -122,6 +122,8 @@ def land(values: DataFrame, root: str) -> DataStreamWriter:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
+            if batch.isEmpty():
+                return
             clicks = accepted(batch)
             days = log_rows(clicks).hint("rebalance", "event_date")
             _write_batch_partitions(days, batch_id, f"{root}/click_log", ["event_date"])
