@@ -37,7 +37,11 @@ def testdata() -> str:
     return str(folder)
 
 
+def executed_plan(frame) -> str:
+    """The physical plan of a frame that has been run, with adaptive choices final."""
+    return frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
 def plan_of(frame) -> str:
-    """The physical plan, after running it, so that adaptive choices are final."""
     frame.collect()
-    return frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return executed_plan(frame)
