@@ -24,7 +24,11 @@ def conform(frame: DataFrame, schema: T.StructType) -> DataFrame:
         if field.name not in frame.columns:
             value = F.lit(None).cast(field.dataType)
         else:
-            value = F.col(field.name).try_cast(field.dataType)
+            value = F.col(field.name)
+            if isinstance(field.dataType, T.IntegralType):
+                # A column with gaps is often written as 11.0.
+                value = value.try_cast(T.DecimalType(38, 6))
+            value = value.try_cast(field.dataType)
             if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
                 value = number_or_null(value)
         return value.alias(field.name)

@@ -22,6 +22,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.warehouse.dir", str(scratch / "warehouse"))
         .config("spark.sql.maxPlanStringLength", "1000000")
         .config("spark.sql.debug.maxToStringFields", "200")
+        .config("spark.sql.maxMetadataStringLength", "10000")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
