@@ -15,33 +15,40 @@ from clickloom.functions.labels import (
     product_fallback,
     score_label,
 )
+from clickloom.functions.periods import utc_day
 from clickloom.functions.scoring import LIVE, score
+from clickloom.operators.daily import on_day
 from clickloom.operators.landing import EVENT_KEY, dedup_events
 
+BEFORE_ALL = "0001-01-01"
+
 
 def recent_days(log: DataFrame, limit: int) -> DataFrame:
     """Only the newest days that together hold `limit` timed events; the rest of a log
-    partitioned by day is not read. Exact: the days come from the counts per day."""
-    timed = log.filter(F.col("timestamp").isNotNull())
-    daily = timed.groupBy("event_date").agg(F.count(F.lit(1)).alias("n"))
+    partitioned by day is not read. Exact: the days come from the counts per day, which need
+    no column but the partition's own (it is null where the time is)."""
+    dated = log.filter(F.col("event_date").isNotNull())
+    daily = dated.groupBy("event_date").agg(F.count(F.lit(1)).alias("n"))
     # One row per day.
     newer = Window.orderBy(F.desc("event_date")).rowsBetween(Window.unboundedPreceding, -1)
     needed = daily.select(
         "event_date", F.coalesce(F.sum("n").over(newer), F.lit(0)).alias("newer")
     ).filter(F.col("newer") < limit)
-    return timed.filter(F.col("event_date") >= needed.agg(F.min("event_date")).scalar())
-
-
-def recent_distinct_days(
-    log: DataFrame, limit: int, key: Sequence[str] = EVENT_KEY
-) -> DataFrame:
-    """As `recent_days`, for a log with copies: the newest day alone if it holds `limit`
-    distinct events, else everything."""
-    timed = log.filter(F.col("timestamp").isNotNull())
-    newest = timed.agg(F.max("event_date")).scalar()
-    distinct = timed.filter(F.col("event_date") == newest).select(*key).distinct()
-    enough = distinct.agg(F.count(F.lit(1)) >= limit).scalar()
-    return timed.filter(~enough | (F.col("event_date") == newest))
+    return dated.filter(F.col("event_date") >= needed.agg(F.min("event_date")).scalar())
+
+
+def recent_distinct(log: DataFrame, limit: int, key: Sequence[str] = EVENT_KEY) -> DataFrame:
+    """As `recent_days`, for a log with copies: only events as new as the `limit`-th distinct
+    one. Exact: the bound comes from the newest day's distinct keys, and where that day has
+    too few of them nothing is left out. Copies share their time because it is in the key;
+    with another key there is no such bound and the log is returned whole."""
+    if "timestamp" not in key:
+        return log
+    distinct = on_day(log).select(*key).distinct()
+    top = distinct.orderBy(F.desc("timestamp")).limit(limit)
+    enough = F.when(F.count(F.lit(1)) >= limit, F.min("timestamp"))
+    bound = top.agg(F.coalesce(enough, F.lit(BEFORE_ALL).cast("timestamp"))).scalar()
+    return log.filter((F.col("event_date") >= utc_day(bound)) & (F.col("timestamp") >= bound))
 
 
 def latest(events: DataFrame, limit: int) -> DataFrame:

@@ -65,7 +65,7 @@ class Dashboard:
         return live.recent_events(live.recent_days(self.log, limit), limit)
 
     def live_feed(self, limit: int = 100) -> DataFrame:
-        return live.live_feed(live.recent_distinct_days(self.log, limit), limit)
+        return live.live_feed(live.recent_distinct(self.log, limit), limit)
 
     def top_products(self, buffer: int = 200, limit: int = 8) -> DataFrame:
         recent = live.recent_days(self.log, buffer)

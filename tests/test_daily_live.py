@@ -92,15 +92,18 @@ def test_recent_days_change_nothing(spark, log, limit):
     expected = rows(live.recent_events(log, limit))
     assert rows(live.recent_events(pruned, limit)) == expected
     copies = log.unionByName(log)
-    distinct = live.recent_distinct_days(copies, limit)
+    distinct = live.recent_distinct(copies, limit)
     assert rows(live.live_feed(distinct, limit)) == rows(live.live_feed(log, limit))
 
 
 def test_recent_days_leave_out_older_ones(log):
     assert live.recent_days(log, 4).count() == 4
     assert live.recent_days(log, 5).count() == 5
-    assert live.recent_distinct_days(log.unionByName(log), 4).count() == 8
-    assert live.recent_distinct_days(log.unionByName(log), 5).count() == 10
+    copies = log.unionByName(log)
+    assert live.recent_distinct(copies, 2).count() == 4
+    assert live.recent_distinct(copies, 4).count() == 8
+    assert live.recent_distinct(copies, 5).count() == 10
+    assert live.recent_distinct(copies, 2, ["user_id"]).count() == 10
 
 
 def test_live_feed_labels(log):
