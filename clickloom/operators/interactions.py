@@ -10,15 +10,17 @@ from clickloom.functions.scoring import BATCH, ORDER_SIGNAL, score
 PAIR = ("user_id", "product_id")
 
 
-def _known_pairs(frame: DataFrame) -> DataFrame:
-    return frame.filter(F.col("user_id").isNotNull() & F.col("product_id").isNotNull())
-
-
 def scored_views(events: DataFrame, sessions: DataFrame) -> DataFrame:
-    """One row per event with a session and a product, weighted."""
+    """Weighted events with the user of their session, summed per session and product before
+    the join: a session that holds much of the log then has one row per product."""
+    per_session = (
+        events.filter(F.col("product_id").isNotNull() & F.col("session_id").isNotNull())
+        .groupBy("session_id", "product_id")
+        .agg(F.sum(score(BATCH)).alias("interaction_score"))
+    )
     owners = sessions.select("session_id", F.col("customer_id").alias("user_id"))
-    joined = events.select("session_id", "product_id", "event_type").join(owners, "session_id")
-    return _known_pairs(joined).select(*PAIR, score(BATCH).alias("interaction_score"))
+    joined = per_session.join(owners.filter(F.col("user_id").isNotNull()), "session_id")
+    return joined.select(*PAIR, "interaction_score")
 
 
 def order_signals(orders: DataFrame, order_items: DataFrame) -> DataFrame:
@@ -29,9 +31,8 @@ def order_signals(orders: DataFrame, order_items: DataFrame) -> DataFrame:
     """
     buyers = orders.select("order_id", F.col("customer_id").alias("user_id"))
     joined = buyers.join(order_items.select("order_id", "product_id"), "order_id")
-    return _known_pairs(joined).select(
-        *PAIR, F.lit(ORDER_SIGNAL).cast("long").alias("interaction_score")
-    )
+    known = joined.filter(F.col("user_id").isNotNull() & F.col("product_id").isNotNull())
+    return known.select(*PAIR, F.lit(ORDER_SIGNAL).cast("long").alias("interaction_score"))
 
 
 def sum_pairs(rows: DataFrame) -> DataFrame:
@@ -41,8 +42,8 @@ def sum_pairs(rows: DataFrame) -> DataFrame:
 def interactions(
     events: DataFrame, sessions: DataFrame, orders: DataFrame, order_items: DataFrame
 ) -> DataFrame:
-    """Views and orders in one sum. The two row sets are united before the only aggregation,
-    so pairs are shuffled once."""
+    """Views and orders in one sum: the two row sets are united before pairs are shuffled, so
+    that happens once."""
     rows = scored_views(events, sessions).unionByName(order_signals(orders, order_items))
     return sum_pairs(rows)
 

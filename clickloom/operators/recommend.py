@@ -114,8 +114,9 @@ def _join_places(
     joined = rows.join(near, F.col(key) == F.col("key_near"), "left")
     found: dict[str, Column] = {c: F.col(f"{c}_near") for c in wanted}
     if reach > near_rows:
-        # Rows already placed get a null key here: they match nothing and AQE splits them.
-        rest = F.when(F.col("key_near").isNull(), F.col(key))
+        # Rows that are done go to partitions by a hash of themselves, not by their (hot) key
+        # or by one null; should the hash be someone's key, the near value still wins.
+        rest = F.when(F.col("key_near").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns))
         joined = joined.withColumn("rest", rest)
         joined = joined.join(
             part(near_rows, reach, "_far"), F.col("rest") == F.col("key_far"), "left"

@@ -153,7 +153,14 @@ def test_pairs_are_summed_in_one_shuffle(stored, sessions, spark):
     )
     plan = plan_of(interactions.interactions(stored, sessions, orders, items))
     assert plan.count("Exchange hashpartitioning(user_id") == 1
-    assert plan.count("HashAggregate") == 2
+
+
+def test_views_of_a_busy_session_are_summed_before_the_join(stored, sessions):
+    plan = plan_of(interactions.scored_views(stored, sessions))
+    join = plan.index("Join")
+    assert "partial_sum" in plan[join:] and "partial_sum" not in plan[:join]
+    views = interactions.scored_views(stored.filter("session_id = 0"), sessions)
+    assert views.count() == 1501
 
 
 def test_hot_keys_give_the_right_sums(stored, generated, sessions):
