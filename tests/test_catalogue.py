@@ -6,11 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from clickloom.plans import oracles
+from clickloom.plans.queries import CATALOGUE as QUERIES
 from compare import difference, register_tables
 from conftest import executed_plan
 
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+ORACLES = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +25,11 @@ def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_the_contract_offers_the_catalogue():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(ORACLES) <= set(contract.oracle_sql()) <= set(contract.queries())
+
+
 @pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_its_twin(spark, testdata, engine, name):
     frame = QUERIES[name](spark, testdata)
