@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clickloom.llm import url_filter
+from clickloom.llm import bpe, license_scan, url_filter
 from clickloom.sources.staging import Staging
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,3 +37,23 @@ URL_RULES = [
 @query
 def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.url_filter(table(spark, folder, "pages"), URL_RULES, Staging(spark))
+
+
+@query
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, folder, "documents")).drop("detections")
+
+
+@query
+def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    vocabulary = bpe.Vocabulary(spark, path)
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    encoded = bpe.encode(documents, vocabulary).drop("text")
+    decoded = bpe.decode(encoded.drop("token_offsets"), vocabulary)
+    return decoded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -94,8 +94,8 @@ def model(counts: DataFrame, support: int = SUPPORT) -> DataFrame:
     """(s, ratio, back): for a string read as context and symbol the log ratio of the classes'
     probabilities, and for a string read as context the log ratio of the weights with which the
     next shorter context is used. At most `support` strings per length and reading."""
-    total = counts.agg(F.sum(F.col("n_a") + F.col("n_r")).alias("total"))
-    least = F.broadcast(total.select((F.col("total") / support).alias("least")))
+    total = counts.agg(F.sum(F.col("n_a") + F.col("n_r"))).first()[0] or 0
+    least = total / support
     tables, below = [], None
     for k in range(ORDER + 1):
         grams = counts.groupBy(_suffix(F.col("gram"), k + 1).alias("s")).agg(
@@ -108,7 +108,8 @@ def model(counts: DataFrame, support: int = SUPPORT) -> DataFrame:
             F.sum(F.expr("int(n_a > 0)")).alias("t_a"),
             F.sum(F.expr("int(n_r > 0)")).alias("t_r"),
         )
-        kept = _supported(grams.withColumn("c", context), least, "n_a + n_r").join(contexts, "c")
+        frequent = grams.filter(F.col("n_a") + F.col("n_r") >= least).withColumn("c", context)
+        kept = frequent.join(contexts, "c")
         if below is None:
             kept = kept.withColumns({"q_a": F.lit(1.0 / ALPHABET), "q_r": F.lit(1.0 / ALPHABET)})
         else:
@@ -119,17 +120,13 @@ def model(counts: DataFrame, support: int = SUPPORT) -> DataFrame:
         tables.append(kept.select("s", F.log(F.col("p_a") / F.col("p_r")).alias("ratio"), F.lit(None).cast("double").alias("back")))
         if k:
             back = F.log(_weight("a") / _weight("r"))
-            frequent = _supported(contexts, least, "c_a + c_r")
-            tables.append(frequent.select(F.col("c").alias("s"), F.lit(None).cast("double").alias("ratio"), back.alias("back")))
+            known = contexts.filter(F.col("c_a") + F.col("c_r") >= least)
+            tables.append(known.select(F.col("c").alias("s"), F.lit(None).cast("double").alias("ratio"), back.alias("back")))
     return reduce(DataFrame.unionByName, tables).groupBy("s").agg(
         F.max("ratio").alias("ratio"), F.max("back").alias("back")
     )
 
 
-def _supported(frame: DataFrame, least: DataFrame, count: str) -> DataFrame:
-    return frame.join(least, F.expr(f"{count} >= least")).drop("least")
-
-
 def _smoothed(x: str) -> Column:
     n, c, t, q = (F.col(f"{name}_{x}") for name in "nctq")
     return F.when(c == 0, q).otherwise((n + t * q) / (c + t))
@@ -152,8 +149,7 @@ def scored(urls: DataFrame, learned: DataFrame) -> DataFrame:
             as_context = learned.filter("back IS NOT NULL").select(F.col("s").alias(f"c{n}"), F.col("back").alias(f"back{n}"))
             before = F.substring("gram", ORDER + 1 - n, n)
             rows = rows.withColumn(f"c{n}", before).join(F.broadcast(as_context), f"c{n}", "left").drop(f"c{n}")
-    term, backed = F.lit(None), F.lit(0.0)
-    terms = []
+    terms, backed = [], F.lit(0.0)
     for n in range(ORDER + 1, 0, -1):
         terms.append(F.col(f"ratio{n}") + backed)
         if n > 1:
@@ -162,9 +158,9 @@ def scored(urls: DataFrame, learned: DataFrame) -> DataFrame:
     return rows.groupBy(*keys).agg(F.avg(term).alias("score"))
 
 
-def threshold(judged: DataFrame) -> DataFrame:
-    """One row, `threshold`: where held-out accepted and rejected URLs are told apart best (the
-    largest difference of the two shares, by a histogram of fixed size). Null without both."""
+def threshold(judged: DataFrame) -> float | None:
+    """Where held-out accepted and rejected URLs are told apart best: the largest difference of
+    the two shares, by a histogram of fixed size. None without both."""
     bounded = F.least(F.greatest(F.col("score"), F.lit(-LARGEST_SCORE)), F.lit(LARGEST_SCORE))
     bins = judged.groupBy(F.floor(bounded * BINS_PER_NAT).alias("bin")).agg(
         F.coalesce(F.sum(F.when(F.col("accepted"), F.col("copies"))), F.lit(0)).alias("n_a"),
@@ -177,7 +173,8 @@ def threshold(judged: DataFrame) -> DataFrame:
         "sum(n_a) OVER () AS all_a",
         "sum(n_r) OVER () AS all_r",
     ).filter("all_a > 0 AND all_r > 0")
-    return shares.agg((F.max_by("bin", F.struct(F.col("caught") - F.col("wrong"), "bin")) / BINS_PER_NAT).alias("threshold"))
+    best = shares.agg(F.max_by("bin", F.struct(F.col("caught") - F.col("wrong"), "bin"))).first()[0]
+    return None if best is None else best / BINS_PER_NAT
 
 
 def url_filter(
@@ -204,15 +201,14 @@ def url_filter(
     learned = staging.put(model(staging.put(counted(labelled.filter("learned")), "counts"), support), "model")
     judged = staging.put(scored(rows, learned), "scored")
     cut = threshold(judged.filter("accepted IS NOT NULL AND NOT learned"))
-    with_cut = judged.join(F.broadcast(cut), F.lit(True), "left")
-    allowed = F.col("threshold").isNull() | (F.col("score") >= F.col("threshold"))
-    return with_cut.select(
+    allowed = F.lit(True) if cut is None else F.col("score") >= cut
+    return judged.select(
         id_column,
         host_of(F.col("url")).alias("host"),
         path_of(F.col("url")).alias("path"),
         "rule",
         F.coalesce("ruled", F.when(allowed, "allow").otherwise("block")).alias("verdict"),
         "score",
-        "threshold",
+        F.lit(cut).cast("double").alias("threshold"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
     ).drop("copy")
