@@ -148,6 +148,9 @@ class Merged(dict):
     def __init__(self, ranks: "Ranks"):
         self.ranks = ranks
 
+    def __missing__(self, piece: str) -> bytes:
+        return merge([piece.encode()], self.ranks)[0]
+
     def learn(self, texts: list[list[str]]) -> None:
         """Merge what is new in some texts' pre-tokens."""
         present = set().union(*texts)

@@ -168,4 +168,4 @@ def code_points(text: str) -> np.ndarray:
 def pre_tokens(text: str) -> list[str]:
     """The pre-tokens of one text, in order."""
     begins = boundaries(code_points(text)).tolist()
-    return [text[a:b] for a, b in zip(begins, [*begins[1:], len(text)], strict=True)]
+    return [text[a:b] for a, b in zip(begins, [*begins[1:], len(text)], strict=False)]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import bpe, license_scan, url_filter
+from clickloom.llm import bpe, license_scan, token_counts, url_filter
 from clickloom.sources.staging import Staging
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,26 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.license_scan(table(spark, folder, "documents")).drop("detections")
 
 
+# Clean-up edits: contact data and long numbers masked, shouting and wide gaps calmed.
+CLEAN_UP = [
+    (r"[\w.+-]{1,64}@[\w-]{1,64}(?:\.[\w-]{1,64}){1,4}", "<mail>"),
+    (r"(?<!\d)\d{5,}(?!\d)", "0"),
+    (r"!{2,}", "!"),
+    (r"[ \t]{2,}", " "),
+]
+
+
+@query
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    vocabulary = bpe.Vocabulary(spark, path)
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(documents, vocabulary)
+    edits = token_counts.with_edits(counted, CLEAN_UP).withColumn("tokens_before", F.col("n_tokens"))
+    recounted = token_counts.recount(edits, vocabulary)
+    return recounted.select("doc_id", "tokens_before", "n_tokens", "n_edits", "n_reencoded")
+
+
 @query
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
