@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from clickloom.llm.arrow import Step, mapped, with_columns
 from clickloom.llm.pretokens import SEPARATOR, boundaries, code_points
 
 # Distinct pre-tokens remembered by a worker; beyond it the memory is emptied, results are the same.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 # Characters of a batch that are scanned together.
 TOGETHER = 1 << 18
 # Longer pre-tokens are merged one by one.
@@ -233,14 +234,16 @@ class Vocabulary:
         return hash(self.path)
 
 
-def encode(
-    docs: DataFrame, vocabulary: Vocabulary, text_column: str = "text", offsets: bool = True
-) -> DataFrame:
-    """`docs` with `n_tokens`, `token_ids` and, if wanted, `token_offsets` (both packed)."""
-    names = ["n_tokens", "token_ids", *["token_offsets"] * offsets]
-    kept = [field for field in docs.schema.fields if field.name not in names]
-    schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), *[T.StructField(n, T.BinaryType()) for n in names[1:]]])
-    columns = [field.name for field in kept]
+ENCODED = [
+    T.StructField("n_tokens", T.LongType()),
+    T.StructField("token_ids", T.BinaryType()),
+    T.StructField("token_offsets", T.BinaryType()),
+]
+DECODED = [T.StructField("decoded", T.BinaryType())]
+
+
+def encoder(vocabulary: Vocabulary, text_column: str = "text") -> Step:
+    """Adds `n_tokens`, `token_ids` and `token_offsets`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged = _merged(vocabulary)
@@ -248,12 +251,16 @@ def encode(
         for batch in batches:
             texts = [text or "" for text in batch.column(text_column).to_pylist()]
             ids = list(packed_ids(texts, merged))
-            new = [pa.array([len(packed) >> 2 for packed in ids], pa.int64()), pa.array(ids, pa.binary())]
-            if offsets:
-                new.append(pa.array([_offsets(packed, lengths) for packed in ids], pa.binary()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *new], names=[*columns, *names])
+            yield with_columns(
+                batch,
+                {
+                    "n_tokens": pa.array([len(packed) >> 2 for packed in ids], pa.int64()),
+                    "token_ids": pa.array(ids, pa.binary()),
+                    "token_offsets": pa.array([_offsets(packed, lengths) for packed in ids], pa.binary()),
+                },
+            )
 
-    return docs.select(*dict.fromkeys([*columns, text_column])).mapInArrow(run, schema)
+    return run
 
 
 def _offsets(packed: bytes, lengths: np.ndarray) -> bytes:
@@ -262,19 +269,25 @@ def _offsets(packed: bytes, lengths: np.ndarray) -> bytes:
     return (np.cumsum(sizes) - sizes).astype("<u4").tobytes()
 
 
-def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_column: str = "token_ids") -> DataFrame:
-    """`encoded` with `decoded`: the bytes of its packed ids."""
-    kept = [field for field in encoded.schema.fields if field.name != "decoded"]
-    schema = T.StructType([*kept, T.StructField("decoded", T.BinaryType())])
-    columns = [field.name for field in kept]
+def decoder(vocabulary: Vocabulary, ids_column: str = "token_ids") -> Step:
+    """Adds `decoded`, the bytes of packed ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, tokens = _tokens(vocabulary)
         for batch in batches:
             packed = batch.column(ids_column).to_pylist()
-            texts = [b"".join(map(tokens.__getitem__, np.frombuffer(p or b"", "<u4").tolist())) for p in packed]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in columns], pa.array(texts, pa.binary())], names=[*columns, "decoded"]
-            )
+            texts = [
+                b"".join(map(tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+                for ids in packed
+            ]
+            yield with_columns(batch, {"decoded": pa.array(texts, pa.binary())})
 
-    return encoded.select(*columns).mapInArrow(run, schema)
+    return run
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, text_column: str = "text") -> DataFrame:
+    return mapped(docs, [encoder(vocabulary, text_column)], ENCODED)
+
+
+def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_column: str = "token_ids") -> DataFrame:
+    return mapped(encoded, [decoder(vocabulary, ids_column)], DECODED)

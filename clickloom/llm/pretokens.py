@@ -12,6 +12,7 @@ to what follows.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 from unicodedata import category
 
@@ -45,7 +46,7 @@ SHORT_ENDINGS = "stmd"
 LONG_ENDINGS = ("re", "ve", "ll")
 
 CODE_POINTS = 0x110000
-BLOCK = 256
+LONGEST_BLOCK = 256
 # Characters scanned at a time; a longer text carries its state over.
 CHUNK = 1 << 19
 SEPARATOR = np.uint32(CODE_POINTS)
@@ -102,10 +103,11 @@ def breaks() -> np.ndarray:
 def states_before(symbols: np.ndarray, state: int) -> tuple[np.ndarray, int]:
     """The state before each symbol, and the one after the last, by composed transitions."""
     step = transitions().ravel()
-    blocks = -(-len(symbols) // BLOCK)
-    padded = np.full(blocks * BLOCK, RESET, np.uint8)
+    length = min(LONGEST_BLOCK, max(8, math.isqrt(len(symbols))))
+    blocks = -(-len(symbols) // length)
+    padded = np.full(blocks * length, RESET, np.uint8)
     padded[: len(symbols)] = symbols
-    columns = np.ascontiguousarray(padded.reshape(blocks, BLOCK).T).astype(np.intp) * STATES
+    columns = np.ascontiguousarray(padded.reshape(blocks, length).T).astype(np.intp) * STATES
     # The function of each block: the state after it for every state before it.
     function = np.broadcast_to(np.arange(STATES), (blocks, STATES))
     for column in columns:
@@ -114,7 +116,7 @@ def states_before(symbols: np.ndarray, state: int) -> tuple[np.ndarray, int]:
     for block, table in enumerate(function.tolist()):
         entry[block] = state
         state = table[state]
-    before = np.empty((BLOCK, blocks), np.uint8)
+    before = np.empty((length, blocks), np.uint8)
     for at, column in enumerate(columns):
         before[at] = entry
         entry = step[column + entry]

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import bpe, license_scan, token_counts, url_filter
+from clickloom.llm import bpe, exact_topk, license_scan, token_counts, url_filter, vantage
+from clickloom.llm.arrow import mapped, ship
 from clickloom.sources.staging import Staging
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,8 +19,13 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(run: Query) -> Query:
-    QUERIES[run.__name__] = run
-    return run
+    @wraps(run)
+    def shipped(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return run(spark, folder)
+
+    QUERIES[run.__name__] = shipped
+    return shipped
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,10 +65,14 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     vocabulary = bpe.Vocabulary(spark, path)
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    counted = token_counts.count_tokens(documents, vocabulary)
-    edits = token_counts.with_edits(counted, CLEAN_UP).withColumn("tokens_before", F.col("n_tokens"))
-    recounted = token_counts.recount(edits, vocabulary)
-    return recounted.select("doc_id", "tokens_before", "n_tokens", "n_edits", "n_reencoded")
+    counted = token_counts.count_edited(documents, vocabulary, CLEAN_UP, keep=["doc_id"])
+    return counted.drop("token_tree")
+
+
+@query
+def op5_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    embeddings = table(spark, folder, "embeddings")
+    return exact_topk.top_k(embeddings, F.col("vec_id") % 100 == 0, Staging(spark), k=10)
 
 
 @query
@@ -69,11 +80,18 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     vocabulary = bpe.Vocabulary(spark, path)
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    encoded = bpe.encode(documents, vocabulary).drop("text")
-    decoded = bpe.decode(encoded.drop("token_offsets"), vocabulary)
+    # Encoding and decoding share a pass; only what the digests need leaves it.
+    steps = [bpe.encoder(vocabulary), bpe.decoder(vocabulary)]
+    decoded = mapped(documents, steps, [*bpe.ENCODED, *bpe.DECODED], keep=["doc_id"])
     return decoded.select(
         "doc_id",
         "n_tokens",
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op8_vantage_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    embeddings = table(spark, folder, "embeddings")
+    return vantage.nearest(embeddings, F.col("vec_id") % 50 == 0, Staging(spark), k=5)

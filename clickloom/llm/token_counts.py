@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from clickloom.llm.arrow import Step, mapped, with_columns
 from clickloom.llm.bpe import Merged, Vocabulary, _merged, pieces_of, together
 from clickloom.llm.pretokens import pre_tokens
 
@@ -37,15 +38,8 @@ MARGIN = 4
 REACH = 64
 
 Edit = tuple[int, int, str]
-EDITS = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("start", T.IntegerType()),
-            T.StructField("stop", T.IntegerType()),
-            T.StructField("replacement", T.StringType()),
-        ]
-    )
-)
+COUNTED = [T.StructField("n_tokens", T.LongType()), T.StructField("token_tree", T.BinaryType())]
+RECOUNTED = [T.StructField("n_edits", T.LongType()), T.StructField("n_reencoded", T.LongType())]
 ARROW_EDITS = pa.list_(
     pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("replacement", pa.string())])
 )
@@ -229,17 +223,26 @@ def usable_edits(edits: list[dict] | None, n_chars: int) -> list[Edit]:
     return kept
 
 
-def _added(docs: DataFrame, fields: list[T.StructField], without: tuple[str, ...] = ()) -> tuple[list[str], T.StructType]:
-    names = {field.name for field in fields} | set(without)
-    kept = [field for field in docs.schema.fields if field.name not in names]
-    return [field.name for field in kept], T.StructType([*kept, *fields])
+def joined_edits(text: str, edits: list[Edit]) -> list[Edit]:
+    """Edits so near to each other that their regions would meet become one."""
+    groups: list[list[Edit]] = []
+    for edit in edits:
+        if groups and edit[0] - groups[-1][-1][1] <= REACH:
+            groups[-1].append(edit)
+        else:
+            groups.append([edit])
+    joined = []
+    for group in groups:
+        parts, at = [], group[0][0]
+        for start, stop, replacement in group:
+            parts += [text[at:start], replacement]
+            at = stop
+        joined.append((group[0][0], at, "".join(parts)))
+    return joined
 
 
-def count_tokens(docs: DataFrame, vocabulary: Vocabulary, text_column: str = "text") -> DataFrame:
-    """`docs` with `n_tokens` and `token_tree`."""
-    columns, schema = _added(
-        docs, [T.StructField("n_tokens", T.LongType()), T.StructField("token_tree", T.BinaryType())]
-    )
+def counter(vocabulary: Vocabulary, text_column: str = "text") -> Step:
+    """Adds `n_tokens` and `token_tree`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged = _merged(vocabulary)
@@ -252,47 +255,29 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary, text_column: str = "te
                     counts = [len(packed) >> 2 for packed in map(merged.__getitem__, own)]
                     totals.append(sum(counts))
                     trees.append(pack(list(map(len, own)), counts))
-            new = [pa.array(totals, pa.int64()), pa.array(trees, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *new], schema.names)
+            new = {"n_tokens": pa.array(totals, pa.int64()), "token_tree": pa.array(trees, pa.binary())}
+            yield with_columns(batch, new)
 
-    return docs.mapInArrow(run, schema)
+    return run
 
 
-def recount(
-    counted: DataFrame, vocabulary: Vocabulary, edits_column: str = "edits", text_column: str = "text"
-) -> DataFrame:
-    """`counted` (text, `token_tree`) after its edits: text, `token_tree` and `n_tokens` brought up
-    to date, with `n_edits` and `n_reencoded`, the characters that were encoded anew."""
-    fields = [
-        T.StructField(text_column, T.StringType()),
-        T.StructField("n_tokens", T.LongType()),
-        T.StructField("token_tree", T.BinaryType()),
-        T.StructField("n_edits", T.LongType()),
-        T.StructField("n_reencoded", T.LongType()),
-    ]
-    columns, schema = _added(counted, fields, (edits_column,))
+def recounter(vocabulary: Vocabulary, edits_column: str = "edits", text_column: str = "text") -> Step:
+    """Makes the edits and brings text, `token_tree` and `n_tokens` up to date; adds `n_edits` and
+    `n_reencoded`, the characters that were encoded anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged = _merged(vocabulary)
         for batch in batches:
-            rows = [
-                edited_row(merged, *row)
-                for row in zip(
-                    *[batch.column(c).to_pylist() for c in (text_column, "token_tree", edits_column)],
-                    strict=True,
-                )
-            ]
-            new = [
-                pa.array(list(values), kind)
-                for values, kind in zip(
-                    zip(*rows, strict=True) if rows else [()] * 5,
-                    (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64()),
-                    strict=True,
-                )
-            ]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *new], schema.names)
+            inputs = [batch.column(c).to_pylist() for c in (text_column, "token_tree", edits_column)]
+            rows = [edited_row(merged, *row) for row in zip(*inputs, strict=True)]
+            names = (text_column, "n_tokens", "token_tree", "n_edits", "n_reencoded")
+            kinds = (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield with_columns(
+                batch, {n: pa.array(v, k) for n, v, k in zip(names, columns, kinds, strict=True)}
+            )
 
-    return counted.mapInArrow(run, schema)
+    return run
 
 
 def edited_row(merged: Merged, text: str | None, packed: bytes | None, edits: list[dict] | None):
@@ -304,22 +289,21 @@ def edited_row(merged: Merged, text: str | None, packed: bytes | None, edits: li
         return text, total, packed or b"", 0, 0
     tree, encoded = PreTokenTree.unpack(packed), 0
     text = text or ""
-    for edit in reversed(usable):
+    for edit in reversed(joined_edits(text, usable)):
         text, anew = apply_edit(text, tree, edit, lambda piece: len(merged[piece]) >> 2)
         encoded += anew
     return text, tree.n_tokens, tree.pack(), len(usable), encoded
 
 
-def with_edits(
-    docs: DataFrame, patterns: list[tuple[str, str]], text_column: str = "text", into: str = "edits"
-) -> DataFrame:
-    """`docs` with the edits that replace every match of some patterns."""
-    import regex
-
-    compiled = [(regex.compile(pattern), replacement) for pattern, replacement in patterns]
-    columns, schema = _added(docs, [T.StructField(into, EDITS)])
+def edit_finder(
+    patterns: list[tuple[str, str]], text_column: str = "text", into: str = "edits"
+) -> Step:
+    """Adds the edits that replace every match of some patterns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        compiled = [(regex.compile(pattern), replacement) for pattern, replacement in patterns]
         for batch in batches:
             edits = [
                 [
@@ -329,7 +313,43 @@ def with_edits(
                 ]
                 for text in batch.column(text_column).to_pylist()
             ]
-            new = pa.array(edits, ARROW_EDITS)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], new], schema.names)
+            yield with_columns(batch, {into: pa.array(edits, ARROW_EDITS)})
+
+    return run
+
 
-    return docs.mapInArrow(run, schema)
+def count_tokens(docs: DataFrame, vocabulary: Vocabulary, text_column: str = "text") -> DataFrame:
+    """`docs` with `n_tokens` and `token_tree`."""
+    return mapped(docs, [counter(vocabulary, text_column)], COUNTED)
+
+
+def recount(
+    counted: DataFrame, vocabulary: Vocabulary, edits_column: str = "edits", text_column: str = "text"
+) -> DataFrame:
+    """`counted` after the edits in a column of (start, stop, replacement)."""
+    fields = [T.StructField(text_column, T.StringType()), *COUNTED, *RECOUNTED]
+    return mapped(counted, [recounter(vocabulary, edits_column, text_column)], fields)
+
+
+def count_edited(
+    docs: DataFrame,
+    vocabulary: Vocabulary,
+    patterns: list[tuple[str, str]],
+    text_column: str = "text",
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """Counts before and after the edits that replace all matches of `patterns`, in one pass:
+    `docs` (edited) with `tokens_before`, `n_tokens`, `token_tree`, `n_edits`, `n_reencoded`."""
+
+    def remember(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield with_columns(batch, {"tokens_before": batch.column("n_tokens")})
+
+    steps = [
+        counter(vocabulary, text_column),
+        remember,
+        edit_finder(patterns, text_column),
+        recounter(vocabulary, "edits", text_column),
+    ]
+    fields = [*COUNTED, T.StructField("tokens_before", T.LongType()), *RECOUNTED]
+    return mapped(docs, steps, fields, keep)
