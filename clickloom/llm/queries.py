@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import bpe, exact_topk, license_scan, token_counts, url_filter, vantage
+from clickloom.llm import bpe, exact_topk, license_scan, packing, token_counts, url_filter, vantage
 from clickloom.llm.arrow import mapped, ship
 from clickloom.sources.staging import Staging
 
@@ -91,6 +91,13 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    file = packing.TokenizerFile(spark, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.pack(table(spark, folder, "documents"), file)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 @query
 def op8_vantage_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     embeddings = table(spark, folder, "embeddings")
