@@ -24,4 +24,43 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op10_jaccard_join": """
+        WITH RECURSIVE words AS (
+            SELECT doc_id,
+                   list_filter(
+                       regexp_split_to_array(
+                           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[\\x20\\x09-\\x0D]+'
+                       ),
+                       lambda w: w <> ''
+                   ) AS w
+            FROM documents
+        ),
+        sets AS (
+            SELECT doc_id,
+                   CASE WHEN len(w) = 0 THEN []
+                        WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                        ELSE list_distinct(list_transform(
+                            range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]
+                        ))
+                   END AS s
+            FROM words
+        ),
+        elements AS (SELECT doc_id, len(s) AS n, unnest(s) AS e FROM sets),
+        shared AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, x.n AS n_a, y.n AS n_b, count(*) AS both_have
+            FROM elements x JOIN elements y ON x.e = y.e AND x.doc_id <> y.doc_id
+            WHERE 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n)
+            GROUP BY ALL
+        ),
+        links AS (SELECT a, b FROM shared WHERE 100 * both_have >= 90 * (n_a + n_b - both_have)),
+        reached(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM sets
+            UNION
+            SELECT reached.doc_id, links.b FROM reached JOIN links ON reached.other = links.a
+        ),
+        smallest AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+        SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id
+        FROM sets JOIN smallest USING (doc_id)
+    """,
 }

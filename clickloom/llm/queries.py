@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import bpe, exact_topk, license_scan, packing, token_counts, url_filter, vantage
+from clickloom.llm import bpe, exact_topk, jaccard_join, license_scan, packing, token_counts, url_filter, vantage
 from clickloom.llm.arrow import mapped, ship
 from clickloom.sources.staging import Staging
 
@@ -102,3 +102,8 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op8_vantage_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     embeddings = table(spark, folder, "embeddings")
     return vantage.nearest(embeddings, F.col("vec_id") % 50 == 0, Staging(spark), k=5)
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, folder, "documents"), Staging(spark), n=3, num=90, den=100)
