@@ -9,7 +9,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import bpe, exact_topk, jaccard_join, license_scan, packing, token_counts, url_filter, vantage
+from clickloom.llm import (
+    bpe,
+    cotraining,
+    exact_topk,
+    jaccard_join,
+    license_scan,
+    packing,
+    surrogates,
+    token_counts,
+    url_filter,
+    vantage,
+)
 from clickloom.llm.arrow import mapped, ship
 from clickloom.sources.staging import Staging
 
@@ -46,6 +57,13 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.url_filter(table(spark, folder, "pages"), URL_RULES, Staging(spark))
 
 
+@query
+def op2_cotraining(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = cotraining.train(documents, table(spark, folder, "labels"))
+    return cotraining.score(documents, model, keep=["doc_id"])
+
+
 @query
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.license_scan(table(spark, folder, "documents")).drop("detections")
@@ -104,6 +122,16 @@ def op8_vantage_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return vantage.nearest(embeddings, F.col("vec_id") % 50 == 0, Staging(spark), k=5)
 
 
+# Stands for the secret that a deployment would hand in.
+SURROGATE_KEY = b"benchmark key of the catalogue"
+
+
+@query
+def op9_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.replace_pii(documents, SURROGATE_KEY, Staging(spark))
+
+
 @query
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, folder, "documents"), Staging(spark), n=3, num=90, den=100)

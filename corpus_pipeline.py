@@ -4,13 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from clickloom.llm import cotraining, jaccard_join, packing, surrogates
+from clickloom.llm.arrow import ship
+from clickloom.llm.queries import SURROGATE_KEY
 from clickloom.sources.staging import Staging
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier accepts."""
+    ship(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = cotraining.score(docs, cotraining.train(docs, labels), keep=docs.columns)
+    return scored.filter("keep").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles link at 0.8: the one that names it."""
+    ship(spark)
+    grouped = jaccard_join.jaccard_components(docs, Staging(spark), n=5, num=80, den=100)
+    leading = grouped.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    stays = docs.join(leading.withColumnRenamed("doc_id", "leader"), F.col("doc_id").eqNullSafe(F.col("leader")), "left_semi")
+    return stays.select(*docs.columns)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by surrogates."""
+    ship(spark)
+    replaced = surrogates.replace_pii(docs, SURROGATE_KEY, Staging(spark))
+    counted = replaced.withColumn(
+        "n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    )
+    return counted.select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences, with their packed ids."""
+    ship(spark)
+    return packing.pack(docs, packing.TokenizerFile(spark, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("pii", pii),
+    ("packing", packed),
+]
 
 # Trained classifiers, keyed surrogates and packing are beyond SQL.
 ORACLE_SQL = None
