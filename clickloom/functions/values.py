@@ -39,8 +39,9 @@ def number_or_null(value: Column) -> Column:
 
 
 def id_or_null(value: Column) -> Column:
-    """Text to a whole number; null where it is not one."""
-    return value.try_cast("long")
+    """Text to a whole number, `11.0` included; null where it is not one."""
+    exact = value.try_cast("decimal(38,6)")
+    return F.when(exact == F.floor(exact), exact).try_cast("long")
 
 
 def text_or(value: Column, default: Column) -> Column:

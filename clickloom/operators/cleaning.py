@@ -110,6 +110,11 @@ def scorer_rows(values: DataFrame) -> DataFrame:
     return parsed.filter(F.col("user_id").isNotNull() & F.col("product_id").isNotNull())
 
 
+def _given_number(text: Column) -> Column:
+    """Null where the text is empty or says that there is no number."""
+    return F.when(~F.lower(text).isin("", "nan"), text)
+
+
 def _reject_reason() -> Column:
     """First failing check; null for a good message."""
 
@@ -122,6 +127,13 @@ def _reject_reason() -> Column:
         checks[f"bad_{name}"] = bad_id(name)
     checks["missing_event_type"] = F.col("event_type").isNull()
     checks["bad_session_id"] = bad_id("session_id")
+    for name in ("timestamp", "start_time"):
+        given = text_or(F.col(name), F.lit(None))
+        checks[f"bad_{name}"] = given.isNotNull() & given.try_cast("timestamp").isNull()
+    for name in OPTIONAL_NUMBERS:
+        given = _given_number(F.col(name))
+        kind = RATE if name == "discount_pct" else MONEY
+        checks[f"bad_{name}"] = given.isNotNull() & given.try_cast(kind).isNull()
     chain = F
     for reason, failed in checks.items():
         chain = chain.when(failed, F.lit(reason))
@@ -129,12 +141,14 @@ def _reject_reason() -> Column:
 
 
 def checked_messages(values: DataFrame) -> DataFrame:
-    """Every message with its text, parsed fields (still untrusted text) and `reason`."""
+    """Every message with its text, parsed fields (still untrusted text), `reason` and the time
+    it was read. In a stream that clock is part of the plan, so a repeated batch reads it alike."""
     schema = T.StructType([*RAW_MESSAGE.fields, T.StructField("whole", T.StringType())])
     options = {"columnNameOfCorruptRecord": "whole"}
     text = F.col("value").cast("string")
     parsed = values.select(text.alias("value"), _parsed(text, schema, options))
-    return parsed.withColumn("reason", _reject_reason()).drop("whole")
+    checked = parsed.withColumn("reason", _reject_reason()).drop("whole")
+    return checked.withColumn("received_at", F.current_timestamp())
 
 
 def quarantined(checked: DataFrame) -> DataFrame:
@@ -148,9 +162,9 @@ def quarantine_counts(checked: DataFrame) -> DataFrame:
 def accepted(checked: DataFrame) -> DataFrame:
     """Good messages as typed click-log rows with their session attributes.
 
-    A missing event time means now; a missing session start means the event time.
+    A missing event time means the time of receipt; a missing session start means the event time.
     """
-    timestamp = F.coalesce(F.col("timestamp").try_cast("timestamp"), F.current_timestamp())
+    timestamp = F.coalesce(F.col("timestamp").try_cast("timestamp"), F.col("received_at"))
     good = checked.filter(F.col("reason").isNull()).withColumn("timestamp", timestamp)
     start = text_or(F.col("start_time"), F.lit(None)).try_cast("timestamp")
     return good.select(
@@ -160,8 +174,8 @@ def accepted(checked: DataFrame) -> DataFrame:
         F.trim("event_type").alias("event_type"),
         "timestamp",
         id_or_null(F.col("session_id")).alias("session_id"),
-        *[F.col(name).try_cast(MONEY).alias(name) for name in OPTIONAL_NUMBERS[:3]],
-        F.col("discount_pct").try_cast(RATE).alias("discount_pct"),
+        *[_given_number(F.col(name)).try_cast(MONEY).alias(name) for name in OPTIONAL_NUMBERS[:3]],
+        _given_number(F.col("discount_pct")).try_cast(RATE).alias("discount_pct"),
         utc_day(F.col("timestamp")).alias("event_date"),
         *[text_or(F.col(name), F.lit("")).alias(name) for name in SESSION_FIELDS],
         F.coalesce(start, "timestamp").alias("start_time"),

@@ -42,10 +42,13 @@ def sessions_first(clicks: DataFrame) -> DataFrame:
 
 
 def dedup_events(events: DataFrame, key: Sequence[str] = EVENT_KEY) -> DataFrame:
-    """One row per key, the lowest event_id. Copies are reduced within each task before the
-    shuffle, so an event delivered over and over costs one row per task."""
+    """One row per key: the lowest event_id, rows without one last, then type and session.
+    Copies are reduced within each task before the shuffle, so an event delivered over and over
+    costs one row per task."""
     values = [name for name in events.columns if name not in key]
-    first = F.min_by(F.struct(*values), F.col("event_id"))
+    order = [F.col("event_id").isNull().alias("unnumbered")]
+    order += [F.col(name) for name in ("event_id", "event_type", "session_id") if name in values]
+    first = F.min_by(F.struct(*values), F.struct(*order))
     return (
         events.groupBy(*key)
         .agg(first.alias("row"))

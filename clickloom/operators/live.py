@@ -17,42 +17,62 @@ from clickloom.functions.labels import (
 )
 from clickloom.functions.periods import utc_day
 from clickloom.functions.scoring import LIVE, score
-from clickloom.operators.daily import on_day
 from clickloom.operators.landing import EVENT_KEY, dedup_events
 
-BEFORE_ALL = "0001-01-01"
+def _newest_days(log: DataFrame) -> DataFrame:
+    """One row per day, newest first; events without a time are the last "day". Needs no
+    column but the partition's own."""
+    return log.groupBy("event_date").agg(F.count(F.lit(1)).alias("n"))
 
 
 def recent_days(log: DataFrame, limit: int) -> DataFrame:
-    """Only the newest days that together hold `limit` timed events; the rest of a log
-    partitioned by day is not read. Exact: the days come from the counts per day, which need
-    no column but the partition's own (it is null where the time is)."""
-    dated = log.filter(F.col("event_date").isNotNull())
-    daily = dated.groupBy("event_date").agg(F.count(F.lit(1)).alias("n"))
+    """Only the newest days that together hold `limit` events; the rest of a log partitioned by
+    day is not read. Exact: the days come from the counts per day. Events without a time are
+    older than all others and stay where there are too few timed ones."""
     # One row per day.
-    newer = Window.orderBy(F.desc("event_date")).rowsBetween(Window.unboundedPreceding, -1)
-    needed = daily.select(
+    newer = Window.orderBy(F.desc_nulls_last("event_date")).rowsBetween(Window.unboundedPreceding, -1)
+    needed = _newest_days(log).select(
         "event_date", F.coalesce(F.sum("n").over(newer), F.lit(0)).alias("newer")
     ).filter(F.col("newer") < limit)
-    return dated.filter(F.col("event_date") >= needed.agg(F.min("event_date")).scalar())
+    first = needed.agg(F.min("event_date")).scalar()
+    untimed = needed.agg(F.coalesce(F.bool_or(F.col("event_date").isNull()), F.lit(False))).scalar()
+    return log.filter((F.col("event_date") >= first) | (F.col("event_date").isNull() & untimed))
 
 
 def recent_distinct(log: DataFrame, limit: int, key: Sequence[str] = EVENT_KEY) -> DataFrame:
     """As `recent_days`, for a log with copies: only events as new as the `limit`-th distinct
-    one. Exact: the bound comes from the newest day's distinct keys, and where that day has
-    too few of them nothing is left out. Copies share their time because it is in the key;
-    with another key there is no such bound and the log is returned whole."""
+    one. The newest day is looked at first, then twice as many, until they hold enough distinct
+    events; the driver sees one count and one time per step. Only a log that has too few of
+    them altogether is returned whole, untimed events included. Copies share their time because
+    it is in the key; with another key there is no such bound and the log is returned whole."""
     if "timestamp" not in key:
         return log
-    distinct = on_day(log).select(*key).distinct()
-    top = distinct.orderBy(F.desc("timestamp")).limit(limit)
-    enough = F.when(F.count(F.lit(1)) >= limit, F.min("timestamp"))
-    bound = top.agg(F.coalesce(enough, F.lit(BEFORE_ALL).cast("timestamp"))).scalar()
-    return log.filter((F.col("event_date") >= utc_day(bound)) & (F.col("timestamp") >= bound))
+    days = 1
+    while True:
+        newest = _newest_days(log).filter(F.col("event_date").isNotNull())
+        newest = newest.orderBy(F.desc("event_date")).limit(days)
+        found, first = newest.agg(F.count(F.lit(1)), F.min("event_date")).first()
+        if not found:
+            return log
+        scoped = log.filter(F.col("event_date") >= F.lit(first))
+        top = scoped.select(*key).distinct().orderBy(F.desc("timestamp")).limit(limit)
+        distinct, bound = top.agg(
+            F.count(F.lit(1)), F.date_format(F.min("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        ).first()
+        if distinct >= limit:
+            time = F.lit(bound).cast("timestamp")
+            return log.filter((F.col("event_date") >= utc_day(time)) & (F.col("timestamp") >= time))
+        if found < days:
+            return log
+        days *= 2
 
 
 def latest(events: DataFrame, limit: int) -> DataFrame:
-    return events.orderBy(F.desc("timestamp"), F.desc("event_id")).limit(limit)
+    """The newest rows; ties are broken by the columns that tell copies apart."""
+    return events.orderBy(
+        F.desc_nulls_last("timestamp"), F.desc_nulls_last("event_id"),
+        "event_type", "session_id", "user_id", "product_id",
+    ).limit(limit)
 
 
 def recent_events(log: DataFrame, limit: int = 30) -> DataFrame:
@@ -79,8 +99,8 @@ def live_feed(log: DataFrame, limit: int = 100, key: Sequence[str] = EVENT_KEY)
 def live_top_products(
     log: DataFrame, products: DataFrame, buffer: int = 200, limit: int = 8
 ) -> DataFrame:
-    """Products by live weight within the newest `buffer` events."""
-    totals = latest(log, buffer).groupBy("product_id").agg(F.sum(score(LIVE)).alias("score"))
+    """Products by live weight within the newest `buffer` distinct events."""
+    totals = latest(dedup_events(log), buffer).groupBy("product_id").agg(F.sum(score(LIVE)).alias("score"))
     best = totals.orderBy(F.desc("score"), "product_id").limit(limit)
     names = products.select("product_id", "name")
     return (

@@ -141,14 +141,18 @@ def _unseen_places(history: DataFrame, n: int, n_products: int, block: int) -> D
     place = F.col("place")
     blocks = history.groupBy(
         "user_id", F.coalesce(F.floor((place - 1) / block), F.lit(-1)).alias("block")
-    ).agg(F.sort_array(F.collect_list(place)).alias("seen"), F.count(place).alias("n_seen"))
+    ).agg(F.sort_array(F.collect_list(place)).alias("seen"))
 
+    # The windows over a user's blocks carry counts alone; the places stay with their block.
+    counts = history.groupBy(
+        "user_id", F.coalesce(F.floor((place - 1) / block), F.lit(-1)).alias("block")
+    ).agg(F.count(place).alias("n_seen"))
     by_block = Window.partitionBy("user_id").orderBy("block")
     earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("block") * block  # places before this block
-    positioned = blocks.select(
+    numbered = counts.select(
         "user_id",
-        "seen",
+        "block",
         start.alias("start"),
         F.least(start + block, F.lit(n_products)).alias("end"),
         F.coalesce(F.sum("n_seen").over(earlier), F.lit(0)).alias("seen_before"),
@@ -156,6 +160,7 @@ def _unseen_places(history: DataFrame, n: int, n_products: int, block: int) -> D
         F.coalesce(F.lag("block").over(by_block) + 1, F.lit(0)).alias("next_free"),
         F.lead("block").over(by_block).isNull().alias("is_last"),
     )
+    positioned = numbered.join(blocks, ["user_id", "block"])
 
     # Whole blocks without history: before this one, and after the user's last one.
     gap_before = _interval(

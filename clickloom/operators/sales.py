@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.labels import money_label, money_tick
-from clickloom.functions.periods import period_label, period_start, scope_filters
+from clickloom.functions.periods import period_label, period_start, scope_filters, scope_range
 from clickloom.functions.values import money, money_out
 
 
@@ -36,6 +36,7 @@ def sales_trend(
     its edge counts at its last purchase inside it.
     """
     scope = scope_filters(F.col("event_date"), granularity, year, month, day)
+    scope += scope_range(F.col("timestamp"), granularity, year, month, day)
     scoped = reduce(DataFrame.filter, scope, purchases(log))
     return (
         session_sales(scoped)
@@ -84,13 +85,16 @@ def category_sales(log: DataFrame, products: DataFrame) -> DataFrame:
     """Sessions, events and revenue per category. Purchases are summed as they are; unlike
     the trend, a session is not reduced to one sale."""
     amount = F.when(F.col("event_type") == "purchase", money(F.col("amount_usd")))
+    # Counted before the join: one row per product and session, however busy a product is.
+    counted = log.groupBy("product_id", "session_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(amount).alias("amount_usd")
+    )
     return (
-        log.select("product_id", "session_id", amount.alias("amount_usd"))
-        .join(products.select("product_id", "category"), "product_id")
+        counted.join(products.select("product_id", "category"), "product_id")
         .groupBy("category")
         .agg(
             F.countDistinct("session_id").alias("total_sessions"),
-            F.count(F.lit(1)).alias("total_events"),
+            F.sum("n").alias("total_events"),
             money_out(F.coalesce(F.sum("amount_usd"), F.lit(0))).alias("total_revenue"),
         )
         .orderBy(F.desc("total_revenue"), "category")

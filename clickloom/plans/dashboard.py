@@ -68,7 +68,7 @@ class Dashboard:
         return live.live_feed(live.recent_distinct(self.log, limit), limit)
 
     def top_products(self, buffer: int = 200, limit: int = 8) -> DataFrame:
-        recent = live.recent_days(self.log, buffer)
+        recent = live.recent_distinct(self.log, buffer)
         return live.live_top_products(recent, self.products, buffer, limit)
 
     def daily_stats(self) -> DataFrame:
@@ -107,12 +107,19 @@ class Dashboard:
 
 
 def log_events(
-    entries: DataFrame, log_path: str, feed_path: str | None = None, servers: str | None = None
+    entries: DataFrame,
+    log_path: str | None = None,
+    feed_path: str | None = None,
+    servers: str | None = None,
 ) -> None:
-    """Log events by hand: append them to the click log and publish them, each once. Scores
-    follow from the published message, not from a second increment here."""
+    """Log events by hand, on one path. Where there is a feed they are published, and log and
+    scores follow from the landed message; only without one are they appended to the log itself."""
     rows = landing.manual_events(entries)
-    files.append_click_log(rows, log_path)
+    if not (servers or feed_path):
+        if log_path is None:
+            raise ValueError("name a feed to publish to or a log to append to")
+        files.append_click_log(rows, log_path)
+        return
     absent = {name: F.lit(None).cast("string") for name in cleaning.SESSION_FIELDS}
     absent["start_time"] = F.lit(None).cast("timestamp")
     values = cleaning.to_values(cleaning.event_messages(rows.withColumns(absent)))

@@ -24,7 +24,7 @@ VIEWS = {
                 CAST(json_extract_string(props, '$.k') AS BIGINT) AS product_id,
                 CASE event_type WHEN 'view' THEN 'page_view' WHEN 'click' THEN 'add_to_cart'
                     WHEN 'signup' THEN 'checkout' ELSE event_type END AS event_type,
-                user_id * 10000 + date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))
+                user_id * 10000000 + date_diff('day', DATE '0001-01-01', CAST(ts AS DATE))
                     AS session_id
             FROM events)""",
     "people": """
@@ -38,8 +38,8 @@ VIEWS = {
         SELECT session_id, g.customer_id, start_time, country,
             CASE session_id % 3 WHEN 0 THEN 'mobile' WHEN 1 THEN 'desktop' ELSE 'tablet' END
                 AS device,
-            CASE session_id % 5 WHEN 0 THEN 'organic' WHEN 1 THEN 'paid' WHEN 2 THEN 'email'
-                WHEN 3 THEN 'direct' ELSE 'social' END AS source
+            CASE (g.customer_id // 3 + session_id) % 5 WHEN 0 THEN 'organic' WHEN 1 THEN 'paid'
+                WHEN 2 THEN 'email' WHEN 3 THEN 'direct' ELSE 'social' END AS source
         FROM (
             SELECT session_id, user_id AS customer_id, min(timestamp) AS start_time
             FROM click_log GROUP BY ALL) g
@@ -51,6 +51,18 @@ VIEWS = {
             CASE event_type WHEN 'page_view' THEN 1 WHEN 'add_to_cart' THEN 3
                 WHEN 'checkout' THEN 7 ELSE 0 END AS batch
         FROM click_log""",
+    "feed": """
+        SELECT l.* REPLACE (
+            CASE WHEN event_id % 3 <> 0 THEN event_id END AS event_id,
+            CASE WHEN event_id % 500 <> 7 THEN timestamp END AS timestamp,
+            CASE WHEN event_id % 500 <> 7 THEN event_date END AS event_date)
+        FROM (SELECT * FROM scored UNION ALL SELECT * FROM scored WHERE event_id % 4 = 0) l""",
+    "feed_once": """
+        SELECT * FROM (
+            SELECT *, row_number() OVER (PARTITION BY user_id, product_id, timestamp
+                ORDER BY event_id NULLS LAST, event_type, session_id) AS rn
+            FROM feed)
+        WHERE rn = 1""",
     "delivered": """
         SELECT l.* EXCLUDE (session_id),
             CASE WHEN event_type <> 'error' THEN session_id END AS session_id,
@@ -114,6 +126,8 @@ VIEWS = {
 _USES = {
     "sessions": ("click_log", "people"),
     "scored": ("click_log",),
+    "feed": ("scored",),
+    "feed_once": ("feed",),
     "delivered": ("click_log", "people"),
     "raw_events": ("click_log",),
     "pairs": ("scored", "sessions"),
@@ -140,8 +154,8 @@ def _with(select: str, *views: str) -> str:
     return f"WITH {', '.join(parts)}\n{select}" if parts else select
 
 
-LOG_COLUMNS = """event_id, user_id, product_id, event_type, timestamp,
-    coalesce(session_id, -1) AS session_id, qty, cart_size,
+LOG_COLUMNS = """CAST(event_id AS VARCHAR) AS event_id, user_id, product_id, event_type, timestamp,
+    CAST(session_id AS VARCHAR) AS session_id, qty, cart_size,
     CAST(amount_usd AS DOUBLE) AS amount_usd, discount_pct, CAST(event_date AS VARCHAR)
         AS event_date"""
 
@@ -199,8 +213,12 @@ SESSIONS_FIRST = """
 
 QUARANTINE = """
     SELECT reason, count(*) AS n_events
-    FROM (SELECT CASE product_id // 10 WHEN 0 THEN 'bad_product_id' WHEN 1 THEN 'missing_event_type'
-            WHEN 2 THEN 'missing_user_id' WHEN 3 THEN 'bad_json' END AS reason
+    FROM (SELECT CASE product_id // 5 WHEN 0 THEN 'bad_json' WHEN 1 THEN 'missing_user_id'
+            WHEN 2 THEN 'bad_user_id' WHEN 3 THEN 'missing_product_id' WHEN 4 THEN 'bad_product_id'
+            WHEN 5 THEN 'missing_event_type' WHEN 6 THEN 'bad_session_id'
+            WHEN 7 THEN 'bad_timestamp' WHEN 8 THEN 'bad_start_time' WHEN 9 THEN 'bad_qty'
+            WHEN 10 THEN 'bad_cart_size' WHEN 11 THEN 'bad_amount_usd'
+            WHEN 12 THEN 'bad_discount_pct' END AS reason
         FROM click_log WHERE event_type = 'error')
     WHERE reason IS NOT NULL GROUP BY reason"""
 
@@ -237,7 +255,9 @@ def oracle_sql() -> dict[str, str]:
         "rejected_events": _with(
             """SELECT CASE WHEN s.customer_id IS NULL THEN 'missing_user'
                 ELSE 'missing_product' END AS reason, count(*) AS n_events
-            FROM raw_events l LEFT JOIN sessions s ON l.session_id = s.session_id
+            FROM raw_events l LEFT JOIN (
+                SELECT session_id, CASE WHEN session_id % 11 <> 0 THEN customer_id END AS customer_id
+                FROM sessions) s ON l.session_id = s.session_id
             WHERE s.customer_id IS NULL OR l.product_id IS NULL GROUP BY reason""",
             "raw_events",
             "sessions",
@@ -254,7 +274,7 @@ def oracle_sql() -> dict[str, str]:
             "sessions",
         ),
         "sessions_first": sessions_first,
-        "events_dedup": _with(dedup.format("click_log"), "click_log"),
+        "events_dedup": _with(f"SELECT {LOG_COLUMNS} FROM feed_once", "feed_once"),
         "quarantine": _with(QUARANTINE, "click_log"),
         "key_check": _with(
             " UNION ALL ".join(
@@ -263,7 +283,7 @@ def oracle_sql() -> dict[str, str]:
                     _key_check("products", "SELECT product_id FROM products", "product_id"),
                     _key_check("orders", "SELECT o_orderkey AS order_id FROM orders", "order_id"),
                     _key_check("sessions", "SELECT session_id FROM sessions", "session_id"),
-                    _key_check("user_click_logs", "SELECT event_id FROM click_log", "event_id"),
+                    _key_check("user_click_logs", "SELECT event_id FROM feed", "event_id"),
                     _key_check(
                         "user_recommendations",
                         "SELECT user_id, product_id FROM scores",
@@ -278,6 +298,7 @@ def oracle_sql() -> dict[str, str]:
                     ),
                 ]
             ),
+            "feed",
             "people",
             "products",
             "sessions",
@@ -372,25 +393,28 @@ def oracle_sql() -> dict[str, str]:
         "recent_events": _with(
             """SELECT user_id, product_id, event_type,
                 strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp
-            FROM (SELECT * FROM click_log ORDER BY timestamp DESC, event_id DESC LIMIT 30)""",
-            "click_log",
+            FROM (SELECT * FROM feed ORDER BY timestamp DESC NULLS LAST, event_id DESC NULLS LAST
+                LIMIT 30)""",
+            "feed",
         ),
         "live_feed": _with(
-            f"""SELECT event_id, user_id, product_id, event_type, timestamp,
+            f"""SELECT CAST(event_id AS VARCHAR) AS event_id, user_id, product_id, event_type, timestamp,
                 {LABELS.format('%H:%M:%S')} AS time_label,
                 {LABELS.format('%d %b %Y')} AS date_label,
                 'user_' || user_id || ' → product_' || product_id AS event_label,
                 '+' || live AS score_label
-            FROM (SELECT * FROM scored ORDER BY timestamp DESC, event_id DESC LIMIT 100)""",
-            "scored",
+            FROM (SELECT * FROM feed_once
+                ORDER BY timestamp DESC NULLS LAST, event_id DESC NULLS LAST LIMIT 100)""",
+            "feed_once",
         ),
         "live_top_products": _with(
             """SELECT t.product_id, coalesce(p.name, 'product_' || t.product_id) AS name, t.score
             FROM (SELECT product_id, CAST(sum(live) AS BIGINT) AS score
-                FROM (SELECT * FROM scored ORDER BY timestamp DESC, event_id DESC LIMIT 200)
+                FROM (SELECT * FROM feed_once
+                    ORDER BY timestamp DESC NULLS LAST, event_id DESC NULLS LAST LIMIT 200)
                 GROUP BY product_id ORDER BY score DESC, product_id LIMIT 8) t
             LEFT JOIN products p ON t.product_id = p.product_id""",
-            "scored",
+            "feed_once",
             "products",
         ),
         "daily_kpis": _with(
@@ -408,7 +432,8 @@ def oracle_sql() -> dict[str, str]:
                 active_users / (SELECT greatest(1, max(active_users)) FROM active) AS intensity
             FROM active LEFT JOIN (
                 SELECT n_name, n_name || ', ' || r_name AS display_name
-                FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name < 'EUROPE')
+                FROM nation JOIN region ON n_regionkey = r_regionkey
+                WHERE n_nationkey % 5 <> 0)
             ON country = n_name""",
             "active",
         ),

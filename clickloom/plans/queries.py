@@ -50,6 +50,12 @@ def output(frame: DataFrame) -> DataFrame:
     return frame.select(*[column(field) for field in frame.schema.fields])
 
 
+def ids_as_text(frame: DataFrame) -> DataFrame:
+    """Ids that may be absent as text: readers differ in how they take whole numbers with gaps."""
+    ids = [name for name in ("event_id", "session_id") if name in frame.columns]
+    return frame.withColumns({name: F.col(name).cast("string") for name in ids})
+
+
 CATALOGUE: dict[str, Query] = {}
 
 
@@ -98,7 +104,7 @@ def click_events(data: Canonical) -> DataFrame:
 
 @query
 def rejected_events(data: Canonical) -> DataFrame:
-    return cleaning.rejected_events(data.raw_events(), data.session_owners())
+    return cleaning.rejected_events(data.raw_events(), data.recorded_sessions())
 
 
 @query
@@ -117,8 +123,7 @@ def sessions_first(data: Canonical) -> DataFrame:
 
 @query
 def events_dedup(data: Canonical) -> DataFrame:
-    log = data.click_log()
-    return landing.dedup_events(log.unionByName(log))
+    return ids_as_text(landing.dedup_events(data.feed_log()))
 
 
 @query
@@ -133,7 +138,7 @@ def key_check(data: Canonical) -> DataFrame:
         "products": data.products(),
         "orders": data.orders(),
         "sessions": data.session_owners(),
-        "user_click_logs": data.click_log(),
+        "user_click_logs": data.feed_log(),
         "user_recommendations": landing.score_increments(data.click_log()),
     }
     keyed = {name: (frame, PRIMARY_KEYS[name]) for name, frame in tables.items()}
@@ -257,17 +262,17 @@ def product_search(data: Canonical) -> DataFrame:
 
 @query
 def recent_events(data: Canonical) -> DataFrame:
-    return live.recent_events(live.recent_days(data.click_log(), 30), 30)
+    return live.recent_events(live.recent_days(data.feed_log(), 30), 30)
 
 
 @query
 def live_feed(data: Canonical) -> DataFrame:
-    return live.live_feed(live.recent_distinct(data.click_log(), 100), 100)
+    return ids_as_text(live.live_feed(live.recent_distinct(data.feed_log(), 100), 100))
 
 
 @query
 def live_top_products(data: Canonical) -> DataFrame:
-    log = live.recent_days(data.click_log(), 200)
+    log = live.recent_distinct(data.feed_log(), 200)
     return live.live_top_products(log, data.products(), buffer=200)
 
 
@@ -376,11 +381,6 @@ def stream_score_increments(data: Canonical) -> DataFrame:
     return table.read(data.spark)
 
 
-def _listed(log: DataFrame) -> DataFrame:
-    """For the listing only, events logged by hand show -1 as their session."""
-    return log.fillna(-1, ["session_id"])
-
-
 def _landed(data: Canonical) -> str:
     staging = Staging(data.spark)
     root = staging.path("jobs")
@@ -391,7 +391,7 @@ def _landed(data: Canonical) -> str:
 
 @query
 def stream_click_log(data: Canonical) -> DataFrame:
-    return _listed(jobs.landed_log(data.spark, _landed(data)))
+    return ids_as_text(jobs.landed_log(data.spark, _landed(data)))
 
 
 @query
@@ -407,4 +407,4 @@ def stream_dedup(data: Canonical) -> DataFrame:
     stream = _replayed(data, staging, log.unionByName(log))
     root = staging.path("jobs")
     drain(jobs.append_files(jobs.distinct_events(stream), root, ["event_date"]))
-    return _listed(data.spark.read.schema(CLICK_LOG).parquet(f"{root}/rows"))
+    return ids_as_text(data.spark.read.schema(CLICK_LOG).parquet(f"{root}/rows"))

@@ -33,18 +33,18 @@ def use_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", UTC)
 
 
-def streaming_session(spark: SparkSession) -> SparkSession:
+def streaming_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
     """A sibling session for streaming jobs, so the caller's settings stay untouched.
 
     State lives in RocksDB (off heap, spills to disk). The number of state partitions is
-    fixed for the life of a checkpoint, so it follows the cluster's cores, not the data of
-    the first batch.
+    fixed for the life of a checkpoint. Name it on a cluster that grows and shrinks; else it
+    follows the cores seen now.
     """
     sibling = spark.newSession()
     sibling.conf.set("spark.sql.session.timeZone", UTC)
     sibling.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # Commit the changes of a batch, not the whole state.
     sibling.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    cores = spark.sparkContext.defaultParallelism
-    sibling.conf.set("spark.sql.shuffle.partitions", str(cores))
+    partitions = state_partitions or spark.sparkContext.defaultParallelism
+    sibling.conf.set("spark.sql.shuffle.partitions", str(partitions))
     return sibling

@@ -16,8 +16,25 @@ from clickloom.operators.cleaning import event_messages, to_values
 EVENT_TYPES = {"view": "page_view", "click": "add_to_cart", "signup": "checkout"}
 DEVICES = ("mobile", "desktop", "tablet")
 SOURCES = ("organic", "paid", "email", "direct", "social")
-FIRST_DAY = "2024-01-01"
-SESSIONS_PER_USER = 10_000
+# A session's id is its user's number and its day, which has room for every day of the calendar.
+FIRST_DAY = "0001-01-01"
+DAYS = 10_000_000
+# One defect per reason for which a message is rejected: the field and what stands in it.
+DEFECTS = {
+    "bad_json": (None, None),
+    "missing_user_id": ("user_id", None),
+    "bad_user_id": ("user_id", "n/a"),
+    "missing_product_id": ("product_id", None),
+    "bad_product_id": ("product_id", "11.5"),
+    "missing_event_type": ("event_type", None),
+    "bad_session_id": ("session_id", "n/a"),
+    "bad_timestamp": ("timestamp", "yesterday"),
+    "bad_start_time": ("start_time", "2024-13-01"),
+    "bad_qty": ("qty", "many"),
+    "bad_cart_size": ("cart_size", "1,5"),
+    "bad_amount_usd": ("amount_usd", "$5"),
+    "bad_discount_pct": ("discount_pct", "5 %"),
+}
 
 
 def _pick(names: tuple[str, ...], number: Column) -> Column:
@@ -50,11 +67,12 @@ class Canonical:
         )
 
     def country_names(self) -> DataFrame:
-        """Display names for some countries; the others fall back to their code."""
-        regions = self.given("region").filter(F.col("r_name") < "EUROPE")
+        """Display names for most countries; the others fall back to their code."""
+        regions = self.given("region")
         return (
             self.given("nation")
             .join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+            .filter(F.col("n_nationkey") % 5 != 0)
             .select(
                 F.col("n_name").alias("country"),
                 F.concat_ws(", ", "n_name", "r_name").alias("display_name"),
@@ -105,7 +123,7 @@ class Canonical:
             "product_id",
             "event_type",
             "timestamp",
-            f"user_id * {SESSIONS_PER_USER} + date_diff(event_date, DATE '{FIRST_DAY}') AS session_id",
+            f"user_id * {DAYS} + date_diff(event_date, DATE '{FIRST_DAY}') AS session_id",
             """CAST(CASE WHEN event_type IN ('add_to_cart', 'purchase') THEN product_id % 3 + 1 END
                 AS DECIMAL(18,2)) AS qty""",
             """CAST(CASE WHEN event_type = 'checkout' THEN product_id % 5 + 1 END
@@ -125,11 +143,35 @@ class Canonical:
         )
 
     def session_origins(self) -> DataFrame:
+        """Device and source follow from user and day together, each in its own way."""
         number = F.col("session_id")
+        other = F.floor(F.col("customer_id") / 3) + number
         return self.session_owners().withColumns(
-            {"device": _pick(DEVICES, number), "source": _pick(SOURCES, number)}
+            {"device": _pick(DEVICES, number), "source": _pick(SOURCES, other)}
         )
 
+    def recorded_sessions(self) -> DataFrame:
+        """Sessions as recorded: some have no owner."""
+        known = F.when(F.col("session_id") % 11 != 0, F.col("customer_id"))
+        return self.session_owners().withColumn("customer_id", known)
+
+    def feed_log(self) -> DataFrame:
+        """The log as a live feed leaves it: some events without an id or a time, some twice."""
+        log = self.click_log()
+        timed = F.col("event_id") % 500 != 7
+        numbered = F.col("event_id") % 3 != 0
+        feed = log.select(
+            *[
+                F.when(numbered if name == "event_id" else timed, F.col(name)).alias(name)
+                if name in ("event_id", "timestamp", "event_date")
+                else F.col(name)
+                for name in log.columns
+            ],
+            F.when(F.col("event_id") % 4 == 0, 2).otherwise(1).alias("copies"),
+        )
+        each = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
+        return feed.select(*log.columns, each).drop("copy")
+
     def sessions(self) -> DataFrame:
         """With the country of the customer."""
         people = self.customers().select("customer_id", "country")
@@ -181,25 +223,18 @@ class Canonical:
 
     def faulty_values(self) -> DataFrame:
         """Delivered messages, some errors with a defect that depends on their product."""
-        product = F.col("product_id")
         messages = event_messages(self.delivered())
-        defect = F.when(F.col("event_type") == "error", F.floor(product / 10))
-        marked = messages.withColumn("defect", defect).select(
-            "*", *[F.col(c).alias(f"good_{c}") for c in ("user_id", "product_id", "event_type")]
-        )
-        is_not = {i: ~F.coalesce(F.col("defect") == i, F.lit(False)) for i in range(4)}
-        broken = marked.withColumns(
-            {
-                "product_id": F.when(is_not[0], F.col("good_product_id").cast("string")).otherwise(
-                    "n/a"
-                ),
-                "event_type": F.when(is_not[1], F.col("good_event_type")),
-                "user_id": F.when(is_not[2], F.col("good_user_id")),
-            }
-        )
+        number = F.when(F.col("event_type") == "error", F.floor(F.col("product_id") / 5))
+        marked = messages.withColumn("defect", number)
+        spoiled = {name: F.col(name).cast("string") for name, _ in DEFECTS.values() if name}
+        for at, (name, content) in enumerate(DEFECTS.values()):
+            if name:
+                kept = F.when(F.coalesce(F.col("defect") != at, F.lit(True)), spoiled[name])
+                spoiled[name] = kept.otherwise(F.lit(content).cast("string"))
+        cut = F.col("defect") == list(DEFECTS).index("bad_json")
         text = F.to_json(F.struct(*messages.columns))
-        return broken.select(
-            F.when(is_not[3], text).otherwise(F.substring(text, 1, 20)).alias("value")
+        return marked.withColumns(spoiled).select(
+            F.when(cut, F.substring(text, 1, 20)).otherwise(text).alias("value")
         )
 
 

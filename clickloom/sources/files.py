@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.functions.periods import utc_day
-from clickloom.functions.values import number_or_null
+from clickloom.functions.values import id_or_null, number_or_null
 
 
 def normalise_header(frame: DataFrame) -> DataFrame:
@@ -24,32 +24,58 @@ def conform(frame: DataFrame, schema: T.StructType) -> DataFrame:
         if field.name not in frame.columns:
             value = F.lit(None).cast(field.dataType)
         else:
-            value = F.col(field.name)
-            if isinstance(field.dataType, T.IntegralType):
-                # A column with gaps is often written as 11.0.
-                value = value.try_cast(T.DecimalType(38, 6))
-            value = value.try_cast(field.dataType)
-            if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-                value = number_or_null(value)
+            value = _parsed(F.col(field.name), field.dataType)
         return value.alias(field.name)
 
     return frame.select(*[column(field) for field in schema.fields])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _parsed(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.IntegralType):
+        # A column with gaps is often written as 11.0.
+        return id_or_null(value).try_cast(kind)
+    value = value.try_cast(kind)
+    return number_or_null(value) if isinstance(kind, (T.DoubleType, T.FloatType)) else value
+
+
+def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """All columns as text. Quotes within quoted text are doubled. With `multi_line` such text
+    may hold line breaks; a file is then read by one task, so large inputs come as many files, or
+    without line breaks and with `multi_line=False`."""
+    text = spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=multi_line)
+    return normalise_header(text)
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True
+) -> DataFrame:
     """Columns are found by header name, in any order and any case."""
-    text = spark.read.csv(path, header=True, inferSchema=False)
-    return conform(normalise_header(text), schema)
+    return conform(read_csv_text(spark, path, multi_line), schema)
 
 
 def read_csv_tables(
-    spark: SparkSession, folder: str, schemas: Mapping[str, T.StructType]
+    spark: SparkSession, folder: str, schemas: Mapping[str, T.StructType], multi_line: bool = True
 ) -> dict[str, DataFrame]:
     return {
-        name: read_csv(spark, f"{folder}/{name}.csv", schema) for name, schema in schemas.items()
+        name: read_csv(spark, f"{folder}/{name}.csv", schema, multi_line)
+        for name, schema in schemas.items()
     }
 
 
+def lost_values(text: DataFrame, schema: T.StructType) -> DataFrame:
+    """(column_name, n_lost): per column of the schema, the values that were there as text and do
+    not parse. Not-a-number counts as absent."""
+    there = [field for field in schema.fields if field.name in text.columns]
+
+    def lost(field: T.StructField) -> Column:
+        value = F.col(field.name)
+        absent = value.isNull() | F.lower(F.trim(value)).isin("", "nan", "null")
+        return F.count_if(~absent & _parsed(value, field.dataType).isNull()).alias(field.name)
+
+    counts = text.agg(*[lost(field) for field in there])
+    return counts.unpivot([], [field.name for field in there], "column_name", "n_lost")
+
+
 def replace_parquet(frame: DataFrame, path: str) -> None:
     frame.write.mode("overwrite").parquet(path)
 

@@ -18,13 +18,15 @@ def source_options(
     topic: str = TOPIC,
     offsets_per_trigger: int = OFFSETS_PER_TRIGGER,
     starting_offsets: str = "latest",
+    fail_on_data_loss: bool = True,
 ) -> dict[str, str]:
+    """`fail_on_data_loss=False` goes on where offsets are gone, and so skips messages."""
     return {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
         "maxOffsetsPerTrigger": str(offsets_per_trigger),
         "startingOffsets": starting_offsets,
-        "failOnDataLoss": "false",
+        "failOnDataLoss": str(fail_on_data_loss).lower(),
     }
 
 

@@ -84,7 +84,12 @@ def test_quarantine_names_the_first_fault(spark):
     texts = {
         '{"user_id": 1, "product_id": 2, "event_type": "purchase", "session_id": 3}': None,
         '{"user_id": 1, "product_id": 2, "event_type": "purchase"}': None,
-        '{"user_id": 1, "product_id": 2, "event_type": "purchase", "qty": "many"}': None,
+        '{"user_id": 1, "product_id": 2, "event_type": "purchase", "qty": "many"}': "bad_qty",
+        '{"user_id": 1, "product_id": 2, "event_type": "a", "discount_pct": "x"}': "bad_discount_pct",
+        '{"user_id": 1, "product_id": 2, "event_type": "a", "timestamp": "garbage"}': "bad_timestamp",
+        '{"user_id": 1, "product_id": 2, "event_type": "a", "start_time": "soon"}': "bad_start_time",
+        '{"user_id": 1, "product_id": 2.5, "event_type": "a"}': "bad_product_id",
+        '{"user_id": 1.0, "product_id": "2.0", "event_type": "a", "qty": "NaN"}': None,
         '{"user_id": 1, "prod': "bad_json",
         "[1, 2": "bad_json",
         '{"product_id": 2, "event_type": "purchase"}': "missing_user_id",
@@ -97,7 +102,7 @@ def test_quarantine_names_the_first_fault(spark):
     checked = cleaning.checked_messages(values(spark, *texts, None))
     assert dict(rows(checked, "value", "reason")) == {**texts, None: "bad_json"}
     assert cleaning.accepted(checked).count() == 3
-    assert cleaning.quarantined(checked).count() == 9
+    assert cleaning.quarantined(checked).count() == 14
     counts = dict(rows(cleaning.quarantine_counts(checked)))
     assert counts["bad_json"] == 3
 

@@ -89,8 +89,10 @@ def test_recent_days_change_nothing(spark, log, limit):
     untimed = click_log(spark, [(9, 9, 9, "page_view", None, None, None)])
     whole = log.unionByName(untimed)
     pruned = live.recent_days(whole, limit)
-    expected = rows(live.recent_events(log, limit))
+    expected = rows(live.recent_events(whole, limit))
+    assert len(expected) == min(limit, 6)
     assert rows(live.recent_events(pruned, limit)) == expected
+    assert rows(live.live_feed(live.recent_distinct(whole, limit), limit)) == rows(live.live_feed(whole, limit))
     copies = log.unionByName(log)
     distinct = live.recent_distinct(copies, limit)
     assert rows(live.live_feed(distinct, limit)) == rows(live.live_feed(log, limit))
@@ -106,6 +108,22 @@ def test_recent_days_leave_out_older_ones(log):
     assert live.recent_distinct(copies, 2, ["user_id"]).count() == 10
 
 
+def test_a_short_newest_day_leaves_old_days_unread(spark):
+    days = [(i, i, 1, "page_view", f"2024-01-{1 + i // 10:02d} 10:00:{i % 10:02d}", 3, None) for i in range(90)]
+    log = click_log(spark, [*days, (90, 1, 1, "page_view", "2024-01-10 09:00", 3, None)])
+    kept = live.recent_distinct(log.unionByName(log), 15)
+    assert kept.agg(F.min("event_date")).first()[0].day == 8
+    assert rows(live.live_feed(kept, 15)) == rows(live.live_feed(log, 15))
+
+
+def test_the_feed_keeps_events_without_ids_and_top_products_count_copies_once(spark):
+    bare = click_log(spark, [(None, 1, 7, "purchase", "2024-01-02 10:00:00", None, 20.0)])
+    copies = bare.unionByName(bare).unionByName(bare)
+    assert rows(live.live_feed(copies), "event_id", "event_type", "score_label") == [(None, "purchase", "+10")]
+    names = spark.createDataFrame([(7, "lamp")], "product_id long, name string")
+    assert rows(live.live_top_products(copies, names)) == [(7, "lamp", 10)]
+
+
 def test_live_feed_labels(log):
     assert rows(
         live.live_feed(log, 2), "time_label", "date_label", "event_label", "score_label"

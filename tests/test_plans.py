@@ -98,6 +98,7 @@ def test_a_sales_scope_prunes_partitions(stored):
     plan = plan_of(trend)
     assert "dayofmonth(event_date" in re.search(r"PartitionFilters: \[.*?\], Pushed", plan)[0]
     assert "EqualTo(event_type,purchase)" in plan
+    assert "GreaterThanOrEqual(timestamp,2024-01-03" in plan
     assert 0 < files_read(trend) < len(stored.inputFiles())
 
 
@@ -112,8 +113,9 @@ def test_recent_events_read_only_the_newest_days(stored):
 def test_distinct_recent_events_read_only_the_newest_day(stored):
     found = live.live_feed(live.recent_distinct(stored, 100))
     plan = plan_of(found)
-    assert re.search(r"PartitionFilters: \[[^\]]*event_date#\d+ >= cast\((Reused)?Subquery", plan)
+    assert re.search(r"PartitionFilters: \[[^\]]*event_date#\d+ >= 2024-01-10", plan)
     assert rows(found) == rows(live.live_feed(stored))
+    assert 0 < files_read(found) < len(stored.inputFiles())
 
 
 def test_one_user_reaches_the_scan(stored, spark):

@@ -4,11 +4,14 @@ from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clickloom.plans import etl
 from clickloom.plans.dashboard import Dashboard, country_names, log_events
 from clickloom.schemas import CLICK_LOG, CUSTOMERS, EVENTS, LIVE_TABLES, STATIC_TABLES
 from clickloom.sources import catalog, files, jdbc, kafka, staging
+from clickloom.streaming import jobs
+from clickloom.streaming.lifecycle import drain
 from conftest import plan_of
 from frames import at, click_log, rows
 
@@ -127,15 +130,37 @@ def test_rebuild_recommendations_twice(spark, csv_folder, tmp_path):
     assert etl.matrix(spark, out).count() == 3
 
 
-def test_logged_events_are_stored_and_published_once(spark, tmp_path):
+def test_quoted_csv_text_and_lost_values(spark, tmp_path):
+    path = tmp_path / "products.csv"
+    path.write_text('product_id,name,price\n1,"good, ""really"" good",2.5\n2,"two\nlines",dear\n3.0,,nan\nx,c,\n')
+    schema = T.StructType([T.StructField("product_id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("price", T.DoubleType())])
+    assert rows(files.read_csv(spark, str(path), schema)) == [
+        (1, 'good, "really" good', 2.5),
+        (2, "two\nlines", None),
+        (3, None, None),
+        (None, "c", None),
+    ]
+    lost = files.lost_values(files.read_csv_text(spark, str(path)), schema)
+    assert dict(rows(lost)) == {"product_id": 1, "name": 0, "price": 1}
+
+
+def test_logged_events_take_one_path(spark, tmp_path):
     entries = spark.createDataFrame(
         [(1, 10, "purchase")], "user_id long, product_id long, event_type string"
     )
     log, feed = str(tmp_path / "log"), str(tmp_path / "feed")
-    log_events(entries, log, feed_path=feed)
+    log_events(entries, log)
     assert rows(spark.read.schema(CLICK_LOG).parquet(log), "user_id", "event_type") == [
         (1, "purchase")
     ]
+    log_events(entries, log, feed_path=feed)
+    assert spark.read.schema(CLICK_LOG).parquet(log).count() == 1
+    with pytest.raises(ValueError):
+        log_events(entries)
+    landed = str(tmp_path / "landed")
+    jobs.sessions_table(landed).create(spark)
+    drain(jobs.land(kafka.read_files(spark, feed), landed))
+    assert rows(jobs.landed_log(spark, landed), "user_id", "event_type") == [(1, "purchase")]
     (text,) = rows(spark.read.text(feed))
     assert '"user_id":1' in text[0] and '"session_id":null' in text[0]
 
@@ -154,7 +179,8 @@ def test_topic_options():
     options = kafka.source_options("host:1", offsets_per_trigger=5)
     assert options["subscribe"] == "click_events"
     assert options["maxOffsetsPerTrigger"] == "5"
-    assert options["failOnDataLoss"] == "false"
+    assert options["failOnDataLoss"] == "true"
+    assert kafka.source_options("host:1", fail_on_data_loss=False)["failOnDataLoss"] == "false"
 
 
 def test_database_options_come_from_the_environment():

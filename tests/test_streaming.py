@@ -151,7 +151,7 @@ def test_landing_a_batch_again_changes_nothing(spark, feed, tmp_path):
     root = str(tmp_path / "job")
     jobs.sessions_table(root).create(spark)
     feed.send(*MESSAGES[:2])
-    feed.send(*MESSAGES[2:], "broken {")
+    feed.send(*MESSAGES[2:], "broken {", '{"user_id": 8, "product_id": 9, "event_type": "untimed"}')
     drain(jobs.land(feed.stream(), root))
     before = sorted(map(str, rows(jobs.landed_log(spark, root))))
     for commit in (tmp_path / "job" / "checkpoint" / "commits").glob("*1*"):
