@@ -8,8 +8,11 @@ documents share do not fill a tile, since the rest of the part must agree as wel
 Within a tile each node is first compared with one pivot, which settles large groups of near
 copies in a step; tiles that still hold more than one component are compared in full, split
 into blocks. A pair is compared by sizes and by bitmaps first: every bit in which two bitmaps
-differ stands for an element that only one set has. What that bound lets through is intersected
-exactly, as sorted arrays of 64-bit hashes. Pairs within a component need no comparison.
+differ stands for an element that only one set has. Within a tile that is a short bitmap of fixed
+length, then for each pair left one as long as its sets need. What both bounds let through is
+intersected exactly, as sorted arrays of 64-bit hashes. Pairs within a component need no comparison.
+
+Tiles are found by the first 64 bits of a node's 128; equal ones only add comparisons.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; its
 component is its own id. Documents with equal sets are linked, whatever their ids; a null id is
@@ -32,8 +35,9 @@ from pyspark.sql import types as T
 from clickloom.llm.arrow import Step, mapped, slices, with_columns
 from clickloom.sources.staging import Staging
 
-# Longs of a bitmap.
-BITMAP = 8
+# Longs of the bitmap of fixed length, and bits per element of the other one.
+BITMAP = 16
+DENSITY = 6
 # Nodes of a block of a tile that is compared in full.
 BLOCK = 256
 BAND_GROWTH = 1.5
@@ -45,10 +49,16 @@ BITS = [f"bits{i}" for i in range(BITMAP)]
 SIGNED = [
     T.StructField("n_shingles", T.LongType()),
     T.StructField("node", T.BinaryType()),
-    *[T.StructField(name, T.LongType()) for name in BITS],
+    T.StructField("short", T.LongType()),
     T.StructField("tiles", T.ArrayType(T.LongType())),
 ]
-SHINGLED = [T.StructField("node", T.BinaryType()), T.StructField("shingles", T.BinaryType())]
+SHINGLED = [
+    T.StructField("node", T.BinaryType()),
+    T.StructField("n", T.LongType()),
+    *[T.StructField(name, T.LongType()) for name in BITS],
+    T.StructField("bitmap", T.BinaryType()),
+    T.StructField("shingles", T.BinaryType()),
+]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -133,10 +143,26 @@ def tile_keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def bitmap(hashes: np.ndarray) -> np.ndarray:
-    bits = np.zeros(64 * BITMAP, np.uint8)
-    bits[(hashes & np.uint64(64 * BITMAP - 1)).astype(np.intp)] = 1
-    return np.packbits(bits).view(np.int64)
+def bitmap(hashes: np.ndarray, size: int = 64 * BITMAP) -> np.ndarray:
+    """A bit for every element; `size` is a power of two. Halves laid over each other make the
+    bitmap of half the size."""
+    bits = np.zeros(size, np.uint8)
+    bits[(hashes & np.uint64(size - 1)).astype(np.intp)] = 1
+    return np.packbits(bits)
+
+
+def bitmap_size(n: int) -> int:
+    return 1 << max(9, (DENSITY * n - 1).bit_length())
+
+
+def differing_bits(one: bytes, other: bytes) -> int:
+    """Bits that differ, the longer bitmap folded to the length of the shorter."""
+    left, right = (np.frombuffer(part, np.uint64) for part in (one, other))
+    while len(left) > len(right):
+        left = left[: len(left) // 2] | left[len(left) // 2 :]
+    while len(right) > len(left):
+        right = right[: len(right) // 2] | right[len(right) // 2 :]
+    return int(np.bitwise_count(left ^ right).sum())
 
 
 def node_of(hashes: np.ndarray) -> bytes:
@@ -147,14 +173,15 @@ def signer(n: int, bands: Bands, text_column: str) -> Step:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(text, n) for text in batch.column(text_column).to_pylist()]
-            maps = np.array([bitmap(s) for s in sets], np.int64).reshape(-1, BITMAP)
+            nodes = [node_of(s) if len(s) else None for s in sets]
+            short = [None if node is None else int.from_bytes(node[:8], "little", signed=True) for node in nodes]
             keys = [tile_keys(s, bands).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
             yield with_columns(
                 batch,
                 {
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()),
-                    **{name: pa.array(maps[:, at]) for at, name in enumerate(BITS)},
+                    "node": pa.array(nodes, pa.binary()),
+                    "short": pa.array(short, pa.int64()),
                     "tiles": pa.array(keys, pa.list_(pa.int64())),
                 },
             )
@@ -166,10 +193,15 @@ def shingler(n: int, text_column: str) -> Step:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(text, n) for text in batch.column(text_column).to_pylist()]
+            maps = np.array([bitmap(s).view(np.int64) for s in sets], np.int64).reshape(-1, BITMAP)
+            own = [bitmap(s, bitmap_size(len(s))).tobytes() for s in sets]
             yield with_columns(
                 batch,
                 {
                     "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()),
+                    "n": pa.array([len(s) for s in sets], pa.int64()),
+                    **{name: pa.array(maps[:, at]) for at, name in enumerate(BITS)},
+                    "bitmap": pa.array(own, pa.binary()),
                     "shingles": pa.array([s.tobytes() for s in sets], pa.binary()),
                 },
             )
@@ -190,23 +222,35 @@ def _bound(num: int, den: int) -> Column:
     return (smaller * den >= larger * num) & ((both - differ) * (num + den) >= both * (2 * num))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, staging: Staging) -> DataFrame:
-    """The pairs (a, b) whose sets overlap enough, by intersection of sorted arrays."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+def _filtered(pairs: DataFrame, sets: DataFrame, column: str, linked, staging: Staging) -> DataFrame:
+    """The pairs (a, b) for which `linked` holds, given their sizes and one binary column."""
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col(column).alias("left"))
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col(column).alias("right"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            linked = []
-            for one, other in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-                x, y = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(both * den >= num * (len(x) + len(y) - both))
-            keep = pa.array(linked, pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
+            inputs = [batch.column(name).to_pylist() for name in ("n_a", "n_b", "left", "right")]
+            keep = [linked(*row) for row in zip(*inputs, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return staging.put(joined.mapInArrow(run, "a binary, b binary"), column)
+
 
-    return staging.put(joined.mapInArrow(run, "a binary, b binary"), "links")
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, staging: Staging) -> DataFrame:
+    """The pairs whose sets overlap enough: what the long bitmaps let through is intersected."""
+
+    def possible(n_a: int, n_b: int, one: bytes, other: bytes) -> bool:
+        both = n_a + n_b
+        return (both - differing_bits(one, other)) * (num + den) >= both * 2 * num
+
+    def overlapping(n_a: int, n_b: int, one: bytes, other: bytes) -> bool:
+        x, y = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both * den >= num * (n_a + n_b - both)
+
+    left = _filtered(pairs, sets, "bitmap", possible, staging)
+    return _filtered(left, sets, "shingles", overlapping, staging)
 
 
 def components(links: DataFrame, staging: Staging) -> DataFrame:
@@ -263,22 +307,23 @@ def _labels(
     rows: DataFrame, full: DataFrame, staging: Staging, n: int, num: int, den: int, block: int
 ) -> DataFrame:
     """(node, label) of all nodes that are linked with another one."""
-    placed = full.select(F.explode("tiles").alias("tile"), "node")
-    tiles = placed.groupBy("tile").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-    alive = tiles.filter("pivot <> last").select("tile", "pivot")
-    members = staging.put(placed.join(alive, "tile").distinct(), "members")
-    wanted = members.select("node").distinct()
-    nodes = full.join(wanted, "node", "left_semi").groupBy("node").agg(
-        F.min("n_shingles").alias("n"),
-        F.min_by("id", "id").alias("id"),
-        *[F.min(name).alias(name) for name in BITS],
-    )
-    nodes = staging.put(nodes, "nodes")
-    chosen = rows.join(nodes.select(F.col("id").alias("chosen")), F.col("id").eqNullSafe(F.col("chosen")), "left_semi")
+    # Copies are one node, whatever their number, before tiles are dealt out.
+    distinct = full.select("node", "short", "tiles").dropDuplicates(["node"])
+    placed = distinct.select(F.explode("tiles").alias("tile"), "short")
+    tiles = placed.groupBy("tile").agg(F.min("short").alias("least"), F.max("short").alias("most"))
+    alive = tiles.filter("least <> most").select("tile")
+    shared = staging.put(placed.join(alive, "tile"), "shared")
+    leading = full.groupBy("node").agg(F.min("short").alias("short"), F.min("id").alias("id"))
+    leading = leading.join(shared.select("short").distinct(), "short", "left_semi")
+    leading = staging.put(leading, "leading")
+    chosen = rows.join(leading.select(F.col("id").alias("chosen")), F.col("id").eqNullSafe(F.col("chosen")), "left_semi")
     sets = mapped(chosen.select("text"), [shingler(n, "text")], SHINGLED, keep=[])
-    sets = sets.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    sets = sets.join(leading.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = staging.put(sets, "sets")
-    sized = nodes.drop("id")
+    sized = sets.select("node", "n", *BITS)
+    members = shared.join(leading.select("short", "node"), "short").select("tile", "node")
+    pivot = members.groupBy("tile").agg(F.min("node").alias("pivot"))
+    members = staging.put(members.join(pivot, "tile"), "members")
 
     pivots = members.filter("node <> pivot").select(F.col("pivot").alias("node_a"), F.col("node").alias("node_b")).distinct()
     pairs = pivots.join(_named(sized, "a"), "node_a").join(_named(sized, "b"), "node_b").filter(_bound(num, den))
@@ -293,7 +338,9 @@ def _labels(
     )
     # A tile of two is settled by its pivot.
     open_tiles = open_tiles.filter("least <> most AND size > 2").select("tile", "size")
-    unsettled = staging.put(labelled.join(open_tiles, "tile").join(sized, "node"), "unsettled")
+    open_members = labelled.join(open_tiles, "tile")
+    own_tiles = open_members.groupBy("node").agg(F.collect_list("tile").alias("tiles"))
+    unsettled = staging.put(open_members.join(sized, "node").join(own_tiles, "node"), "unsettled")
     if unsettled.isEmpty():
         return labels
     more = _compared(unsettled, num, den, block).join(pairs, ["a", "b"], "left_anti")
@@ -303,10 +350,11 @@ def _labels(
 
 def _compared(unsettled: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """Pairs (a, b) of different components in a tile that the bound lets through. A tile is cut
-    into blocks, and each pair of blocks is compared by itself."""
+    into blocks, and each pair of blocks is compared by itself. A pair that shares several tiles is
+    reported by the first of them."""
     blocks = F.ceil(F.col("size") / block).cast("int")
     cut = unsettled.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    own = [*BITS, "node", "label", "n"]
+    own = [*BITS, "node", "label", "n", "tiles"]
     left = cut.select(
         "tile", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"),
         *[F.col(name).alias(f"{name}_a") for name in own],
@@ -318,6 +366,9 @@ def _compared(unsettled: DataFrame, num: int, den: int, block: int) -> DataFrame
     # Blocks of a pair are in order; within one block the nodes are.
     ordered = (F.col("i") < F.col("j")) | (F.col("node_a") < F.col("node_b"))
     found = left.join(right, ["tile", "i", "j"]).filter(
-        ordered & (F.col("label_a") != F.col("label_b")) & _bound(num, den)
+        ordered
+        & (F.col("label_a") != F.col("label_b"))
+        & _bound(num, den)
+        & (F.array_min(F.array_intersect("tiles_a", "tiles_b")) == F.col("tile"))
     )
     return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
