@@ -17,6 +17,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,36 +36,58 @@ LONG_PIECE = 512
 NO_RANK = np.int64(1 << 62)
 
 
-def read_ranks(path: str) -> "Ranks":
+class Ranks(dict):
+    """Token to rank; an object that can key a cache."""
+
+    __hash__ = object.__hash__
+    __eq__ = object.__eq__
+
+
+def read_ranks(path: str) -> Ranks:
     """Ranks from lines of a token in base 64 and its rank."""
     with open(path, "rb") as lines:
         pairs = (line.split() for line in lines)
         return Ranks((base64.b64decode(pair[0]), int(pair[1])) for pair in pairs if pair)
 
 
+class Pairs(NamedTuple):
+    """Mergeable pairs: sorted keys (left id, right id), their ranks, and the id that a rank makes."""
+
+    keys: np.ndarray
+    ranks: np.ndarray
+    made: np.ndarray
+
+    @classmethod
+    def of(cls, triples: list[tuple[int, int, int, int]]) -> Pairs:
+        """From (left, right, rank, id)."""
+        table = np.array(triples, np.int64).reshape(-1, 4)
+        keys = table[:, 0] << 32 | table[:, 1]
+        order = np.argsort(keys)
+        made = np.zeros(int(table[:, 2].max(initial=-1)) + 1, np.int64)
+        made[table[:, 2]] = table[:, 3]
+        return cls(keys[order], table[order, 2], made)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        wanted = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.ranks[at], NO_RANK)
+
+
 @lru_cache(maxsize=2)
-def _pairs(ranks: "Ranks") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys of all pairs of tokens that make a token, its rank, and the id of each byte."""
+def _pairs(ranks: Ranks) -> tuple[Pairs, np.ndarray]:
+    """All pairs of tokens that make a token, and the id of each byte."""
     found = [
-        (ranks[token[:at]] << 32 | ranks[token[at:]], rank)
+        (ranks[token[:at]], ranks[token[at:]], rank, rank)
         for token, rank in ranks.items()
         for at in range(1, len(token))
         if token[:at] in ranks and token[at:] in ranks
     ]
-    keys, merged = np.array(sorted(found), np.int64).reshape(-1, 2).T
     single = np.array([ranks.get(bytes([byte]), 0) for byte in range(256)], np.int64)
-    return np.ascontiguousarray(keys), np.ascontiguousarray(merged), single
+    return Pairs.of(found), single
 
 
-def _rank_of(left: np.ndarray, right: np.ndarray, keys: np.ndarray, merged: np.ndarray) -> np.ndarray:
-    wanted = left << 32 | right
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, merged[at], NO_RANK)
-
-
-def merge(pieces: list[bytes], ranks: "Ranks") -> list[bytes]:
-    """Packed ids of pre-tokens. In each, again and again, the leftmost pair of the lowest rank
-    becomes one; all pieces take each such step together. Very long ones are merged by a heap."""
+def merge(pieces: list[bytes], ranks: Ranks) -> list[bytes]:
+    """Packed ids of pre-tokens. Very long ones are merged one by one, by a heap."""
     ids: list[bytes] = [b""] * len(pieces)
     rest = []
     for at, piece in enumerate(pieces):
@@ -75,13 +98,21 @@ def merge(pieces: list[bytes], ranks: "Ranks") -> list[bytes]:
             ids[at] = np.array(_merge_long(piece, ranks), "<u4").tobytes()
         elif piece:
             rest.append(at)
-    if not rest:
-        return ids
-    keys, merged, single = _pairs(ranks)
-    symbols = single[np.frombuffer(b"".join([pieces[at] for at in rest]), np.uint8)]
-    lengths = np.array([len(pieces[at]) for at in rest], np.int64)
-    owners = np.array(rest, np.int64)
-    pair = _rank_of(symbols, np.append(symbols[1:], 0), keys, merged)
+    if rest:
+        pairs, single = _pairs(ranks)
+        symbols = single[np.frombuffer(b"".join([pieces[at] for at in rest]), np.uint8)]
+        lengths = np.array([len(pieces[at]) for at in rest], np.int64)
+        for at, packed in zip(rest, merge_symbols(symbols, lengths, pairs), strict=True):
+            ids[at] = packed
+    return ids
+
+
+def merge_symbols(symbols: np.ndarray, lengths: np.ndarray, pairs: Pairs) -> list[bytes]:
+    """Packed ids of sequences of symbols laid end to end, none of them empty. In each, again and
+    again, the leftmost pair of the lowest rank becomes one; all take each such step together."""
+    ids: list[bytes] = [b""] * len(lengths)
+    owners = np.arange(len(lengths))
+    pair = pairs.rank(symbols, np.append(symbols[1:], 0))
     pair[np.cumsum(lengths) - 1] = NO_RANK
     while True:
         starts = np.cumsum(lengths) - lengths
@@ -99,20 +130,20 @@ def merge(pieces: list[bytes], ranks: "Ranks") -> list[bytes]:
         segment = np.repeat(np.arange(len(lengths)), lengths)
         lowest = np.flatnonzero(pair == least[segment])
         first = lowest[np.append(True, segment[lowest[1:]] != segment[lowest[:-1]])]
-        symbols[first] = least
+        symbols[first] = pairs.made[least]
         keep = np.ones(len(symbols), bool)
         keep[first + 1] = False
         symbols, pair, segment = symbols[keep], pair[keep], segment[keep]
         lengths = lengths - 1
-        # Each piece lost one symbol to the right of its merged pair.
+        # Each sequence lost one symbol to the right of its merged pair.
         at = first - np.arange(len(first))
         for left in (at[at > 0] - 1, at):
             right = np.minimum(left + 1, len(symbols) - 1)
             inside = (left + 1 < len(symbols)) & (segment[left] == segment[right])
-            pair[left] = np.where(inside, _rank_of(symbols[left], symbols[right], keys, merged), NO_RANK)
+            pair[left] = np.where(inside, pairs.rank(symbols[left], symbols[right]), NO_RANK)
 
 
-def _merge_long(piece: bytes, ranks: "Ranks") -> list[int]:
+def _merge_long(piece: bytes, ranks: Ranks) -> list[int]:
     """One piece with a heap of pairs and linked parts, for pieces without a bound on their length."""
     n = len(piece)
     end = list(range(1, n + 1))  # of the part that begins here; 0: no part begins here
@@ -146,7 +177,7 @@ def _merge_long(piece: bytes, ranks: "Ranks") -> list[int]:
 class Merged(dict):
     """Pre-token to the packed ids of its tokens, filled as pre-tokens appear."""
 
-    def __init__(self, ranks: "Ranks"):
+    def __init__(self, ranks: Ranks):
         self.ranks = ranks
 
     def __missing__(self, piece: str) -> bytes:
@@ -196,26 +227,6 @@ def pieces_of(texts: list[str]) -> Iterator[list[str]]:
         first += len(own) + 1
 
 
-@lru_cache(maxsize=2)
-def _tokens(ranks: "Vocabulary") -> tuple[np.ndarray, list[bytes]]:
-    tokens = [b""] * (max(ranks.value.values(), default=-1) + 1)
-    for token, rank in ranks.value.items():
-        tokens[rank] = token
-    return np.array([len(token) for token in tokens], np.int64), tokens
-
-
-@lru_cache(maxsize=2)
-def _merged(ranks: "Vocabulary") -> Merged:
-    return Merged(ranks.value)
-
-
-class Ranks(dict):
-    """Token to rank; an object that can key a cache."""
-
-    __hash__ = object.__hash__
-    __eq__ = object.__eq__
-
-
 class Vocabulary:
     """Ranks that reach the workers once, as a broadcast."""
 
@@ -234,6 +245,19 @@ class Vocabulary:
         return hash(self.path)
 
 
+@lru_cache(maxsize=2)
+def _tokens(ranks: Vocabulary) -> tuple[np.ndarray, list[bytes]]:
+    tokens = [b""] * (max(ranks.value.values(), default=-1) + 1)
+    for token, rank in ranks.value.items():
+        tokens[rank] = token
+    return np.array([len(token) for token in tokens], np.int64), tokens
+
+
+@lru_cache(maxsize=2)
+def _merged(ranks: Vocabulary) -> Merged:
+    return Merged(ranks.value)
+
+
 ENCODED = [
     T.StructField("n_tokens", T.LongType()),
     T.StructField("token_ids", T.BinaryType()),

@@ -19,9 +19,11 @@ each for itself. Other columns are ignored. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm.arrow import slices
+from clickloom.llm.bpe import Pairs, merge_symbols
 
 LIMIT = 2048
 SEGMENTS = 64
@@ -37,11 +40,12 @@ END_TOKEN = 1
 # Waiting pieces, each shorter than a sequence, among which the next one is chosen.
 WAITING = 1024
 # Distinct words remembered by a worker; beyond it the memory is emptied.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 LONGEST_REMEMBERED = 64
 PARTITION_SHIFT = 33
-# Signs that end a word stand apart from it in the tokenizer as well.
-TRAILING = re.compile(r"(?<=[^\W_])([.,;:!?]+)(?=\s|$)")
+# Signs that end a word stand apart from it in the tokenizer as well, if what is before them is
+# surely a letter or digit after normalising: Latin ones, but for the dotted capital I.
+TRAILING = re.compile("(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])([.,;:!?]+)(?=\\s|$)")
 PIECE = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -60,6 +64,22 @@ class TokenizerFile:
         return hash(self.path)
 
 
+def byte_signs() -> list[str]:
+    """The character that stands for each byte in the vocabulary: itself where it is printable
+    Latin-1, else the next one from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(byte) if byte in printable else chr(next(others)) for byte in range(256)]
+
+
+def plain_word(word: str) -> bytes | None:
+    """The lower-case bytes of a word of letters, where that needs no context; else null."""
+    if not word.isalpha() or "\u03a3" in word or not is_normalized("NFC", word):
+        return None
+    small = word.lower()
+    return small.encode() if small.isalpha() else None
+
+
 class WordIds(dict):
     """Word between white space to its packed ids. The tokenizer drops white space and nothing
     reaches across it, so a text's ids are those of its words."""
@@ -69,10 +89,35 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_str(file.broadcast.value)
         self.tokenizer.encode_special_tokens = True
+        model = json.loads(file.broadcast.value)["model"]
+        vocabulary = model["vocab"]
+        merges = [pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"]]
+        self.pairs = Pairs.of(
+            [(vocabulary[a], vocabulary[b], rank, vocabulary[a + b]) for rank, (a, b) in enumerate(merges)]
+        )
+        signs = byte_signs()
+        self.inner = np.array([vocabulary[sign] for sign in signs], np.int64)
+        self.last = np.array([vocabulary[sign + model["end_of_word_suffix"]] for sign in signs], np.int64)
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(word.ids, "<u4").tobytes() for word in found]
+        """Words of letters alone are merged together here; the library splits and merges the rest."""
+        plain = [plain_word(word) for word in words]
+        found = iter(self._merged([word for word in plain if word is not None]))
+        others = [word for word, own in zip(words, plain, strict=True) if own is None]
+        split = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
+        return [
+            np.array(next(split).ids, "<u4").tobytes() if own is None else next(found) for own in plain
+        ]
+
+    def _merged(self, words: list[bytes]) -> list[bytes]:
+        if not words:
+            return []
+        symbols = np.frombuffer(b"".join(words), np.uint8)
+        lengths = np.array([len(word) for word in words], np.int64)
+        ends = np.cumsum(lengths) - 1
+        ids = self.inner[symbols]
+        ids[ends] = self.last[symbols[ends]]
+        return merge_symbols(ids, lengths, self.pairs)
 
     def __missing__(self, word: str) -> bytes:
         return self._encode([word])[0]
