@@ -170,10 +170,13 @@ def threshold(judged: DataFrame) -> float | None:
         "bin",
         "sum(n_a) OVER (ORDER BY bin DESC) / sum(n_a) OVER () AS caught",
         "sum(n_r) OVER (ORDER BY bin DESC) / sum(n_r) OVER () AS wrong",
+        "lead(bin) OVER (ORDER BY bin DESC) + 1 AS below",
         "sum(n_a) OVER () AS all_a",
         "sum(n_r) OVER () AS all_r",
     ).filter("all_a > 0 AND all_r > 0")
-    best = shares.agg(F.max_by("bin", F.struct(F.col("caught") - F.col("wrong"), "bin"))).first()[0]
+    # The middle of the gap to the next lower URL.
+    middle = (F.col("bin") + F.coalesce("below", "bin")) / 2
+    best = shares.agg(F.max_by(middle, F.struct(F.col("caught") - F.col("wrong"), "bin"))).first()[0]
     return None if best is None else best / BINS_PER_NAT
 
 

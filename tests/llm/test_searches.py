@@ -1,0 +1,101 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from clickloom.llm import exact_topk, vantage, vectors
+from frames import rows
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def frame(spark, vecs):
+    return spark.createDataFrame([(i, v, 0) for i, v in vecs], SCHEMA)
+
+
+def some_vectors(n, dim, seed, copies=0):
+    rnd = np.random.default_rng(seed)
+    base = rnd.normal(size=(n, dim)).astype(np.float32)
+    base[:copies] = base[0]
+    return [(int(i), [float(x) for x in v]) for i, v in enumerate(base)]
+
+
+ODD = [(1000, None), (1001, [None, 1.0]), (1002, [float("nan"), 1.0]), (1003, [float("inf"), 1.0]), (None, [1.0, 1.0]), (1004, [1.0, 2.0, 3.0])]
+
+
+def brute_top(vecs, step, k):
+    """Smallest vector of an id; equal lengths only."""
+    usable = {}
+    for i, v in vecs:
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
+            usable[i] = min(usable.get(i, v), v)
+    ints = {i: [int(np.floor(1024 * np.float64(np.float32(x)))) for x in v] for i, v in usable.items()}
+    out = []
+    for q in sorted(i for i in ints if i % step == 0):
+        scored = sorted(
+            (-sum(a * b for a, b in zip(ints[q], v, strict=True)), i)
+            for i, v in ints.items()
+            if i != q and len(v) == len(ints[q])
+        )
+        out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:k], 1)]
+    return out
+
+
+@pytest.mark.parametrize("tile", [4096, 64])
+def test_exact_top_k_equals_brute_force(spark, staging, monkeypatch, tile):
+    monkeypatch.setattr(vectors.tiles, "__defaults__", (tile, 8))
+    monkeypatch.setattr(exact_topk, "BINS", 32)
+    vecs = [*some_vectors(300, 2, 1, copies=90), *ODD, (5, [0.0, 9.0]), (5, [0.0, 9.0])]
+    found = exact_topk.top_k(frame(spark, vecs), F.col("vec_id") % 20 == 0, staging, k=7)
+    assert sorted(rows(found)) == brute_top(vecs, 20, 7)
+
+
+def test_few_candidates_and_no_rows(spark, staging):
+    few = frame(spark, [(0, [1.0]), (100, [2.0]), (3, [0.5])])
+    assert sorted(rows(exact_topk.top_k(few, F.col("vec_id") % 100 == 0, staging))) == [
+        (0, 1, 100, 1024 * 2048), (0, 2, 3, 1024 * 512), (100, 1, 0, 2048 * 1024), (100, 2, 3, 2048 * 512)
+    ]
+    assert exact_topk.top_k(few.limit(0), F.col("vec_id") % 100 == 0, staging).count() == 0
+    assert vantage.nearest(few.limit(0), F.col("vec_id") % 50 == 0, staging).count() == 0
+    assert sorted(rows(vantage.nearest(few, F.col("vec_id") % 50 == 0, staging), "query_id", "vec_id")) == [
+        (0, 3), (0, 100), (100, 0), (100, 3)
+    ]
+
+
+def brute_cosine(vecs, step, k):
+    usable = {i: np.array(v, float) for i, v in vecs if v is not None and any(v)}
+    out = {}
+    for q in (i for i in usable if i % step == 0):
+        x = usable[q]
+        scored = [(-(x @ v) / np.sqrt((x @ x) * (v @ v)), i) for i, v in usable.items() if i != q]
+        out[q] = sorted((round(s, 9), i) for s, i in scored)[:k]
+    return out
+
+
+def test_factor_one_is_exact(spark, staging):
+    vecs = [*some_vectors(500, 4, 2, copies=40), (900, [0.0] * 4), (901, None)]
+    found = vantage.nearest(frame(spark, vecs), F.col("vec_id") % 50 == 0, staging, factor=1.0, leaf=8, shard=128)
+    got = {}
+    for q, _, i, s in sorted(rows(found)):
+        got.setdefault(q, []).append((round(-s, 9), i))
+    assert {q: sorted(v) for q, v in got.items()} == brute_cosine(vecs, 50, 5)
+
+
+def test_recall_of_the_production_factor(spark, staging):
+    vecs = some_vectors(3000, 32, 3)
+    found = vantage.nearest(frame(spark, vecs), F.col("vec_id") % 50 == 0, staging)
+    got = {(q, i) for q, _, i, _ in rows(found)}
+    wanted = {(q, i) for q, near in brute_cosine(vecs, 50, 5).items() for _, i in near}
+    assert len(got & wanted) >= 0.9 * len(wanted)
+
+
+def test_pruning_skips_work_and_larger_factors_skip_more():
+    rnd = np.random.default_rng(4)
+    centres = rnd.normal(size=(20, 8))
+    points = np.concatenate([c + 0.05 * rnd.normal(size=(100, 8)) for c in centres])
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    tree = vantage.build(points, 16)
+    nobody = np.full(50, -1)
+    work = [vantage.search(points, tree, points[:50], 5, factor, nobody)[2] for factor in (1.0, 3.0)]
+    assert work[1] <= work[0] < 0.5 * 50 * len(points)
