@@ -36,14 +36,3 @@ def testdata() -> str:
     if not folder.exists():
         pytest.skip("benchmark tables are not here")
     return str(folder)
-
-
-def executed_plan(frame) -> str:
-    """The physical plan of a frame that has been run, with adaptive choices final."""
-    plan = frame._jdf.queryExecution().executedPlan()
-    return (plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan).toString()
-
-
-def plan_of(frame) -> str:
-    frame.collect()
-    return executed_plan(frame)

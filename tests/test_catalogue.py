@@ -9,7 +9,7 @@ import __spark_entry__ as contract
 from clickloom.plans import oracles
 from clickloom.plans.queries import CATALOGUE as QUERIES
 from compare import difference, register_tables
-from conftest import executed_plan
+from plan_text import executed_plan
 
 ORACLES = oracles.oracle_sql()
 

@@ -11,7 +11,7 @@ from clickloom.operators import cleaning, daily, interactions, landing, live, re
 from clickloom.schemas import CLICK_LOG
 from clickloom.sources.files import append_click_log
 from clickloom.sources.staging import Staging
-from conftest import plan_of
+from plan_text import plan_of
 from frames import rows
 
 

@@ -12,7 +12,7 @@ from clickloom.schemas import CLICK_LOG, CUSTOMERS, EVENTS, LIVE_TABLES, STATIC_
 from clickloom.sources import catalog, files, jdbc, kafka, staging
 from clickloom.streaming import jobs
 from clickloom.streaming.lifecycle import drain
-from conftest import plan_of
+from plan_text import plan_of
 from frames import at, click_log, rows
 
 CSV = {
