@@ -1,8 +1,9 @@
 """A keyed table kept by micro-batches.
 
 Every micro-batch overwrites its own directory, so a batch that is run again after a failure
-replaces what it wrote before instead of adding to it. Readers fold the batches per key;
-`compact` folds finished batches into a snapshot. Table and checkpoint share one root: batch
+replaces what it wrote before instead of adding to it. Readers fold the batches per key; every
+`fold_every` batches the writer folds the finished ones into a snapshot and removes what the
+snapshot before already covered, so folders stay few and a reader has time to finish. Table and checkpoint share one root: batch
 numbers belong to the checkpoint, so the two are only ever reset together.
 """
 
@@ -17,6 +18,9 @@ from pyspark.sql import types as T
 
 Fold = Callable[[DataFrame], DataFrame]
 
+# Batches between two snapshots.
+FOLD_EVERY = 100
+
 
 @dataclass(frozen=True)
 class BatchTable:
@@ -27,6 +31,7 @@ class BatchTable:
     name: str
     schema: T.StructType
     fold: Fold
+    fold_every: int = FOLD_EVERY
 
     @property
     def batches(self) -> str:
@@ -48,6 +53,10 @@ class BatchTable:
         return self
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
+        """Write a batch. A batch begins only after all earlier ones are finished, so those can
+        be folded here."""
+        if batch_id and batch_id % self.fold_every == 0:
+            self.settle(rows.sparkSession, batch_id - 1)
         rows.select(*self.schema.names).write.mode("overwrite").parquet(
             f"{self.batches}/batch_id={batch_id}"
         )
@@ -76,6 +85,20 @@ class BatchTable:
         found = system.globStatus(pattern)
         return max(int(done.getPath().getParent().getName().split("=")[1]) for done in found)
 
+    def settle(self, spark: SparkSession, upto: int) -> None:
+        """Fold batches up to a finished one, and remove the folders that the snapshot before this
+        one covers."""
+        covered = self._newest_snapshot(spark)
+        self.compact(spark, upto)
+        for folder, name, last in ((self.batches, "batch_id", covered), (self.snapshots, "upto", covered - 1)):
+            jvm = spark.sparkContext._jvm
+            pattern = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}=*")
+            system = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            for found in system.globStatus(pattern):
+                # The empty first entries stay, so that a reader always finds the columns.
+                if 0 <= int(found.getPath().getName().split("=")[1]) <= last:
+                    system.delete(found.getPath(), True)
+
     def read(self, spark: SparkSession) -> DataFrame:
         return self.fold(self._rows(spark)).select(*self.schema.names)
 

@@ -188,6 +188,13 @@ def test_database_options_come_from_the_environment():
     assert connection == {"url": "jdbc:x", "user": "u"}
     options = jdbc.write_options(connection, "t")
     assert options["dbtable"] == "t" and options["batchsize"] == "1000"
+    split = jdbc.read_options(connection, "t", jdbc.Split("id", 0, 100, 8))
+    assert split["partitionColumn"] == "id" and split["numPartitions"] == "8"
+    assert "numPartitions" not in jdbc.read_options(connection, "t")
+    assert jdbc.upsert_statement("scores", "staged", ["user_id", "product_id"], ["score"]) == (
+        "INSERT INTO scores (user_id, product_id, score) SELECT user_id, product_id, score FROM staged "
+        "ON CONFLICT (user_id, product_id) DO UPDATE SET score = EXCLUDED.score"
+    )
 
 
 def test_staging_uses_the_shared_folder_and_clears_up(spark, tmp_path):

@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import types as T
 
 from clickloom.plans.dashboard import Dashboard
 from clickloom.session import streaming_session
@@ -234,3 +235,18 @@ def test_dashboard_over_landed_tables(spark, feed, tmp_path):
     assert len(rows(board.live_feed())) == len(rows(board.recent_events())) == 4
     assert rows(board.top_products(), "name", "score") == [("lamp", 13)]
     assert rows(board.search("LAMP"), "product_id") == [(2,)]
+
+
+def test_folders_stay_few_over_many_batches(spark, tmp_path):
+    fold = summed(["user_id"], "score")
+    table = BatchTable(str(tmp_path), "t", T.StructType([T.StructField("user_id", T.LongType()), T.StructField("score", T.LongType())]), fold, fold_every=5)
+    table.create(spark)
+    for batch_id in range(50):
+        rows_of_batch = spark.range(1).selectExpr("id AS user_id", f"CAST({batch_id} AS BIGINT) AS score")
+        table.write(rows_of_batch, batch_id)
+        if batch_id == 25:
+            # The batch that folds is run again.
+            table.write(rows_of_batch, batch_id)
+    assert rows(table.read(spark)) == [(0, sum(range(50)))]
+    assert len(list((tmp_path / "t" / "batches").glob("batch_id=*"))) <= 12
+    assert len(list((tmp_path / "t" / "snapshots").glob("upto=*"))) <= 4
