@@ -45,7 +45,7 @@ LONGEST_REMEMBERED = 64
 PARTITION_SHIFT = 33
 # Signs that end a word stand apart from it in the tokenizer as well, if what is before them is
 # surely a letter or digit after normalising: Latin ones, but for the dotted capital I.
-TRAILING = re.compile("(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])([.,;:!?]+)(?=\\s|$)")
+TRAILING = re.compile("(.*[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])([.,;:!?]+)", re.DOTALL)
 PIECE = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -89,6 +89,7 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_str(file.broadcast.value)
         self.tokenizer.encode_special_tokens = True
+        self.tails: dict[str, bytes] = {}
         model = json.loads(file.broadcast.value)["model"]
         vocabulary = model["vocab"]
         merges = [pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"]]
@@ -101,14 +102,31 @@ class WordIds(dict):
 
     def _encode(self, words: list[str]) -> list[bytes]:
         """Words of letters alone are merged together here; the library splits and merges the rest."""
-        plain = [plain_word(word) for word in words]
-        found = iter(self._merged([word for word in plain if word is not None]))
-        others = [word for word, own in zip(words, plain, strict=True) if own is None]
-        split = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
+        cores, tails = [], []
+        for word in words:
+            parts = TRAILING.fullmatch(word) if word[-1] in ".,;:!?" else None
+            cores.append(parts[1] if parts else word)
+            tails.append(self._tail(parts[2]) if parts else b"")
+        plain = [plain_word(core) for core in cores]
+        found = iter(self._merged([core for core in plain if core is not None]))
+        others = [core for core, own in zip(cores, plain, strict=True) if own is None]
+        split = iter(self._split(others))
         return [
-            np.array(next(split).ids, "<u4").tobytes() if own is None else next(found) for own in plain
+            (next(split) if own is None else next(found)) + tail
+            for own, tail in zip(plain, tails, strict=True)
         ]
 
+    def _split(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(word.ids, "<u4").tobytes() for word in found]
+
+    def _tail(self, signs: str) -> bytes:
+        if signs not in self.tails:
+            if len(self.tails) >= REMEMBERED:
+                self.tails.clear()
+            self.tails[signs] = self._split([signs])[0]
+        return self.tails[signs]
+
     def _merged(self, words: list[bytes]) -> list[bytes]:
         if not words:
             return []
@@ -123,7 +141,7 @@ class WordIds(dict):
         return self._encode([word])[0]
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
-        split = [TRAILING.sub(r" \1", text).split() for text in texts]
+        split = [text.split() for text in texts]
         present = set().union(*split)
         new = [word for word in present if word not in self and len(word) <= LONGEST_REMEMBERED]
         if len(self) + len(new) > REMEMBERED:
