@@ -7,6 +7,8 @@ and from the first sentences of well-known licence texts.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from typing import NamedTuple
 
 
@@ -18,6 +20,13 @@ class Signature(NamedTuple):
     confidence: float
 
 
+class Gate(NamedTuple):
+    """A word that a text must have, and alternatives of strings one of which it must hold whole."""
+
+    keyword: str
+    holds: list[frozenset[str]]
+
+
 class Family(NamedTuple):
     label: str
     first: str
@@ -26,6 +35,8 @@ class Family(NamedTuple):
 
 
 LICENSE = "licen[cs]e"
+# Alternatives of a gate; where its rules have more, it asks for what they have in common.
+ALTERNATIVES = 8
 
 # Name patterns: label, first word, what follows it, known versions.
 FAMILIES = [
@@ -114,14 +125,6 @@ SENTENCES = [
     ("unauthorised", " (?:copying|use|reproduction|distribution)", "proprietary", 0.6),
 ]
 
-# The prefilter: a text without any of these, in small letters, is not looked at.
-GATES = [
-    "licen", "spdx", "gpl", "apache", "bsd", "mozilla", "creative", "cc by", "cc-by", "domain",
-    "reserved", "permission", "redistribut", "unencumbered", "warranty", "contributors",
-    "proprietary", "unauthori",
-]
-
-
 def _version(version: str) -> str:
     major, minor = version.split(".")
     optional = f"(?: {minor})?" if minor == "0" else f" {minor}"
@@ -143,3 +146,27 @@ def signatures() -> list[Signature]:
                 exact = f"{family.label}-{version}"
                 rules.append(Signature(first, f"{first}{lead} {name}{_version(version)}", exact, 4, 0.95))
     return rules
+
+
+def literals(pattern: str) -> frozenset[str]:
+    """Strings that every match of a pattern holds: its letters and digits outside groups, classes
+    and repeats."""
+    pattern, groups = pattern + "\n", 1
+    while groups:
+        pattern, groups = re.subn(r"\([^()]*\)\??", "\n", pattern)
+    plain = re.sub(r"\[[^\]]*\]|\.|\{[^}]*\}| \?", "\n", pattern)
+    return frozenset(re.findall("[a-z0-9]+", plain))
+
+
+def gates(rules: Sequence[Signature]) -> list[Gate]:
+    """What a text must have for any of the rules to match, by keyword."""
+    needs: dict[str, set[frozenset[str]]] = {}
+    for rule in rules:
+        needs.setdefault(rule.keyword, set()).add(literals(rule.pattern) - {rule.keyword})
+    found = []
+    for keyword, every in sorted(needs.items()):
+        least = [own for own in every if not any(other < own for other in every)]
+        if len(least) > ALTERNATIVES:
+            least = [frozenset.intersection(*least)]
+        found.append(Gate(keyword, sorted(least, key=sorted)))
+    return found

@@ -1,6 +1,7 @@
 """Licence scan: ordered signature rules over a document's words.
 
-A cheap test for a few parts of words decides which texts are looked at. There, every word that
+A cheap test for the literal words of the rules decides which texts are looked at; it follows from
+the rules, so it leaves out no text that a rule would match. There, every word that
 is some rule's keyword opens a window, and only the rules with that keyword are tried on it.
 Detections that lie inside a detection of at least the same priority are suppressed.
 
@@ -19,11 +20,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.license_rules import GATES, Signature, signatures
+from clickloom.llm.license_rules import Gate, Signature, signatures
+from clickloom.llm.license_rules import gates as gates_of
 
 # Words without ASCII signs; A-Z stand for their small letters.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SIGN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+# Keywords so short that they often stand inside other words.
+SHORT = 4
 # Longest signature in words, with some room.
 WINDOW = 32
 PHRASES = (
@@ -42,11 +47,25 @@ def _rules(rules: Sequence[Signature]) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), RULE_TYPE)
 
 
-def _gate(text: Column, gates: Sequence[str]) -> Column:
-    small, found = F.lower(text), F.lit(False)
+def _gate(text: Column, gates: Sequence[Gate]) -> Column:
+    small = F.lower(text)
+
+    def holds(parts: frozenset[str]) -> Column:
+        found = F.lit(True)
+        for part in sorted(parts):
+            found = found & F.contains(small, F.lit(part))
+        return found
+
+    opened = F.lit(False)
     for gate in gates:
-        found = found | F.contains(small, F.lit(gate))
-    return found
+        parts = F.lit(False)
+        for one in gate.holds:
+            parts = parts | holds(one)
+        found = F.contains(small, F.lit(gate.keyword)) & parts
+        if len(gate.keyword) <= SHORT:
+            found = found & F.regexp_like(small, F.lit(f"(?:^|{SIGN}){gate.keyword}(?:$|{SIGN})"))
+        opened = opened | found
+    return opened
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -143,12 +162,14 @@ def _unsuppressed(found: Column, priorities: Sequence[int]) -> Column:
 def detect(
     docs: DataFrame,
     rules: Sequence[Signature] | None = None,
-    gates: Sequence[str] = GATES,
+    gates: Sequence[Gate] | None = None,
     text_column: str = "text",
 ) -> DataFrame:
     """`docs` with `n_words`, `signature_words` (lower-case words where a gate is open, else
-    empty) and `detections`: (start, stop, label, priority, confidence), by start."""
+    empty) and `detections`: (start, stop, label, priority, confidence), by start. The gates are
+    those of the rules, if not given; the words of every text are kept if there are none."""
     rules = signatures() if rules is None else rules
+    gates = gates_of(rules) if gates is None else gates
     text = F.coalesce(F.col(text_column), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     nothing = F.array().cast("array<string>")
@@ -156,7 +177,7 @@ def detect(
     opened = docs.withColumns(
         {
             "n_words": F.size(words).cast("long"),
-            "signature_words": F.when(_gate(text, gates), small).otherwise(nothing),
+            "signature_words": F.when(_gate(text, gates), small).otherwise(nothing) if gates else small,
         }
     )
     priorities = sorted({rule.priority for rule in rules})
@@ -174,7 +195,9 @@ def license_scan(
 ) -> DataFrame:
     """Per document: words, places of the base phrases, labels of phrases and rules, a score
     (the best confidence; `PHRASE_SCORE` for a phrase alone) and the detections."""
-    gates = [*GATES, *sorted({phrase.split(" ")[-1] for phrase, _ in phrases})]
+    rules = signatures() if rules is None else rules
+    words = [phrase.split(" ") for phrase, _ in phrases]
+    gates = [*gates_of(rules), *[Gate(first, [frozenset(rest)]) for first, *rest in words]]
     found = detect(docs.select(id_column, text_column), rules, gates, text_column)
     places = F.array(
         *[

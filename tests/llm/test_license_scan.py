@@ -80,6 +80,41 @@ def test_there_are_hundreds_of_rules_and_all_begin_with_their_keyword():
     assert all(rule.pattern.startswith(rule.keyword) for rule in rules)
 
 
+def sample(pattern):
+    """A text that a pattern matches: without what is optional, with the first of alternatives."""
+    pattern, groups = re.sub(r"\.\{1,60\}", "x", pattern.replace("[cs]", "c").replace(" ?", " ")), 1
+    while groups:
+        pattern, groups = re.subn(r"\(\?:([^()]*)\)(\??)", lambda m: "" if m[2] else m[1].split("|")[0], pattern)
+    return pattern
+
+
+def test_the_gate_loses_no_detection_of_any_rule(documents):
+    rules = license_rules.signatures()
+    texts = [sample(rule.pattern) for rule in rules]
+    assert all(re.match(rule.pattern + "( |$)", text) for rule, text in zip(rules, texts, strict=True))
+    texts = [f"a,{text.upper().replace(' ', chr(10))}. z" for text in texts] + ["nothing", "replies, access", "", None]
+    docs = documents(*texts)
+    found, every = (
+        dict(rows(license_scan.detect(docs, gates=gates), "doc_id", "detections")) for gates in (None, [])
+    )
+    assert found == every
+    assert all(found[at] for at in range(len(rules)))
+    shut = rows(license_scan.detect(docs).filter("size(signature_words) = 0"), "doc_id")
+    assert len(shut) == 4
+
+
+def test_names_without_the_word_license_are_labelled(documents):
+    expected = {
+        "Released under MIT.": "mit", "available under the EPL": "epl", "MPL 2.0": "mpl-2.0",
+        "distributed under the Boost Software 1.0": "boost-1.0", "CC0 1.0": "cc0-1.0",
+        "CC\nBY 4.0": "cc-by-4.0", "CC  BY 4.0": "cc-by-4.0",
+    }
+    found = rows(license_scan.license_scan(documents(*expected)), "doc_id", "labels", "score")
+    for at, label in enumerate(expected.values()):
+        assert label in dict((i, labels.split(",")) for i, labels, _ in found)[at]
+    assert all(score > 0 for _, _, score in found)
+
+
 def test_repeated_rows_extra_columns_and_empty_tables(documents):
     docs = documents("mit license", "mit license", ids=[4, 4]).withColumnRenamed("lang", "labels")
     assert rows(license_scan.license_scan(docs), "doc_id", "n_base") == [(4, 1), (4, 1)]
