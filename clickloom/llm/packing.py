@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from clickloom.llm.arrow import slices
 from clickloom.llm.bpe import Pairs, merge_symbols
+from clickloom.llm.pretokens import WHITE_SPACE
 
 LIMIT = 2048
 SEGMENTS = 64
@@ -46,6 +47,9 @@ PARTITION_SHIFT = 33
 # Signs that end a word stand apart from it in the tokenizer as well, if what is before them is
 # surely a letter or digit after normalising: Latin ones, but for the dotted capital I.
 TRAILING = re.compile("(.*[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])([.,;:!?]+)", re.DOTALL)
+# Signs that are white space to `str.split` alone; the tokenizer encodes them.
+ENCODED_SEPARATORS = "\x1c\x1d\x1e\x1f"
+WORD = re.compile(f"[^{''.join(map(chr, WHITE_SPACE))}]+")
 PIECE = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -72,6 +76,13 @@ def byte_signs() -> list[str]:
     return [chr(byte) if byte in printable else chr(next(others)) for byte in range(256)]
 
 
+def words_of(text: str) -> list[str]:
+    """What stands between the tokenizer's white space."""
+    if any(sign in text for sign in ENCODED_SEPARATORS):
+        return WORD.findall(text)
+    return text.split()
+
+
 def plain_word(word: str) -> bytes | None:
     """The lower-case bytes of a word of letters, where that needs no context; else null."""
     if not word.isalpha() or "\u03a3" in word or not is_normalized("NFC", word):
@@ -141,7 +152,7 @@ class WordIds(dict):
         return self._encode([word])[0]
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
-        split = [text.split() for text in texts]
+        split = [words_of(text) for text in texts]
         present = set().union(*split)
         new = [word for word in present if word not in self and len(word) <= LONGEST_REMEMBERED]
         if len(self) + len(new) > REMEMBERED:

@@ -56,6 +56,15 @@ def test_every_token_is_in_one_piece(spark, documents, library, limit, segments)
         assert full >= 0.8 * len(sequences)
 
 
+def test_separators_that_only_python_takes_for_white_space_are_encoded(spark, documents, library):
+    rnd = random.Random(7)
+    signs = SIGNS + "\x1c\x1d\x1e\x1f\x85\u2028"
+    texts = ["a\x1cb", "a\x1d\x1e b", "\x1f", "end.\x1c", " \x1e\n"]
+    texts += ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 60))) for _ in range(200)]
+    found = packing.pack(documents(*texts).withColumnRenamed("lang", "ids"), packing.TokenizerFile(spark, PATH))
+    check(found, texts, library, packing.LIMIT, packing.SEGMENTS)
+
+
 def test_loss_limit_and_prompts(spark):
     texts = [f"one two three four five six {i}" for i in range(40)]
     docs = spark.createDataFrame([(i, t, 4) for i, t in enumerate(texts)], "doc_id long, text string, prompt long")
