@@ -5,9 +5,9 @@ A model's contexts reach back `ORDER` symbols where the corpus supports them; sh
 stand in for the rest (Witten-Bell smoothing). A URL without a rule is judged by the mean
 log-likelihood difference of its symbols against a threshold calibrated on held-out URLs.
 
-Everything is DataFrame code. Strings that carry less than 1/`SUPPORT` of all training positions
-are left to the shorter contexts, so each order holds at most `SUPPORT` strings whatever the
-size of the corpus. That proven bound is what allows the model to be broadcast.
+Everything is DataFrame code. The model holds every string of the training URLs and grows with
+them. The distinct grams of the URLs to be judged are joined with it, length by length, and each
+gram's value goes back to the URLs by a join in which frequent grams are dealt over several tasks.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path, fits no rule and is
 judged by the model as text. An empty path fits no rule with a path. Repeated rows come back as
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from clickloom.sources.staging import Staging
 
 ORDER = 4
-SUPPORT = 1 << 16
+# A gram with more than 1/`HOT` of all positions is dealt over `SALTS` tasks; there are at most `HOT`.
+HOT = 1024
+SALTS = 64
 ALPHABET = 96
 BINS_PER_NAT = 50
 LARGEST_SCORE = 8.0
@@ -63,26 +65,29 @@ def rule_column(host: Column, path: Column, rules: Sequence[Rule], value) -> Col
     return choice
 
 
-def symbols(url: Column) -> Column:
-    """Small letters, one digit, printable signs; all else is one symbol."""
-    small = F.regexp_replace(F.lower(F.coalesce(url, F.lit(""))), "[0-9]", "0")
-    return F.regexp_replace(small, r"[^\x21-\x7e]", OTHER)
+def symbols(url: Column, folded: bool = True) -> Column:
+    """Small letters, digits, signs; controls and spaces are one symbol. `folded`: all digits are
+    one symbol too, and whatever is not ASCII is the same as a control."""
+    small = F.lower(F.coalesce(url, F.lit("")))
+    if not folded:
+        return F.regexp_replace(small, r"[\x00-\x20\x7f]", OTHER)
+    return F.regexp_replace(F.regexp_replace(small, "[0-9]", "0"), r"[^\x21-\x7e]", OTHER)
 
 
-def grams_of(url: Column) -> Column:
+def grams_of(url: Column, folded: bool = True) -> Column:
     """For every symbol and the end: the symbol after its `ORDER` predecessors."""
-    padded = F.concat(F.lit(START * ORDER), symbols(url), F.lit(END))
-    return F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{ORDER + 1}}}))"), F.lit(1))
+    padded = F.concat(F.lit(START * ORDER), symbols(url, folded), F.lit(END))
+    return F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{ORDER + 1}}}))."), F.lit(1))
 
 
 def _suffix(gram: Column, n: int) -> Column:
     return F.substring(gram, ORDER + 2 - n, n)
 
 
-def counted(labelled: DataFrame) -> DataFrame:
+def counted(labelled: DataFrame, folded: bool = True) -> DataFrame:
     """From (url, accepted, copies): how often each gram of full length stands in each class."""
     exploded = labelled.select(
-        F.explode(grams_of(F.col("url"))).alias("gram"), "accepted", F.col("copies").alias("n")
+        F.explode(grams_of(F.col("url"), folded)).alias("gram"), "accepted", F.col("copies").alias("n")
     )
     return exploded.groupBy("gram").agg(
         F.coalesce(F.sum(F.when(F.col("accepted"), F.col("n"))), F.lit(0)).alias("n_a"),
@@ -90,12 +95,13 @@ def counted(labelled: DataFrame) -> DataFrame:
     )
 
 
-def model(counts: DataFrame, support: int = SUPPORT) -> DataFrame:
+def model(counts: DataFrame, support: int | None = None) -> DataFrame:
     """(s, ratio, back): for a string read as context and symbol the log ratio of the classes'
     probabilities, and for a string read as context the log ratio of the weights with which the
-    next shorter context is used. At most `support` strings per length and reading."""
-    total = counts.agg(F.sum(F.col("n_a") + F.col("n_r"))).first()[0] or 0
-    least = total / support
+    next shorter context is used. With `support`, strings that carry less than 1/`support` of all
+    positions are left out."""
+    total = 0 if support is None else counts.agg(F.sum(F.col("n_a") + F.col("n_r"))).first()[0] or 0
+    least = total / support if support else 0
     tables, below = [], None
     for k in range(ORDER + 1):
         grams = counts.groupBy(_suffix(F.col("gram"), k + 1).alias("s")).agg(
@@ -137,25 +143,45 @@ def _weight(x: str) -> Column:
     return F.when(c == 0, F.lit(1.0)).otherwise(t / (c + t))
 
 
-def scored(urls: DataFrame, learned: DataFrame) -> DataFrame:
-    """One row per row of `urls` (which must be distinct), with `score`: the mean over its symbols
-    of log P(accepted) - log P(rejected). The lookups are joins with the bounded model."""
-    keys = urls.columns
-    rows = urls.select(*keys, F.explode(grams_of(F.col("url"))).alias("gram"))
+def valued(grams: DataFrame, learned: DataFrame) -> DataFrame:
+    """(gram, value) for distinct grams: the log ratio of the longest known string that ends them,
+    and of the weights passed on the way to it. A string is joined with the model once, however
+    many grams end in it, and has at most one extension per symbol, so no key is hot."""
+    as_gram = learned.filter("ratio IS NOT NULL").select("s", "ratio")
+    as_context = learned.filter("back IS NOT NULL").select(F.col("s").alias("c"), "back")
+    strings = {ORDER + 1: grams.select(F.col("gram").alias("s"))}
+    for n in range(ORDER, 0, -1):
+        strings[n] = strings[n + 1].select(F.substring("s", 2, n).alias("s")).distinct()
+    below = None
     for n in range(1, ORDER + 2):
-        as_gram = learned.filter("ratio IS NOT NULL").select(F.col("s").alias(f"g{n}"), F.col("ratio").alias(f"ratio{n}"))
-        rows = rows.withColumn(f"g{n}", _suffix(F.col("gram"), n)).join(F.broadcast(as_gram), f"g{n}", "left").drop(f"g{n}")
-        if n <= ORDER:
-            as_context = learned.filter("back IS NOT NULL").select(F.col("s").alias(f"c{n}"), F.col("back").alias(f"back{n}"))
-            before = F.substring("gram", ORDER + 1 - n, n)
-            rows = rows.withColumn(f"c{n}", before).join(F.broadcast(as_context), f"c{n}", "left").drop(f"c{n}")
-    terms, backed = [], F.lit(0.0)
-    for n in range(ORDER + 1, 0, -1):
-        terms.append(F.col(f"ratio{n}") + backed)
-        if n > 1:
-            backed = backed + F.coalesce(F.col(f"back{n - 1}"), F.lit(0.0))
-    term = F.coalesce(*terms, backed)
-    return rows.groupBy(*keys).agg(F.avg(term).alias("score"))
+        found = strings[n].join(as_gram, "s", "left")
+        if below is None:
+            below = found.select("s", F.coalesce("ratio", F.lit(0.0)).alias("value"))
+            continue
+        found = found.withColumns({"c": F.substring("s", 1, n - 1), "tail": F.substring("s", 2, n - 1)})
+        shorter = below.select(F.col("s").alias("tail"), F.col("value").alias("next"))
+        found = found.join(as_context, "c", "left").join(shorter, "tail")
+        value = F.coalesce("ratio", F.coalesce("back", F.lit(0.0)) + F.col("next"))
+        below = found.select("s", value.alias("value"))
+    return below.withColumnRenamed("s", "gram")
+
+
+def scored(urls: DataFrame, learned: DataFrame, folded: bool = True, staging: Staging | None = None) -> DataFrame:
+    """One row per row of `urls` with `score`: the mean over its symbols of log P(accepted) -
+    log P(rejected). Rows are known by their other columns, or by the URL if it is the only one."""
+    put = staging.put if staging else lambda frame, name: frame
+    keys = [c for c in urls.columns if c != "url"] or ["url"]
+    rows = urls.select(*keys, F.explode(grams_of(F.col("url"), folded)).alias("gram"))
+    counts = put(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "grams")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.filter(F.col("n") > total / HOT).select("gram", F.lit(SALTS).alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    values = put(valued(counts, learned), "values").join(F.broadcast(hot), "gram", "left")
+    values = values.select("gram", "value", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    # At most `HOT` grams are broadcast, whatever the input.
+    rows = rows.join(F.broadcast(hot), "gram", "left")
+    rows = rows.select(*keys, "gram", F.pmod(F.xxhash64(*keys), salts).cast("int").alias("salt"))
+    return rows.join(values, ["gram", "salt"]).groupBy(*keys).agg(F.avg("value").alias("score"))
 
 
 def threshold(judged: DataFrame) -> float | None:
@@ -185,7 +211,7 @@ def url_filter(
     rules: Sequence[Rule],
     staging: Staging,
     id_column: str = "page_id",
-    support: int = SUPPORT,
+    support: int | None = None,
 ) -> DataFrame:
     """(id, host, path, rule, verdict, score, threshold) for every row of `pages`."""
     rows = pages.groupBy(F.col(id_column), F.col("url")).agg(F.count(F.lit(1)).alias("copies"))
@@ -199,10 +225,12 @@ def url_filter(
     )
     rows = rows.withColumn("accepted", F.col("ruled") == "allow")
     # Equal URLs fall into the same half, so the second half has not been learned by heart.
-    rows = staging.put(rows.withColumn("learned", F.pmod(F.xxhash64("url"), F.lit(2)) == 0), "rows")
+    rows = rows.withColumn("learned", F.pmod(F.xxhash64("url"), F.lit(2)) == 0)
+    rows = staging.put(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     labelled = rows.filter("accepted IS NOT NULL")
-    learned = staging.put(model(staging.put(counted(labelled.filter("learned")), "counts"), support), "model")
-    judged = staging.put(scored(rows, learned), "scored")
+    learned = staging.put(model(staging.put(counted(labelled.filter("learned"), False), "counts"), support), "model")
+    scores = scored(rows.select("row", "url"), learned, False, staging)
+    judged = staging.put(rows.join(scores, "row"), "scored")
     cut = threshold(judged.filter("accepted IS NOT NULL AND NOT learned"))
     allowed = F.lit(True) if cut is None else F.col("score") >= cut
     return judged.select(

@@ -123,6 +123,31 @@ def test_held_out_urls_are_told_apart(spark, staging):
     assert right >= 0.95 * 400
 
 
+def test_the_model_keeps_every_string_of_a_large_corpus(spark):
+    grams = spark.range(100_000).selectExpr("lpad(conv(id, 10, 36), 5, '!') AS gram", "2L AS n_a", "1L AS n_r")
+    learned = url_filter.model(grams)
+    assert learned.filter("length(s) = 5 AND ratio IS NOT NULL").count() == 100_000
+
+
+def test_digits_and_letters_beyond_ascii_are_told_apart(spark, staging):
+    urls = [f"http://example.org/en/{i % 2 + 1}" for i in range(2)]
+    urls += [f"http://a{i}.example.org/en/{i % 2 + 1}{'жц'[i % 2]}" for i in range(400)]
+    tested = ["http://x.net/en/1", "http://x.net/en/2", "http://x.net/ж", "http://x.net/ц", "http://x.net/\U0001f600"]
+    pages = spark.createDataFrame(list(enumerate(tested + urls)), "page_id long, url string")
+    scores = dict(rows(url_filter.url_filter(pages, URL_RULES, staging), "page_id", "score"))
+    assert len(scores) == len(tested) + len(urls)
+    assert scores[0] < scores[1] and scores[2] < scores[3]
+
+
+def test_frequent_grams_are_dealt_over_tasks_alike(spark, staging, monkeypatch):
+    labelled = spark.createDataFrame([("http://a.org/1", True, 1), ("http://b.com/2", False, 1)], "url string, accepted boolean, copies long")
+    learned = staging.put(url_filter.model(url_filter.counted(labelled)), "m")
+    urls = spark.createDataFrame([(f"http://a.org/{i}",) for i in range(30)], "url string")
+    expected = dict(rows(url_filter.scored(urls, learned)))
+    monkeypatch.setattr(url_filter, "HOT", 1)
+    assert dict(rows(url_filter.scored(urls, learned))) == pytest.approx(expected)
+
+
 def test_repeated_rows_and_empty_tables(spark, staging):
     pages = spark.createDataFrame([(1, "http://x.net/"), (1, "http://x.net/"), (None, None)], "page_id long, url string")
     assert url_filter.url_filter(pages, URL_RULES, staging).count() == 3
