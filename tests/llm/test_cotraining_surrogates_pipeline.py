@@ -106,6 +106,45 @@ def test_surrogates_keep_kind_format_and_identity(documents, staging):
     assert texts[6].split()[2] == texts[6].split()[-1] == name[2] and texts[6].split()[5] == name[1]
 
 
+FORMS = {
+    "phone": ["1-800-555-1234", "555 123 4567", "5552234567", "030 1234567", "(212) 555-1234", "0049 30 1234567", "01 23 45 67 89"],
+    "card": ["3782 822463 10005", "2221 0012 3412 3456", "378282246310005", "4111 1111 1111 1111"],
+    "ipv6": ["2001:db8:85a3::8a2e:370:7334", "fe80::1", "2001:0DB8:0:0:0:0:0:1"],
+    "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "AT61 1904 3002 3457 3201"],
+}
+
+
+def test_every_form_is_found_whole_and_replaced(documents, staging):
+    forms = [(kind, form) for kind, own in FORMS.items() for form in own]
+    for kind, form in forms:
+        for text in (form, f"see {form}, then", f"({form}) WORD", f"at {form}: yes."):
+            found = surrogates.find(text)
+            assert [(k, text[a:b]) for a, b, k, _ in found] == [(kind, form)], text
+    texts = replaced(documents(*[f"see {form}, then" for _, form in forms]), staging)
+    for at, (kind, form) in enumerate(forms):
+        new = texts[at].removeprefix("see ").removesuffix(", then")
+        assert new != form
+        if kind == "iban":
+            assert surrogates.iban_valid(new.replace(" ", "")) and new[:2] == form[:2]
+        if kind == "card":
+            assert surrogates.luhn_valid(re.sub(r"\D", "", new)) == surrogates.luhn_valid(re.sub(r"\D", "", form))
+            assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", form)
+
+
+def test_numbers_that_are_no_personal_data_stay():
+    for text in ("1700000000", "12:30:45", "std::sort", "2221001234123457", "DE88370400440532013000", "2024-01-01 1,000,000.25"):
+        assert surrogates.find(text) == [], text
+
+
+def test_names_without_a_form_of_address_are_found():
+    text = "Yesterday John Smith met Maria O. Jones. Smith left, Jones stayed. Светлана Иванова"
+    found = [(kind, text[a:b]) for a, b, kind, _ in surrogates.find(text)]
+    assert found == [
+        ("given-m-latin", "John"), ("surname-latin", "Smith"), ("given-f-latin", "Maria"), ("surname-latin", "Jones"),
+        ("surname-latin", "Smith"), ("surname-latin", "Jones"), ("given-f-cyrillic", "Светлана"), ("surname-cyrillic", "Иванова"),
+    ]
+
+
 def test_surrogates_are_distinct_and_new(spark, documents, staging, monkeypatch):
     # Few surrogates, so that they collide at first.
     plain = surrogates.surrogate
