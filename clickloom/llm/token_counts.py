@@ -209,7 +209,8 @@ def _meeting(
 
 
 def usable_edits(edits: list[dict] | None, n_chars: int) -> list[Edit]:
-    """Edits inside the text, by place; one that begins inside an earlier one is left out."""
+    """Edits inside the text, by place; one that begins inside an earlier one is left out. Of those
+    with equal starts insertions come first, then the longest."""
     clipped = []
     for edit in edits or []:
         if edit is None or edit["start"] is None or edit["stop"] is None:
@@ -217,7 +218,7 @@ def usable_edits(edits: list[dict] | None, n_chars: int) -> list[Edit]:
         start = min(max(edit["start"], 0), n_chars)
         clipped.append((start, min(max(edit["stop"], start), n_chars), edit["replacement"] or ""))
     kept: list[Edit] = []
-    for edit in sorted(clipped):
+    for edit in sorted(clipped, key=lambda edit: (edit[0], edit[0] < edit[1], -edit[1], edit[2])):
         if not kept or edit[0] >= kept[-1][1]:
             kept.append(edit)
     return kept

@@ -124,3 +124,14 @@ def test_counts_as_frames(spark, documents):
     again = token_counts.recount(edits, vocabulary).orderBy("doc_id")
     assert rows(again, "n_tokens") == [(r.n_tokens,) for r in found]
     assert token_counts.count_edited(docs.limit(0), vocabulary, patterns).count() == 0
+
+
+def test_the_wider_of_two_edits_with_one_start_wins(spark, documents):
+    from clickloom.llm.queries import CLEAN_UP
+
+    vocabulary = bpe.Vocabulary(spark, PATH)
+    found = token_counts.count_edited(documents("to 12345678@qq.com now"), vocabulary, CLEAN_UP).first()
+    assert (found.text, found.n_edits) == ("to <mail> now", 1)
+    assert found.n_tokens == len(LIBRARY.encode_ordinary(found.text))
+    edits = [{"start": 3, "stop": stop, "replacement": new} for stop, new in ((5, "a"), (3, "b"), (9, "c"))]
+    assert token_counts.usable_edits(edits, 20) == [(3, 3, "b"), (3, 9, "c")]
