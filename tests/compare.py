@@ -25,7 +25,8 @@ def normal(frame: pd.DataFrame) -> pd.DataFrame:
         if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
             return "∅"
         if isinstance(value, float):
-            return repr(float(value))
+            # Whole numbers with gaps arrive as floats from one reader and as integers from another.
+            return str(int(value)) if float(value).is_integer() else repr(float(value))
         if isinstance(value, pd.Timestamp):
             return value.isoformat()
         return str(value)
