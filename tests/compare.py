@@ -22,7 +22,7 @@ def normal(frame: pd.DataFrame) -> pd.DataFrame:
     """Columns by name, rows sorted, one spelling per value."""
 
     def cell(value):
-        if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+        if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
             return "∅"
         if isinstance(value, float):
             # Whole numbers with gaps arrive as floats from one reader and as integers from another.
