@@ -15,7 +15,10 @@ from clickloom.llm import (
     exact_topk,
     jaccard_join,
     license_scan,
+    mixing,
     packing,
+    prefix_trie,
+    spelling,
     surrogates,
     token_counts,
     url_filter,
@@ -135,3 +138,18 @@ def op9_surrogates(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, folder, "documents"), Staging(spark), n=3, num=90, den=100)
+
+
+@query
+def op11_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), Staging(spark)).taken().drop("source")
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, folder, "conversations"), Staging(spark))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"), Staging(spark))
