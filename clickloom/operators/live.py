@@ -19,42 +19,51 @@ from clickloom.functions.periods import utc_day
 from clickloom.functions.scoring import LIVE, score
 from clickloom.operators.landing import EVENT_KEY, dedup_events
 
-def _newest_days(log: DataFrame) -> DataFrame:
-    """One row per day, newest first; events without a time are the last "day". Needs no
-    column but the partition's own."""
+def _day_counts(log: DataFrame, days: DataFrame | None) -> DataFrame:
+    """event_date and n, one row per day: as handed in, else counted from the partition column."""
+    if days is not None:
+        return days.select("event_date", "n")
     return log.groupBy("event_date").agg(F.count(F.lit(1)).alias("n"))
 
 
-def recent_days(log: DataFrame, limit: int) -> DataFrame:
+def recent_days(log: DataFrame, limit: int, days: DataFrame | None = None) -> DataFrame:
     """Only the newest days that together hold `limit` events; the rest of a log partitioned by
-    day is not read. Exact: the days come from the counts per day. Events without a time are
-    older than all others and stay where there are too few timed ones."""
+    day is not read. Exact: the days come from the counts per day, which a caller that keeps them
+    hands in as `days` (event_date, n). Events without a time are older than all others and stay
+    where there are too few timed ones."""
     # One row per day.
     newer = Window.orderBy(F.desc_nulls_last("event_date")).rowsBetween(Window.unboundedPreceding, -1)
-    needed = _newest_days(log).select(
+    needed = _day_counts(log, days).select(
         "event_date", F.coalesce(F.sum("n").over(newer), F.lit(0)).alias("newer")
     ).filter(F.col("newer") < limit)
-    first = needed.agg(F.min("event_date")).scalar()
-    untimed = needed.agg(F.coalesce(F.bool_or(F.col("event_date").isNull()), F.lit(False))).scalar()
-    return log.filter((F.col("event_date") >= first) | (F.col("event_date").isNull() & untimed))
+    untimed = F.coalesce(F.bool_or(F.col("event_date").isNull()), F.lit(False))
+    # Both values in one subquery, so that the days are counted once.
+    bounds = needed.agg(F.struct(F.min("event_date").alias("first"), untimed.alias("untimed"))).scalar()
+    day = F.col("event_date")
+    return log.filter((day >= bounds.getField("first")) | (day.isNull() & bounds.getField("untimed")))
 
 
-def recent_distinct(log: DataFrame, limit: int, key: Sequence[str] = EVENT_KEY) -> DataFrame:
+def recent_distinct(
+    log: DataFrame, limit: int, key: Sequence[str] = EVENT_KEY, days: DataFrame | None = None
+) -> DataFrame:
     """As `recent_days`, for a log with copies: only events as new as the `limit`-th distinct
-    one. The newest day is looked at first, then twice as many, until they hold enough distinct
-    events; the driver sees one count and one time per step. Only a log that has too few of
-    them altogether is returned whole, untimed events included. Copies share their time because
-    it is in the key; with another key there is no such bound and the log is returned whole."""
+    one. The days are listed once, one row each; the newest days that could hold enough are
+    looked at first, then twice as many, until they hold enough distinct events. The driver sees
+    the days, and one count and one time per step. Only a log that has too few of them altogether
+    is returned whole, untimed events included. Copies share their time because it is in the key;
+    with another key there is no such bound and the log is returned whole."""
     if "timestamp" not in key:
         return log
-    days = 1
-    while True:
-        newest = _newest_days(log).filter(F.col("event_date").isNotNull())
-        newest = newest.orderBy(F.desc("event_date")).limit(days)
-        found, first = newest.agg(F.count(F.lit(1)), F.min("event_date")).first()
-        if not found:
-            return log
-        scoped = log.filter(F.col("event_date") >= F.lit(first))
+    counts = _day_counts(log, days).filter(F.col("event_date").isNotNull())
+    newest = [(row.event_date, row.n) for row in counts.orderBy(F.desc("event_date")).collect()]
+    taken, events = 0, 0
+    while taken < len(newest):
+        # Days with fewer events than asked for need not be tried.
+        wanted = max(2 * taken, 1)
+        while taken < len(newest) and (taken < wanted or events < limit):
+            events += newest[taken][1]
+            taken += 1
+        scoped = log.filter(F.col("event_date") >= F.lit(newest[taken - 1][0]))
         top = scoped.select(*key).distinct().orderBy(F.desc("timestamp")).limit(limit)
         distinct, bound = top.agg(
             F.count(F.lit(1)), F.date_format(F.min("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
@@ -62,9 +71,7 @@ def recent_distinct(log: DataFrame, limit: int, key: Sequence[str] = EVENT_KEY)
         if distinct >= limit:
             time = F.lit(bound).cast("timestamp")
             return log.filter((F.col("event_date") >= utc_day(time)) & (F.col("timestamp") >= time))
-        if found < days:
-            return log
-        days *= 2
+    return log
 
 
 def latest(events: DataFrame, limit: int) -> DataFrame:

@@ -25,8 +25,9 @@ class Dashboard:
     scores: DataFrame
     products: DataFrame
     customers: DataFrame
-    # The newest day, where the caller knows it without reading the log.
+    # The newest day and the events per day, where the caller knows them without reading the log.
     today: Column | None = None
+    days: DataFrame | None = None
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str = "default") -> Dashboard:
@@ -39,14 +40,18 @@ class Dashboard:
     def from_landing(
         cls, spark: SparkSession, root: str, products: DataFrame, customers: DataFrame
     ) -> Dashboard:
-        """Over what the streaming jobs under `root` have written so far."""
+        """Over what the streaming jobs under `root` have written so far. Days are looked up in the
+        counts that the landing job keeps."""
         use_utc(spark)
+        log = jobs.click_log(root)
         return cls(
-            jobs.landed_log(spark, root),
+            log.read(spark),
             jobs.landed_sessions(spark, root),
             jobs.running_scores_table(root).read(spark),
             products,
             customers,
+            today=log.newest_day(spark),
+            days=log.day_counts(spark),
         )
 
     def search(self, query: str, min_price: float = 0, max_price: float = 1e9) -> DataFrame:
@@ -62,13 +67,13 @@ class Dashboard:
         return recommend.score_share(recommend.recommend_all(self.scores, self.products, limit))
 
     def recent_events(self, limit: int = 30) -> DataFrame:
-        return live.recent_events(live.recent_days(self.log, limit), limit)
+        return live.recent_events(live.recent_days(self.log, limit, self.days), limit)
 
     def live_feed(self, limit: int = 100) -> DataFrame:
-        return live.live_feed(live.recent_distinct(self.log, limit), limit)
+        return live.live_feed(live.recent_distinct(self.log, limit, days=self.days), limit)
 
     def top_products(self, buffer: int = 200, limit: int = 8) -> DataFrame:
-        recent = live.recent_distinct(self.log, buffer)
+        recent = live.recent_distinct(self.log, buffer, days=self.days)
         return live.live_top_products(recent, self.products, buffer, limit)
 
     def daily_stats(self) -> DataFrame:

@@ -384,7 +384,6 @@ def stream_score_increments(data: Canonical) -> DataFrame:
 def _landed(data: Canonical) -> str:
     staging = Staging(data.spark)
     root = staging.path("jobs")
-    jobs.sessions_table(root).create(data.spark)
     drain(jobs.land(_replayed(data, staging, data.delivered()), root))
     return root
 

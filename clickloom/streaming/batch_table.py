@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clickloom.sources.folders import listed, partition_value, remove
+
 Fold = Callable[[DataFrame], DataFrame]
 
 # Batches between two snapshots.
@@ -54,8 +56,9 @@ class BatchTable:
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
         """Write a batch. A batch begins only after all earlier ones are finished, so those can
-        be folded here."""
-        if batch_id and batch_id % self.fold_every == 0:
+        be folded here, once enough of them have passed since the last fold: numbers may be
+        skipped where a batch has nothing to write."""
+        if batch_id - 1 - self._newest_snapshot(rows.sparkSession) >= self.fold_every:
             self.settle(rows.sparkSession, batch_id - 1)
         rows.select(*self.schema.names).write.mode("overwrite").parquet(
             f"{self.batches}/batch_id={batch_id}"
@@ -79,11 +82,8 @@ class BatchTable:
         return kept.unionByName(after)
 
     def _newest_snapshot(self, spark: SparkSession) -> int:
-        jvm = spark.sparkContext._jvm
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.snapshots}/upto=*/_SUCCESS")
-        system = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        found = system.globStatus(pattern)
-        return max(int(done.getPath().getParent().getName().split("=")[1]) for done in found)
+        done = listed(spark, f"{self.snapshots}/upto=*/_SUCCESS")
+        return max((int(partition_value(path, "upto")) for path in done), default=-1)
 
     def settle(self, spark: SparkSession, upto: int) -> None:
         """Fold batches up to a finished one, and remove the folders that the snapshot before this
@@ -91,13 +91,10 @@ class BatchTable:
         covered = self._newest_snapshot(spark)
         self.compact(spark, upto)
         for folder, name, last in ((self.batches, "batch_id", covered), (self.snapshots, "upto", covered - 1)):
-            jvm = spark.sparkContext._jvm
-            pattern = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}=*")
-            system = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            for found in system.globStatus(pattern):
+            for path in listed(spark, f"{folder}/{name}=*"):
                 # The empty first entries stay, so that a reader always finds the columns.
-                if 0 <= int(found.getPath().getName().split("=")[1]) <= last:
-                    system.delete(found.getPath(), True)
+                if 0 <= int(partition_value(path, name)) <= last:
+                    remove(spark, path)
 
     def read(self, spark: SparkSession) -> DataFrame:
         return self.fold(self._rows(spark)).select(*self.schema.names)

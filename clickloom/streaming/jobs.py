@@ -28,6 +28,7 @@ from clickloom.operators.landing import (
 )
 from clickloom.schemas import CLICK_LOG, SESSIONS, USER_SCORES
 from clickloom.streaming.batch_table import BatchTable, newest, summed
+from clickloom.streaming.day_log import DayLog
 
 SCORE_KEY = ["user_id", "product_id"]
 
@@ -78,13 +79,26 @@ SESSION_CANDIDATES = T.StructType(
 )
 
 
+# Batches between two closings of the days that are over: a quarter of an hour at the usual trigger.
+CLOSE_EVERY = 180
+
+
 def sessions_table(root: str) -> BatchTable:
     return BatchTable(root, "sessions", SESSION_CANDIDATES, first_per_session)
 
 
+def click_log(root: str) -> DayLog:
+    return DayLog(root, "click_log", CLICK_LOG)
+
+
+def landing_tables(spark: SparkSession, root: str) -> None:
+    """What `land` writes, empty where it is missing."""
+    click_log(root).create(spark)
+    sessions_table(root).create(spark)
+
+
 def landed_log(spark: SparkSession, root: str) -> DataFrame:
-    schema = T.StructType([*CLICK_LOG.fields, T.StructField("batch_id", T.LongType())])
-    return spark.read.schema(schema).parquet(f"{root}/click_log").drop("batch_id")
+    return click_log(root).read(spark)
 
 
 def landed_sessions(spark: SparkSession, root: str) -> DataFrame:
@@ -110,23 +124,26 @@ def _write_batch_partitions(
     )
 
 
-def land(values: DataFrame, root: str) -> DataStreamWriter:
+def land(values: DataFrame, root: str, close_every: int = CLOSE_EVERY) -> DataStreamWriter:
     """One query that lands the click log, the sessions and the rejects.
 
     A batch is parsed once and written three times; it is held between the writes, spilling
     to disk, and recomputed from the source if an executor is lost. Nothing is joined to what
-    is already stored: sessions settle on their earliest row when read.
+    is already stored: sessions settle on their earliest row when read. Every `close_every`
+    batches the days that are over are closed; all earlier batches are finished then.
     """
-    sessions = sessions_table(root)
+    sessions, log = sessions_table(root), click_log(root)
+    landing_tables(values.sparkSession, root)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if batch_id and batch_id % close_every == 0:
+            log.close(batch.sparkSession, batch_id - 1)
         batch.persist()
         try:
             if batch.isEmpty():
                 return
             clicks = accepted(batch)
-            days = log_rows(clicks).hint("rebalance", "event_date")
-            _write_batch_partitions(days, batch_id, f"{root}/click_log", ["event_date"])
+            log.write(log_rows(clicks), batch_id)
             sessions.write(first_per_session(session_candidates(clicks)), batch_id)
             _write_batch_partitions(quarantined(batch), batch_id, f"{root}/quarantine")
         finally:

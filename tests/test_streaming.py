@@ -134,7 +134,7 @@ def test_landing(spark, feed, tmp_path):
     log = jobs.landed_log(spark, root)
     assert sorted(rows(log, "event_id", "session_id")) == [(1, 7), (2, 8), (3, 7), (4, None)]
     assert str(log.filter("event_id = 2").first().amount_usd) == "9.50"
-    days = sorted(p.name for p in (tmp_path / "job" / "click_log").glob("event_date=*"))
+    days = sorted(p.name for p in (tmp_path / "job" / "click_log" / "rows").glob("event_date=2*"))
     assert days == ["event_date=2024-01-01", "event_date=2024-01-02"]
 
     found = jobs.landed_sessions(spark, root).orderBy("session_id")
