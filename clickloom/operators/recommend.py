@@ -67,6 +67,9 @@ BROADCAST_ROWS = 200_000
 # Ranks are worked on in blocks, so that no user's history is ever one group.
 BLOCK = 1_024
 
+# Tasks that the far rows of one user with a very long history are dealt out to.
+SALTS = 32
+
 
 def rank_products(popularity: DataFrame, staging: Staging) -> DataFrame:
     """A global position for every product: popularity down, then id.
@@ -203,6 +206,35 @@ def _unseen_places(history: DataFrame, n: int, n_products: int, block: int) -> D
     return places.select("user_id", "place", rank.alias("rank"))
 
 
+def _far_rows(rows: DataFrame, heavy: DataFrame, salts: int = SALTS) -> DataFrame:
+    """The rows of users in `heavy`. A heavy user's rows are dealt out by a hash of the product."""
+    salt = F.pmod(F.xxhash64("product_id"), F.lit(salts)).cast("int")
+    spread = heavy.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return rows.withColumn("salt", salt).join(spread, ["user_id", "salt"], "left_semi").drop("salt")
+
+
+def _history_places(
+    pairs: DataFrame, ranked: DataFrame, per_user: DataFrame, n: int, reach: int, near_rows: int, staging: Staging
+) -> DataFrame:
+    """(user_id, place) of the products in each history, as far as that user's answer can depend on
+    them: a user with h products asks for the first n + h places.
+
+    The near products are joined by broadcast. Whoever asks for no more than those is done: the rest
+    of such a history lies beyond the answer and goes no further. Only users who ask for more send
+    their remaining rows through a shuffle. Every user has one row without a place, so that none is
+    lost whose whole history is far."""
+    near = F.broadcast(ranked.filter(F.col("place") <= min(reach, near_rows)).select("product_id", "place"))
+    if reach <= near_rows:
+        return pairs.select("user_id", "product_id").join(near, "product_id", "left").select("user_id", "place")
+    joined = pairs.select("user_id", "product_id").join(near, "product_id", "left")
+    heavy = staging.put(per_user.filter(F.col("h") + n > near_rows).select("user_id"), "heavy-users")
+    rest = _far_rows(joined.filter(F.col("place").isNull()).drop("place"), heavy)
+    far = ranked.filter((F.col("place") > near_rows) & (F.col("place") <= reach)).select("product_id", "place")
+    everyone = per_user.select("user_id", F.lit(None).cast("long").alias("place"))
+    found = joined.filter(F.col("place").isNotNull()).select("user_id", "place")
+    return found.unionByName(rest.join(far, "product_id").select("user_id", "place")).unionByName(everyone)
+
+
 def recommend_unseen(
     pairs: DataFrame,
     staging: Staging,
@@ -222,10 +254,8 @@ def recommend_unseen(
     per_user = pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("h"))
     longest = per_user.agg(F.max("h")).first()[0] or 0
     reach = min(n + longest, n_products)
-    history = _join_places(
-        pairs.select("user_id", "product_id"), ranked, "product_id", ["place"], reach, near_rows
-    )
-    places = _unseen_places(history.select("user_id", "place"), n, n_products, block)
+    history = _history_places(pairs, ranked, per_user, n, reach, near_rows, staging)
+    places = _unseen_places(history, n, n_products, block)
     named = _join_places(
         places, ranked, "place", ["product_id", "popularity_score"], reach, near_rows
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from clickloom.operators.interactions import als_input, interactions
-from clickloom.operators.quality import load_audit
 from clickloom.operators.recommend import recommend_unseen
 from clickloom.schemas import (
     EVENTS,
@@ -18,7 +17,7 @@ from clickloom.schemas import (
 )
 from clickloom.session import use_utc
 from clickloom.sources.catalog import create_tables, replace_table, truncate_live_tables
-from clickloom.sources.files import read_csv, read_csv_tables, replace_parquet
+from clickloom.sources.files import LoadAudit, read_csv, read_csv_text, replace_parquet
 from clickloom.sources.staging import Staging
 
 INTERACTIONS_TABLE = "user_product_interactions"
@@ -26,15 +25,19 @@ RECOMMENDATIONS_TABLE = "unseen_recommendations"
 
 
 def seed(spark: SparkSession, folder: str, database: str = "default") -> DataFrame:
-    """Create the tables, replace the static ones from CSV and empty the live ones. Returns
-    the row counts of the files."""
+    """Create the tables, replace the static ones from CSV and empty the live ones. Every file is read
+    once: (table_name, n_rows, lost) are counted while its table is written. `lost` maps the columns
+    that had values which do not parse, and are now null, to their number."""
     use_utc(spark)
-    loaded = read_csv_tables(spark, folder, STATIC_TABLES)
     create_tables(spark, database)
-    for name, frame in loaded.items():
-        replace_table(frame, name, database)
+    report = []
+    for name, schema in STATIC_TABLES.items():
+        audit = LoadAudit(read_csv_text(spark, f"{folder}/{name}.csv"), schema)
+        replace_table(audit.rows, name, database)
+        n_rows, lost = audit.report()
+        report.append((name, n_rows, {column: n for column, n in lost.items() if n}))
     truncate_live_tables(spark, database)
-    return load_audit(loaded)
+    return spark.createDataFrame(report, "table_name string, n_rows long, lost map<string, long>")
 
 
 def rebuild_recommendations(

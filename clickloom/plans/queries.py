@@ -32,6 +32,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Micro-batches a replay is spread over, and the day at which a log is split in two.
 REPLAY_BATCHES = 3
 SPLIT_DAY = "2024-01-16"
+# How much later than its event a second copy is sent.
+SECOND_DELIVERY = "12 days"
 
 
 def output(frame: DataFrame) -> DataFrame:
@@ -358,10 +360,10 @@ def category_labels(data: Canonical) -> DataFrame:
 # --- streaming -----------------------------------------------------------------------------
 
 
-def _replayed(data: Canonical, staging: Staging, clicks: DataFrame) -> DataFrame:
+def _replayed(data: Canonical, staging: Staging, clicks: DataFrame, by: str = "timestamp") -> DataFrame:
     files = max(REPLAY_BATCHES, data.spark.sparkContext.defaultParallelism)
     folder = staging.path("feed")
-    replay.publish(clicks, folder, files)
+    replay.publish(clicks, folder, files, by)
     return replay.replay(streaming_session(data.spark), folder, files, REPLAY_BATCHES)
 
 
@@ -400,10 +402,11 @@ def stream_sessions(data: Canonical) -> DataFrame:
 
 @query
 def stream_dedup(data: Canonical) -> DataFrame:
-    """Every event delivered twice."""
+    """Every event delivered twice, the second time days after the first."""
     staging = Staging(data.spark)
     log = data.delivered()
-    stream = _replayed(data, staging, log.unionByName(log))
+    sent = F.col("timestamp") + F.expr(f"INTERVAL {SECOND_DELIVERY}")
+    twice = log.withColumn("sent", F.col("timestamp")).unionByName(log.withColumn("sent", sent))
     root = staging.path("jobs")
-    drain(jobs.append_files(jobs.distinct_events(stream), root, ["event_date"]))
-    return ids_as_text(data.spark.read.schema(CLICK_LOG).parquet(f"{root}/rows"))
+    drain(jobs.land_distinct(_replayed(data, staging, twice, "sent"), root))
+    return ids_as_text(jobs.distinct_log(root).read(data.spark))

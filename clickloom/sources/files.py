@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,18 +62,40 @@ def read_csv_tables(
     }
 
 
-def lost_values(text: DataFrame, schema: T.StructType) -> DataFrame:
-    """(column_name, n_lost): per column of the schema, the values that were there as text and do
-    not parse. Not-a-number counts as absent."""
-    there = [field for field in schema.fields if field.name in text.columns]
+def _lost(text: DataFrame, schema: T.StructType) -> dict[str, Column]:
+    """Per column of the schema that the text has: how many values are there and do not parse.
+    Not-a-number counts as absent."""
 
     def lost(field: T.StructField) -> Column:
         value = F.col(field.name)
         absent = value.isNull() | F.lower(F.trim(value)).isin("", "nan", "null")
-        return F.count_if(~absent & _parsed(value, field.dataType).isNull()).alias(field.name)
+        return F.count_if(~absent & _parsed(value, field.dataType).isNull())
+
+    return {field.name: lost(field) for field in schema.fields if field.name in text.columns}
 
-    counts = text.agg(*[lost(field) for field in there])
-    return counts.unpivot([], [field.name for field in there], "column_name", "n_lost")
+
+def lost_values(text: DataFrame, schema: T.StructType) -> DataFrame:
+    """(column_name, n_lost) for each column of the schema, in a pass of its own."""
+    lost = _lost(text, schema)
+    counts = text.agg(*[count.alias(name) for name, count in lost.items()])
+    return counts.unpivot([], list(lost), "column_name", "n_lost")
+
+
+class LoadAudit:
+    """Rows read and values lost of one input, observed while something else is done with its rows:
+    `rows` is the input in its declared types, to be written once; then `report` tells."""
+
+    def __init__(self, text: DataFrame, schema: T.StructType):
+        self.seen = Observation()
+        self.lost = _lost(text, schema)
+        counts = [count.alias(f"lost {name}") for name, count in self.lost.items()]
+        watched = text.observe(self.seen, F.count(F.lit(1)).alias("rows"), *counts)
+        self.rows = conform(watched, schema)
+
+    def report(self) -> tuple[int, dict[str, int]]:
+        """Rows, and lost values by column. Waits for the write."""
+        found = self.seen.get
+        return found["rows"], {name: found[f"lost {name}"] for name in self.lost}
 
 
 def replace_parquet(frame: DataFrame, path: str) -> None:

@@ -166,7 +166,8 @@ def distinct_events(
 
     Without a delay every key is remembered, and no event is ever too late. With one, state
     is dropped behind the watermark and so is any event, copy or not, that arrives later than
-    that: right for a live display, never in front of the scorer or the click log.
+    that: right for a live display, never in front of the scorer or the click log. For a log use
+    `land_distinct`, which bounds the state and loses nothing.
     """
     clicks = log_rows(accepted(checked_messages(values)))
     if delay is None:
@@ -174,6 +175,60 @@ def distinct_events(
     return clicks.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(list(key))
 
 
+def distinct_log(root: str) -> DayLog:
+    return DayLog(root, "distinct_log", CLICK_LOG)
+
+
+def land_distinct(
+    values: DataFrame,
+    root: str,
+    key: Sequence[str] = EVENT_KEY,
+    remember: str = "6 hours",
+    ahead: str = "1 hour",
+    close_every: int = CLOSE_EVERY,
+) -> DataStreamWriter:
+    """A log that holds each event once, with bounded state, and loses none.
+
+    Copies are told apart in two tiers. Streaming state remembers a key for `remember` after it has
+    arrived; its watermark runs on the time of arrival, behind which nothing can be late. An event
+    old enough to have arrived before that is looked up in the log itself: only the days that such
+    events of the batch belong to are read, without what this batch may have written before a
+    failure. `ahead` is how far a producer's clock may be ahead of ours; `remember` is longer. Of
+    copies the one that arrives first stays.
+    """
+    log = distinct_log(root)
+    log.create(values.sparkSession)
+    clicks = log_rows(accepted(checked_messages(values))).withColumn("arrived", F.current_timestamp())
+    remembered = clicks.withWatermark("arrived", remember).dropDuplicatesWithinWatermark(list(key))
+    safe = F.col("arrived") - F.expr(f"INTERVAL {remember}") + F.expr(f"INTERVAL {ahead}")
+    old = F.col("timestamp") < safe
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id and batch_id % close_every == 0:
+            log.close(spark, batch_id - 1)
+        batch.persist()
+        try:
+            if batch.isEmpty():
+                return
+            late = batch.filter(old)
+            # One value per day.
+            days = [row.event_date for row in late.select("event_date").distinct().collect()]
+            fresh = batch
+            if days:
+                stored = log.before_batch(spark, batch_id, days).select(*key)
+                fresh = batch.filter(~old).unionByName(late.join(stored, list(key), "left_anti").select(batch.columns))
+            log.write(fresh, batch_id)
+        finally:
+            batch.unpersist()
+
+    return (
+        remembered.writeStream.outputMode("append")
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .foreachBatch(write)
+    )
+
+
 def append_files(rows: DataFrame, root: str, by: Sequence[str] = ()) -> DataStreamWriter:
     """Exactly-once append to a folder of Parquet files."""
     writer = (

@@ -8,11 +8,10 @@ from clickloom.operators.cleaning import event_messages, to_values
 from clickloom.sources.kafka import read_files, write_files
 
 
-def publish(clicks: DataFrame, folder: str, files: int) -> None:
-    """Write clicks as JSON messages, each file a stretch of event time in order."""
-    ordered = clicks.repartitionByRange(files, "timestamp", "event_id").sortWithinPartitions(
-        "timestamp", "event_id"
-    )
+def publish(clicks: DataFrame, folder: str, files: int, by: str = "timestamp") -> None:
+    """Write clicks as JSON messages, each file a stretch of event time, or of another column that
+    says when they are sent, in order."""
+    ordered = clicks.repartitionByRange(files, by, "event_id").sortWithinPartitions(by, "event_id")
     write_files(to_values(event_messages(ordered)), folder)
 
 

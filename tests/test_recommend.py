@@ -56,6 +56,25 @@ def test_unseen_equals_brute_force(spark, near_rows, block):
         assert found == brute_force(pairs, n)
 
 
+def test_only_long_histories_go_beyond_the_near_products(spark, monkeypatch):
+    """One user has touched 300 products, the others a few far ones: of the rows that the near
+    products do not answer, only the first user's go through the second shuffle."""
+    pairs = [(0, p, 1) for p in range(300)] + [(u, 299 - u, 1) for u in range(1, 40)]
+    pairs += [(u, p, 5) for u in range(100, 104) for p in range(20)]
+    seen = []
+    far_rows = recommend._far_rows
+
+    def counting(*arguments):
+        found = far_rows(*arguments)
+        seen.append((arguments[0].count(), found.groupBy("user_id").count().collect()))
+        return found
+
+    monkeypatch.setattr(recommend, "_far_rows", counting)
+    assert recommended(spark, pairs, 5, near_rows=50) == brute_force(pairs, 5)
+    ((unanswered, sent),) = seen
+    assert unanswered > 250 + 5 and [tuple(row) for row in sent] == [(0, 250)]
+
+
 def test_ties_and_exhausted_users(spark):
     pairs = [(1, 10, 5), (2, 11, 5), (3, 10, 0), (3, 11, 0), (3, 12, 1)]
     assert recommended(spark, pairs, 5) == {

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import types as T
@@ -195,6 +196,33 @@ def test_dedup_with_and_without_a_watermark(spark, feed, tmp_path):
     assert found == {"exact": [1, 2, 3, 4], "bounded": [1, 2, 4]}
 
 
+def test_distinct_log_loses_nothing_and_forgets(spark, feed, tmp_path):
+    """Events come once, late ones included, whether their copy is remembered or looked up in the
+    log; keys leave the state, and a batch that is run again does not take itself for a copy."""
+    root = str(tmp_path / "job")
+    states = []
+
+    def land():
+        query = drain(jobs.land_distinct(feed.stream(), root, remember="1 second", ahead="0 seconds", close_every=4))
+        states.append(sum(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress[-1:]))
+
+    feed.send(landed(1, "2024-01-02T12:00:00"), landed(1, "2024-01-02T12:00:00"), *[landed(100 + i, "2024-01-03T00:00:00", user=i) for i in range(50)])
+    land()
+    for number, day in ((2, "2024-01-09"), (3, "2024-01-01"), (4, "2024-01-09"), (5, "2024-01-02")):
+        time.sleep(2.5)
+        feed.send(landed(number, f"{day}T0{number}:00:00"), landed(1, "2024-01-02T12:00:00"), landed(100, "2024-01-03T00:00:00", user=0))
+        land()
+    expected = sorted([1, 2, 3, 4, 5, *range(100, 150)])
+    found = jobs.distinct_log(root).read(spark)
+    assert sorted(r.event_id for r in found.collect()) == expected
+    assert states[0] >= 51 and states[-1] < 20
+    newest = max((tmp_path / "job" / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    newest.unlink()
+    newest.with_name(f".{newest.name}.crc").unlink()
+    land()
+    assert sorted(r.event_id for r in jobs.distinct_log(root).read(spark).collect()) == expected
+
+
 def test_start_and_stop(spark, feed, tmp_path):
     table = jobs.score_increments_table(str(tmp_path / "job")).create(spark)
     feed.send(event())
