@@ -14,6 +14,20 @@ from clickloom.functions.scoring import LIVE, score
 from clickloom.functions.values import rounded_mean
 
 
+COUNTED = ("event_date", "session_id", "user_id", "event_type")
+
+
+def event_counts(log: DataFrame) -> DataFrame:
+    """How often each user did what in a session on a day, as n_events: all that the indicators of a
+    day need of its events. Counts of parts of a log, put together, are counts of the log; the
+    functions below take either."""
+    return log.groupBy(*COUNTED).agg(F.sum(_times(log)).alias("n_events"))
+
+
+def _times(log: DataFrame) -> Column:
+    return F.col("n_events") if "n_events" in log.columns else F.lit(1).cast("long")
+
+
 def latest_day(log: DataFrame) -> Column:
     return log.agg(F.max("event_date")).scalar()
 
@@ -27,10 +41,12 @@ def daily_kpis(log: DataFrame, day: Column | None = None) -> DataFrame:
     return (
         on_day(log, day)
         .agg(
-            F.count(F.lit(1)).alias("total_events"),
+            F.coalesce(F.sum(_times(log)), F.lit(0)).alias("total_events"),
             F.countDistinct("user_id").alias("active_users"),
-            F.count_if(F.col("event_type") == "purchase").alias("purchases"),
-            F.sum(score(LIVE)).alias("points"),
+            F.coalesce(
+                F.sum(F.when(F.col("event_type") == "purchase", _times(log))), F.lit(0)
+            ).alias("purchases"),
+            F.sum(score(LIVE) * _times(log)).alias("points"),
             F.max("event_date").alias("data_date"),
         )
         .select(
@@ -50,7 +66,7 @@ def daily_kpis(log: DataFrame, day: Column | None = None) -> DataFrame:
 def _with_session(log: DataFrame, sessions: DataFrame, columns: list[str]) -> DataFrame:
     """Event counts per (session, user), joined to the session's attributes. Counting first
     leaves one row per session and user to shuffle, however busy a session is."""
-    counts = log.groupBy("session_id", "user_id").agg(F.count(F.lit(1)).alias("n_events"))
+    counts = log.groupBy("session_id", "user_id").agg(F.sum(_times(log)).alias("n_events"))
     return counts.join(sessions.select("session_id", *columns), "session_id")
 
 

@@ -74,6 +74,17 @@ def recent_distinct(
     return log
 
 
+def newest_distinct(events: DataFrame, size: int) -> DataFrame:
+    """Each of the newest `size` distinct events once, with all that share the last one's time, and
+    events without a time where there are too few others. What is left out here can never be among
+    the newest of a larger log, so results of parts, put together and reduced again, are the result
+    of the whole."""
+    once = dedup_events(events)
+    top = once.filter(F.col("timestamp").isNotNull()).select("timestamp").orderBy(F.desc("timestamp")).limit(size)
+    bound = top.agg(F.struct(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("last"))).scalar()
+    return once.filter((bound.getField("n") < size) | (F.col("timestamp") >= bound.getField("last")))
+
+
 def latest(events: DataFrame, limit: int) -> DataFrame:
     """The newest rows; ties are broken by the columns that tell copies apart."""
     return events.orderBy(

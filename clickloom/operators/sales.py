@@ -23,6 +23,18 @@ def session_sales(sales: DataFrame) -> DataFrame:
     )
 
 
+def sale_facts(log: DataFrame) -> DataFrame:
+    """One row per session and day with a purchase: the day's last purchase time and largest amount.
+    A session's sale within any scope of whole days follows from them, and moves to a later day when
+    a purchase arrives there. Facts read like a log of purchases, and facts of facts are facts."""
+    return (
+        purchases(log)
+        .groupBy("event_date", "session_id")
+        .agg(F.max("timestamp").alias("timestamp"), F.max("amount_usd").alias("amount_usd"))
+        .select("event_date", "session_id", F.lit("purchase").alias("event_type"), "timestamp", "amount_usd")
+    )
+
+
 def sales_trend(
     log: DataFrame,
     granularity: str = "month",

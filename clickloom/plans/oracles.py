@@ -225,7 +225,23 @@ QUARANTINE = """
 LABELS = "strftime(timestamp, '{}')"
 
 
+# Queries that must give what another one gives, by a way of their own.
+SAME_AS = {
+    "product_search_indexed": "product_search",
+    "panel_daily_kpis": "daily_kpis",
+    "panel_device_source": "device_source",
+    "panel_active_countries": "active_countries",
+    "panel_sales_trend_day": "sales_trend_day",
+    "panel_top_products": "live_top_products",
+}
+
+
 def oracle_sql() -> dict[str, str]:
+    twins = _twins()
+    return twins | {name: twins[other] for name, other in SAME_AS.items()}
+
+
+def _twins() -> dict[str, str]:
     scores = _with("SELECT * FROM scores", "scores")
     sessions_first = _with(SESSIONS_FIRST, "delivered")
     dedup = f"""

@@ -26,6 +26,7 @@ from clickloom.sources.canonical import Canonical, values_of
 from clickloom.sources.staging import Staging
 from clickloom.streaming import jobs, replay
 from clickloom.streaming.lifecycle import drain
+from clickloom.streaming.panels import Panels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +59,8 @@ def ids_as_text(frame: DataFrame) -> DataFrame:
     return frame.withColumns({name: F.col(name).cast("string") for name in ids})
 
 
+SEARCH_INDEX = "gram string, field string, product_id long"
+
 CATALOGUE: dict[str, Query] = {}
 
 
@@ -259,6 +262,14 @@ def product_search(data: Canonical) -> DataFrame:
     return search.product_search(data.products(), "ring", 900, 950)
 
 
+@query
+def product_search_indexed(data: Canonical) -> DataFrame:
+    path = Staging(data.spark).path("search-index")
+    search.write_search_index(data.products(), path)
+    index = data.spark.read.schema(SEARCH_INDEX).parquet(path)
+    return search.indexed_search(data.products(), index, "ring", 900, 950)
+
+
 # --- live feed -----------------------------------------------------------------------------
 
 
@@ -410,3 +421,42 @@ def stream_dedup(data: Canonical) -> DataFrame:
     root = staging.path("jobs")
     drain(jobs.land_distinct(_replayed(data, staging, twice, "sent"), root))
     return ids_as_text(jobs.distinct_log(root).read(data.spark))
+
+
+# --- panels kept up to date by batches -----------------------------------------------------
+
+
+def _panels(data: Canonical, log: DataFrame) -> Panels:
+    """Panels after some batches that mix all days, the first of them closed before the last."""
+    panels = Panels(Staging(data.spark).path("panels")).create(data.spark)
+    number = F.pmod(F.xxhash64("user_id", "product_id", "timestamp", "event_id"), F.lit(REPLAY_BATCHES))
+    for batch_id in range(REPLAY_BATCHES):
+        if batch_id == REPLAY_BATCHES - 1:
+            panels.close(data.spark, batch_id - 1)
+        panels.write(log.filter(number == batch_id), batch_id)
+    return panels
+
+
+@query
+def panel_daily_kpis(data: Canonical) -> DataFrame:
+    return _panels(data, data.click_log()).daily_kpis(data.spark)
+
+
+@query
+def panel_device_source(data: Canonical) -> DataFrame:
+    return _panels(data, data.click_log()).device_source(data.spark, data.session_origins())
+
+
+@query
+def panel_active_countries(data: Canonical) -> DataFrame:
+    return _panels(data, data.click_log()).active_countries(data.spark, data.sessions())
+
+
+@query
+def panel_sales_trend_day(data: Canonical) -> DataFrame:
+    return _panels(data, data.click_log()).sales_trend(data.spark, "day", 2024, 1)
+
+
+@query
+def panel_top_products(data: Canonical) -> DataFrame:
+    return _panels(data, data.feed_log()).live_top_products(data.spark, data.products())

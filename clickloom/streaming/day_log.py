@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.sources.folders import listed, partition_value, remove, remove_if_empty
-from clickloom.streaming.batch_table import BatchTable
+from clickloom.streaming.batch_table import BatchTable, Fold
 
 # Batches of a closed day that make closing it again worth its rewriting.
 LATE_BATCHES = 50
@@ -42,11 +42,13 @@ def _days_of(paths: list[str]) -> dict[date, list[tuple[int, str]]]:
 
 @dataclass(frozen=True)
 class DayLog:
-    """`schema` has an `event_date`, by which rows are partitioned."""
+    """`schema` has an `event_date`, by which rows are partitioned. With a `fold`, rows of a day that
+    is closed are reduced by it; readers reduce them again, together with those not yet closed."""
 
     root: str
     name: str
     schema: T.StructType
+    fold: Fold | None = None
 
     @property
     def rows(self) -> str:
@@ -114,6 +116,8 @@ class DayLog:
         kept = {day: marks[day] for day in chosen if day in marks}
         found = self._read(spark, self.rows, "batch_id", [p for paths in chosen.values() for p in paths])
         found = found.unionByName(self._closed_rows(spark, kept))
+        if self.fold:
+            found = self.fold(found).select(*self.schema.names)
         (
             found.hint("rebalance", "event_date")
             .withColumn("upto", F.lit(upto).cast("long"))
