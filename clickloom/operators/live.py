@@ -55,7 +55,7 @@ def recent_distinct(
     if "timestamp" not in key:
         return log
     counts = _day_counts(log, days).filter(F.col("event_date").isNotNull())
-    newest = [(row.event_date, row.n) for row in counts.orderBy(F.desc("event_date")).collect()]
+    newest = sorted(((row.event_date, row.n) for row in counts.collect()), reverse=True)
     taken, events = 0, 0
     while taken < len(newest):
         # Days with fewer events than asked for need not be tried.

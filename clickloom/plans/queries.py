@@ -426,37 +426,37 @@ def stream_dedup(data: Canonical) -> DataFrame:
 # --- panels kept up to date by batches -----------------------------------------------------
 
 
-def _panels(data: Canonical, log: DataFrame) -> Panels:
-    """Panels after some batches that mix all days, the first of them closed before the last."""
-    panels = Panels(Staging(data.spark).path("panels")).create(data.spark)
+def _panels(data: Canonical, log: DataFrame, name: str) -> Panels:
+    """A panel table after some batches that mix all days, the first of them closed before the last."""
+    panels = Panels(Staging(data.spark).path("panels")).create(data.spark, name)
     number = F.pmod(F.xxhash64("user_id", "product_id", "timestamp", "event_id"), F.lit(REPLAY_BATCHES))
     for batch_id in range(REPLAY_BATCHES):
         if batch_id == REPLAY_BATCHES - 1:
-            panels.close(data.spark, batch_id - 1)
-        panels.write(log.filter(number == batch_id), batch_id)
+            panels.close(data.spark, batch_id - 1, name)
+        panels.write(log.filter(number == batch_id), batch_id, name)
     return panels
 
 
 @query
 def panel_daily_kpis(data: Canonical) -> DataFrame:
-    return _panels(data, data.click_log()).daily_kpis(data.spark)
+    return _panels(data, data.click_log(), "counts").daily_kpis(data.spark)
 
 
 @query
 def panel_device_source(data: Canonical) -> DataFrame:
-    return _panels(data, data.click_log()).device_source(data.spark, data.session_origins())
+    return _panels(data, data.click_log(), "counts").device_source(data.spark, data.session_origins())
 
 
 @query
 def panel_active_countries(data: Canonical) -> DataFrame:
-    return _panels(data, data.click_log()).active_countries(data.spark, data.sessions())
+    return _panels(data, data.click_log(), "counts").active_countries(data.spark, data.sessions())
 
 
 @query
 def panel_sales_trend_day(data: Canonical) -> DataFrame:
-    return _panels(data, data.click_log()).sales_trend(data.spark, "day", 2024, 1)
+    return _panels(data, data.click_log(), "sales").sales_trend(data.spark, "day", 2024, 1)
 
 
 @query
 def panel_top_products(data: Canonical) -> DataFrame:
-    return _panels(data, data.feed_log()).live_top_products(data.spark, data.products())
+    return _panels(data, data.feed_log(), "newest").live_top_products(data.spark, data.products())

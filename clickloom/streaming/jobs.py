@@ -217,8 +217,10 @@ def land_distinct(
             fresh = batch
             if days:
                 stored = log.before_batch(spark, batch_id, days).select(*key)
-                fresh = batch.filter(~old).unionByName(late.join(stored, list(key), "left_anti").select(batch.columns))
+                unseen = late.join(stored, list(key), "left_anti").select(batch.columns)
+                fresh = batch.filter(~old).unionByName(unseen).persist()
             log.write(fresh, batch_id)
+            fresh.unpersist()
         finally:
             batch.unpersist()
 

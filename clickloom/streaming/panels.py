@@ -7,6 +7,7 @@ and a poll reads the day it is about, or no more than the buffer, whatever the l
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,21 +49,30 @@ class Panels:
     def newest(self) -> BatchTable:
         return BatchTable(self.root, "newest", CLICK_LOG, lambda rows: live.newest_distinct(rows, self.buffer))
 
-    def create(self, spark: SparkSession) -> Panels:
-        for table in (self.counts, self.sales, self.newest):
+    def parts(self, *names: str) -> list[tuple[DayLog | BatchTable, Callable[[DataFrame], DataFrame]]]:
+        """The tables of some names (all, if none is named), and what a batch writes to each."""
+        tables = {
+            "counts": (self.counts, daily.event_counts),
+            "sales": (self.sales, sales.sale_facts),
+            "newest": (self.newest, lambda rows: live.newest_distinct(rows, self.buffer)),
+        }
+        return [tables[name] for name in names or tables]
+
+    def create(self, spark: SparkSession, *names: str) -> Panels:
+        for table, _ in self.parts(*names):
             table.create(spark)
         return self
 
-    def write(self, clicks: DataFrame, batch_id: int) -> None:
+    def write(self, clicks: DataFrame, batch_id: int, *names: str) -> None:
         """A batch of click-log rows. Run again, it replaces what it wrote."""
-        self.counts.write(daily.event_counts(clicks), batch_id)
-        self.sales.write(sales.sale_facts(clicks), batch_id)
-        self.newest.write(live.newest_distinct(clicks, self.buffer), batch_id)
+        for table, part in self.parts(*names):
+            table.write(part(clicks), batch_id)
 
-    def close(self, spark: SparkSession, upto: int) -> None:
+    def close(self, spark: SparkSession, upto: int, *names: str) -> None:
         """Reduce the days that are over; batches up to `upto` are finished."""
-        for table in (self.counts, self.sales):
-            table.close(spark, upto)
+        for table, _ in self.parts(*names):
+            if isinstance(table, DayLog):
+                table.close(spark, upto)
 
     def job(self, values: DataFrame, close_every: int = CLOSE_EVERY) -> DataStreamWriter:
         self.create(values.sparkSession)
