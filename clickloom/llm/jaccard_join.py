@@ -5,9 +5,13 @@ more than two linked sets of the band can differ in elements, so that any two li
 in at least one part. A tile holds the nodes of a band that agree in a part. Passages that many
 documents share do not fill a tile, since the rest of the part must agree as well.
 
+Tile keys are not stored. A pass over the texts packs (tile, node) into one binary row per bucket of
+tiles, 16 bytes a pair; the task that gets a bucket keeps the tiles in which nodes meet, and only
+those, a small part, become rows.
+
 Within a tile each node is first compared with one pivot, which settles large groups of near
-copies in a step; tiles that still hold more than one component are compared in full, split
-into blocks. A pair is compared by sizes and by bitmaps first: every bit in which two bitmaps
+copies in a step. Tiles that still hold several components, and many nodes, get further pivots, one
+a round; what is left then is compared in full, split into blocks. A pair is compared by sizes and by bitmaps first: every bit in which two bitmaps
 differ stands for an element that only one set has. Within a tile that is a short bitmap of fixed
 length, then for each pair left one as long as its sets need. What both bounds let through is
 intersected exactly, as sorted arrays of 64-bit hashes. Pairs within a component need no comparison.
@@ -40,6 +44,14 @@ BITMAP = 16
 DENSITY = 6
 # Nodes of a block of a tile that is compared in full.
 BLOCK = 256
+# Nodes from which a tile gets further pivots, and how many of them, before it is compared in full.
+CROWD = 16
+# Tasks over which the rows of one key are dealt out.
+SALTS = 16
+PIVOTS = 6
+# Pairs of tile and node in a bucket, on average, and in memory before they are packed or reduced.
+BUCKET_PAIRS = 1 << 20
+HELD_PAIRS = 1 << 21
 BAND_GROWTH = 1.5
 REMEMBERED = 200_000
 LONGEST_REMEMBERED = 64
@@ -50,7 +62,7 @@ SIGNED = [
     T.StructField("n_shingles", T.LongType()),
     T.StructField("node", T.BinaryType()),
     T.StructField("short", T.LongType()),
-    T.StructField("tiles", T.ArrayType(T.LongType())),
+    T.StructField("n_tiles", T.LongType()),
 ]
 SHINGLED = [
     T.StructField("node", T.BinaryType()),
@@ -169,20 +181,116 @@ def node_of(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
+def short_of(node: bytes) -> int:
+    return int.from_bytes(node[:8], "little", signed=True)
+
+
+def packer(n: int, bands: Bands, text_column: str, buckets: int) -> Step:
+    """bucket and pairs: the tiles of each set with its node's short number, packed by bucket. Copies
+    that a task has met shortly before are left out."""
+
+    def packed(tiles: np.ndarray, shorts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bucket = (tiles % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        pairs = np.column_stack([tiles[order], shorts[order]])
+        found, starts = np.unique(bucket[order], return_index=True)
+        ends = [*starts[1:], len(pairs)]
+        for low in range(0, len(found), 256):
+            parts = [pairs[a:b].tobytes() for a, b in zip(starts[low : low + 256], ends[low : low + 256], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found[low : low + 256]), pa.array(parts, pa.binary())], names=["bucket", "pairs"]
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: set[int] = set()
+        count = 0
+        for batch in slices(batches):
+            for text in batch.column(text_column).to_pylist():
+                hashes = shingles(text, n)
+                if not len(hashes):
+                    continue
+                short = short_of(node_of(hashes))
+                if short in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(short)
+                keys = tile_keys(hashes, bands)
+                held.append((keys, np.full(len(keys), short, np.int64).view(np.uint64)))
+                count += len(keys)
+                if count >= HELD_PAIRS:
+                    yield from packed(*(np.concatenate(part) for part in zip(*held, strict=True)))
+                    held, count = [], 0
+        if held:
+            yield from packed(*(np.concatenate(part) for part in zip(*held, strict=True)))
+
+    return run
+
+
+def split_shared(tiles: np.ndarray, shorts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Tiles and nodes, each pair once: of tiles with several nodes, then of those with one."""
+    order = np.lexsort((shorts, tiles))
+    tiles, shorts = tiles[order], shorts[order]
+    new = np.ones(len(tiles), bool)
+    new[1:] = (tiles[1:] != tiles[:-1]) | (shorts[1:] != shorts[:-1])
+    tiles, shorts = tiles[new], shorts[new]
+    starts = np.flatnonzero(np.concatenate([[True], tiles[1:] != tiles[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(tiles)]]))
+    shared = np.repeat(sizes > 1, sizes)
+    return tiles[shared], shorts[shared], tiles[~shared], shorts[~shared]
+
+
+def _shared_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """tile and short of the tiles in which nodes meet, from packed rows that come bucket by bucket.
+    What is found to be shared leaves at once, so a crowded tile is never held."""
+    none = np.empty(0, np.uint64)
+    at, count, held = None, 0, []
+    met = none
+
+    def out(tiles: np.ndarray, shorts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for low in range(0, len(tiles), 1 << 16):
+            columns = [pa.array(part[low : low + (1 << 16)].view(np.int64)) for part in (tiles, shorts)]
+            yield pa.RecordBatch.from_arrays(columns, names=["tile", "short"])
+
+    def reduce_held() -> Iterator[pa.RecordBatch]:
+        nonlocal held, count, met
+        pairs = np.concatenate(held)
+        tiles, shorts = pairs[:, 0], pairs[:, 1]
+        known = np.isin(tiles, met)
+        yield from out(np.ascontiguousarray(tiles[known]), np.ascontiguousarray(shorts[known]))
+        shared_tiles, shared_shorts, tiles, shorts = split_shared(tiles[~known], shorts[~known])
+        yield from out(shared_tiles, shared_shorts)
+        met = np.union1d(met, shared_tiles)
+        held, count = [np.column_stack([tiles, shorts])], len(tiles)
+
+    for batch in batches:
+        for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
+            if bucket != at or count >= 4 * HELD_PAIRS:
+                if held:
+                    yield from reduce_held()
+                if bucket != at:
+                    at, count, held, met = bucket, 0, [], none
+            held.append(np.frombuffer(packed, np.uint64).reshape(-1, 2))
+            count += len(held[-1])
+    if held:
+        yield from reduce_held()
+
+
 def signer(n: int, bands: Bands, text_column: str) -> Step:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(text, n) for text in batch.column(text_column).to_pylist()]
             nodes = [node_of(s) if len(s) else None for s in sets]
-            short = [None if node is None else int.from_bytes(node[:8], "little", signed=True) for node in nodes]
-            keys = [tile_keys(s, bands).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
+            short = [None if node is None else short_of(node) for node in nodes]
+            tiles = [sum(bands.parts(band) for band in bands.of(len(s))) if len(s) else 0 for s in sets]
             yield with_columns(
                 batch,
                 {
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                     "node": pa.array(nodes, pa.binary()),
                     "short": pa.array(short, pa.int64()),
-                    "tiles": pa.array(keys, pa.list_(pa.int64())),
+                    "n_tiles": pa.array(tiles, pa.int64()),
                 },
             )
 
@@ -274,6 +382,24 @@ def components(links: DataFrame, staging: Staging) -> DataFrame:
             return labels
 
 
+def _signed(
+    docs: DataFrame, staging: Staging, n: int, bands: Bands, id_column: str, text_column: str
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of id and text, and of each its id, a digest of the text, and what its set is known by."""
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    digested = rows.withColumn("digest", F.xxhash64("text"))
+    kept = [T.StructField("id", rows.schema["id"].dataType), T.StructField("digest", T.LongType())]
+    return rows, staging.put(mapped(digested, [signer(n, bands, "text")], [*kept, *SIGNED], keep=[]), "signed")
+
+
+def _spread_join(many: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """A join with a frame that has each key once, where one key may hold much of `many`: its rows are
+    dealt out by another column."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return salted.join(few.select("*", salts), [key, "_salt"], how).drop("_salt")
+
+
 def jaccard_components(
     docs: DataFrame,
     staging: Staging,
@@ -286,33 +412,83 @@ def jaccard_components(
 ) -> DataFrame:
     """(id, n_shingles, component_id) per document; sets link when den * overlap >= num * union."""
     bands = Bands(num, den)
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    id_field = rows.schema["id"]
-    signed = mapped(rows, [signer(n, bands, "text")], [T.StructField("id", id_field.dataType), *SIGNED], keep=[])
-    signed = staging.put(signed, "signed")
+    rows, signed = _signed(docs, staging, n, bands, id_column, text_column)
     full = signed.filter("node IS NOT NULL")
-    labels = _labels(rows, full, staging, n, num, den, block)
+    labels = _labels(rows, full, staging, n, bands, block)
 
     first = full.groupBy("node").agg(F.min("id").alias("first"))
     named = labels.join(first, "node")
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     linked = named.join(smallest, "label").select("node", "component_id")
     classes = first.join(linked, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
-    settled = full.select("id", "n_shingles", "node").join(classes, "node").select("id", "n_shingles", "component_id")
+    settled = _spread_join(full.select("id", "n_shingles", "node"), classes, "node", "id")
+    settled = settled.select("id", "n_shingles", "component_id")
     empty = signed.filter("node IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
     return settled.unionByName(empty).withColumnRenamed("id", id_column)
 
 
+def one_of_each(
+    docs: DataFrame,
+    staging: Staging,
+    n: int = 5,
+    num: int = 80,
+    den: int = 100,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> DataFrame:
+    """The rows of `docs`, one of each component: the one with the smallest id, rows without an id
+    last. Rows are told apart by id and text, so of different texts with one id none is lost by that;
+    rows equal in both count as copies. Rows whose text has no words all stay. Columns stay as they
+    are, whatever their names."""
+    bands = Bands(num, den)
+    rows, signed = _signed(docs, staging, n, bands, id_column, text_column)
+    full = signed.filter("node IS NOT NULL")
+    labels = _labels(rows, full, staging, n, bands, BLOCK)
+    counted = full.groupBy("id", "digest", "node").agg(F.count(F.lit(1)).alias("rows"))
+    grouped = _spread_join(counted, labels, "node", "id", "left").select(
+        "id", "digest", "rows", F.coalesce("label", "node").alias("group")
+    )
+    grouped = staging.put(grouped, "grouped")
+    order = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "digest")).alias("first")
+    groups = grouped.groupBy("group").agg(F.sum("rows").alias("n"), order).filter("n > 1")
+    several = _spread_join(grouped.select("id", "digest", "group"), groups, "group", "id")
+
+    id_, digest, stays = (_unused(name, docs.columns) for name in ("id", "digest", "stays"))
+    marks = several.select(
+        F.col("id").alias(id_),
+        F.col("digest").alias(digest),
+        (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))).alias(stays),
+    )
+    marks = staging.put(marks, "marks")
+    same = F.col(id_column).eqNullSafe(F.col(id_)) & (F.xxhash64(text_column) == F.col(digest))
+    alone = docs.join(marks, same, "left_anti")
+    first = docs.join(marks.filter(F.col(stays)), same).groupBy(id_, digest)
+    chosen = first.agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(stays))
+    return alone.unionByName(chosen.select(f"{stays}.*"))
+
+
+def _unused(name: str, columns: list[str]) -> str:
+    taken = {column.lower() for column in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def _shared_tiles(rows: DataFrame, full: DataFrame, staging: Staging, n: int, bands: Bands) -> DataFrame:
+    """(tile, short) of the tiles in which several nodes meet."""
+    pairs = full.agg(F.sum("n_tiles")).first()[0] or 0
+    buckets = 1 + pairs // BUCKET_PAIRS
+    packed = rows.select("text").mapInArrow(packer(n, bands, "text", buckets), "bucket long, pairs binary")
+    dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return staging.put(dealt.mapInArrow(_shared_pairs, "tile long, short long"), "shared")
+
+
 def _labels(
-    rows: DataFrame, full: DataFrame, staging: Staging, n: int, num: int, den: int, block: int
+    rows: DataFrame, full: DataFrame, staging: Staging, n: int, bands: Bands, block: int
 ) -> DataFrame:
     """(node, label) of all nodes that are linked with another one."""
-    # Copies are one node, whatever their number, before tiles are dealt out.
-    distinct = full.select("node", "short", "tiles").dropDuplicates(["node"])
-    placed = distinct.select(F.explode("tiles").alias("tile"), "short")
-    tiles = placed.groupBy("tile").agg(F.min("short").alias("least"), F.max("short").alias("most"))
-    alive = tiles.filter("least <> most").select("tile")
-    shared = staging.put(placed.join(alive, "tile"), "shared")
+    num, den = bands.num, bands.den
+    shared = _shared_tiles(rows, full, staging, n, bands)
     leading = full.groupBy("node").agg(F.min("short").alias("short"), F.min("id").alias("id"))
     leading = leading.join(shared.select("short").distinct(), "short", "left_semi")
     leading = staging.put(leading, "leading")
@@ -321,33 +497,47 @@ def _labels(
     sets = sets.join(leading.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = staging.put(sets, "sets")
     sized = sets.select("node", "n", *BITS)
-    members = shared.join(leading.select("short", "node"), "short").select("tile", "node")
-    pivot = members.groupBy("tile").agg(F.min("node").alias("pivot"))
-    members = staging.put(members.join(pivot, "tile"), "members")
-
-    pivots = members.filter("node <> pivot").select(F.col("pivot").alias("node_a"), F.col("node").alias("node_b")).distinct()
-    pairs = pivots.join(_named(sized, "a"), "node_a").join(_named(sized, "b"), "node_b").filter(_bound(num, den))
-    pairs = staging.put(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "pairs")
-    links = _verified(pairs, sets, num, den, staging)
-    labels = components(links, staging)
-
-    labelled = members.select("tile", "node").join(labels, "node", "left")
-    labelled = labelled.select("tile", "node", F.coalesce("label", "node").alias("label"))
-    open_tiles = labelled.groupBy("tile").agg(
-        F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size")
-    )
-    # A tile of two is settled by its pivot.
-    open_tiles = open_tiles.filter("least <> most AND size > 2").select("tile", "size")
+    members = staging.put(shared.join(leading.select("short", "node"), "short").select("tile", "node").distinct(), "members")
+
+    links, labels, pivots = None, None, 0
+    crowded = members.withColumn("label", F.col("node"))
+    while True:
+        pairs = _pivot_pairs(crowded, pivots).join(_named(sized, "a"), "node_a").join(_named(sized, "b"), "node_b")
+        pairs = pairs.filter(_bound(num, den)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        found = _verified(staging.put(pairs, "pairs"), sets, num, den, staging)
+        links = found if links is None else links.unionByName(found)
+        labels = components(links, staging)
+        pivots += 1
+        labelled = members.join(labels, "node", "left").select("tile", "node", F.coalesce("label", "node").alias("label"))
+        open_tiles = labelled.groupBy("tile").agg(
+            F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size")
+        )
+        # A tile of two is settled by its pivot.
+        open_tiles = staging.put(open_tiles.filter("least <> most AND size > 2").select("tile", "size"), "open")
+        crowds = open_tiles.filter(F.col("size") > CROWD)
+        if pivots > PIVOTS or crowds.isEmpty():
+            break
+        crowded = staging.put(labelled.join(crowds.select("tile"), "tile"), "crowded")
+
     open_members = labelled.join(open_tiles, "tile")
     own_tiles = open_members.groupBy("node").agg(F.collect_list("tile").alias("tiles"))
     unsettled = staging.put(open_members.join(sized, "node").join(own_tiles, "node"), "unsettled")
     if unsettled.isEmpty():
         return labels
-    more = _compared(unsettled, num, den, block).join(pairs, ["a", "b"], "left_anti")
-    more = _verified(staging.put(more, "more"), sets, num, den, staging)
+    more = _verified(staging.put(_compared(unsettled, num, den, block), "more"), sets, num, den, staging)
     return components(links.unionByName(more), staging)
 
 
+def _pivot_pairs(members: DataFrame, number: int) -> DataFrame:
+    """(node_a, node_b), once each: every tile's pivot of a round with the tile's nodes of other labels."""
+    order = F.xxhash64("node", F.lit(number))
+    pivot = members.groupBy("tile").agg(F.min(F.struct(order.alias("order"), "node", "label")).alias("pivot"))
+    met = members.join(pivot, "tile").filter(F.col("label") != F.col("pivot.label"))
+    return met.select(
+        F.least("node", "pivot.node").alias("node_a"), F.greatest("node", "pivot.node").alias("node_b")
+    ).distinct()
+
+
 def _compared(unsettled: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """Pairs (a, b) of different components in a tile that the bound lets through. A tile is cut
     into blocks, and each pair of blocks is compared by itself. A pair that shares several tiles is

@@ -97,3 +97,67 @@ def test_chains_repeated_rows_null_ids_and_empty_tables(spark, documents, stagin
     links = [(f"{i:03d}".encode(), f"{i + 1:03d}".encode()) for i in range(40)]
     labels = jj.components(spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in links], "a binary, b binary"), staging)
     assert {bytes(label) for _, label in rows(labels)} == {b"000"} and labels.count() == 41
+
+
+def near_copies(n):
+    """Texts that differ from one in a few words: many pairs link, none by a single hub."""
+    rnd = random.Random(n)
+    base = [f"v{i}" for i in range(200)]
+    texts = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rnd.choice([1, 2, 3])):
+            words[rnd.randrange(200)] = f"x{rnd.randrange(10_000)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_pairs_grow_with_the_nodes_of_a_group(documents, staging, monkeypatch):
+    """Twice the near copies: about twice the pairs that are compared exactly, not four times."""
+    seen = []
+    verified = jj._verified
+
+    def counting(pairs, *more):
+        seen[-1] += pairs.count()
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(jj, "_verified", counting)
+    for n in (200, 400):
+        seen.append(0)
+        texts = near_copies(n)
+        assert sorted(rows(jj.jaccard_components(documents(*texts), staging))) == brute(texts, 3, 90, 100)
+    assert seen[1] < 3 * seen[0]
+
+
+def test_shared_tiles_are_found_however_rows_are_packed(monkeypatch):
+    rnd = np.random.default_rng(3)
+    tiles = rnd.integers(0, 60, 500).astype(np.uint64)
+    shorts = rnd.integers(0, 9, 500).astype(np.uint64)
+    nodes = {}
+    for tile, short in zip(tiles.tolist(), shorts.tolist(), strict=True):
+        nodes.setdefault(tile, set()).add(short)
+    expected = {(t, s) for t, found in nodes.items() if len(found) > 1 for s in found}
+    for held in (1, 10, 10_000):
+        monkeypatch.setattr(jj, "HELD_PAIRS", held)
+        packed = []
+        for bucket in range(3):
+            mine = tiles % np.uint64(3) == bucket
+            pairs = np.column_stack([tiles[mine], shorts[mine]])
+            packed += [(bucket, pairs[low : low + 7].tobytes()) for low in range(0, len(pairs), 7)]
+        batch = jj.pa.RecordBatch.from_arrays([jj.pa.array(c) for c in zip(*packed, strict=True)], names=["bucket", "pairs"])
+        out = [row for b in jj._shared_pairs(iter([batch])) for row in zip(*b.to_pydict().values(), strict=True)]
+        assert set(out) == expected
+
+
+def test_one_of_each_loses_no_distinct_text(spark, documents, staging):
+    long = [f"u{i}" for i in range(60)]
+    other = " ".join(long[:59] + ["z"])
+    texts = [" ".join(long), other, "a quite different text of six words", " ".join(long), "", "", None, "solo words here", "solo words here", "without id", "without id"]
+    ids = [4, 9, 4, 2, 5, 5, 6, 8, 8, None, None]
+    docs = documents(*texts, ids=ids).withColumnRenamed("lang", "digest").withColumnRenamed("source", "node")
+    found = jj.one_of_each(docs, staging)
+    assert found.columns == docs.columns
+    assert sorted(rows(found.select("doc_id", "text")), key=str) == sorted(
+        [(2, " ".join(long)), (4, texts[2]), (5, ""), (5, ""), (6, None), (8, "solo words here"), (None, "without id")], key=str
+    )
+    assert jj.one_of_each(docs.limit(0), staging).count() == 0
