@@ -25,18 +25,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link at 0.8: the one that names it.
-    Of rows that repeat an id one stays; rows without an id all stay."""
+    """One document of each group that five-word shingles link at 0.8, or that is the same word for
+    word: the one with the smallest id. Which rows are copies is told by row and text, not by id: of
+    different texts with one id each stays unless its own group has another. Rows without an id follow
+    the same rule, behind all that have one."""
     ship(spark)
-    grouped = jaccard_join.jaccard_components(docs, Staging(spark), n=5, num=80, den=100)
-    ids = grouped.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.min(F.col("doc_id") != F.col("component_id")).alias("follows"), F.count("*").alias("rows")
-    )
-    ids = Staging(spark).put(ids.filter("follows OR rows > 1"), "ids")
-    # What goes or repeats is the smaller part; the texts of all others need not be shuffled for it.
-    stays = docs.join(ids.select("doc_id"), "doc_id", "left_anti")
-    repeated = docs.join(ids.filter("NOT follows").select("doc_id"), "doc_id", "left_semi")
-    return stays.unionByName(repeated.dropDuplicates(["doc_id"])).select(*docs.columns)
+    return jaccard_join.one_of_each(docs, Staging(spark), n=5, num=80, den=100)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
