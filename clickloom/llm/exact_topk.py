@@ -31,7 +31,7 @@ TOGETHER = 256
 SCALE = 1024
 EXACT_DOUBLE = 2.0**53
 LARGEST = 2.0**62
-RESULT = "query_id long, vec_id long, score long"
+RESULT = "query_row long, query_id long, vec_id long, score long"
 
 
 def _scores(table: pa.Table, queries: pa.Table, exact: bool):
@@ -40,7 +40,7 @@ def _scores(table: pa.Table, queries: pa.Table, exact: bool):
     kind = np.float64 if exact else np.int64
     left = np.ascontiguousarray(vectors.matrix(table, dim).astype(kind).T)
     right = vectors.matrix(queries, dim).astype(kind)
-    candidate, query = vectors.ids(table), vectors.ids(queries)
+    candidate, query = vectors.row_numbers(table), vectors.row_numbers(queries)
     for low in range(0, len(query), TOGETHER):
         rows = slice(low, low + TOGETHER)
         yield rows, (right[rows] @ left).astype(np.int64), query[rows, None] != candidate[None, :]
@@ -64,17 +64,17 @@ def counting(exact: bool):
                 counts = np.bincount(at, minlength=n * BINS).reshape(n, BINS)
                 above = np.cumsum(counts[:, ::-1], 1)[:, ::-1] - counts
                 query, kept = np.nonzero((counts > 0) & (above < need[rows, None]))
-                found[0].append(vectors.ids(queries)[rows][query])
+                found[0].append(vectors.row_numbers(queries)[rows][query])
                 found[1].append(kept)
                 found[2].append(counts[query, kept])
-        return _table(found, ("query_id", "bin", "n"))
+        return _table(found, ("query_row", "bin", "n"))
 
     return work
 
 
 def selecting(exact: bool):
     def work(table: pa.Table, queries: pa.Table) -> pa.Table:
-        found = [[], [], []]
+        found = [[], [], [], []]
         if table.num_rows and queries.num_rows:
             lo, need = _number(queries, "lo"), _number(queries, "need")
             candidate = vectors.ids(table)
@@ -89,10 +89,11 @@ def selecting(exact: bool):
                 larger = np.bincount(query[~tie], minlength=len(scores))
                 place = np.arange(len(query)) - first[query] - larger[query]
                 keep = ~tie | (place < need[rows][query])
-                found[0].append(vectors.ids(queries)[rows][query[keep]])
-                found[1].append(candidate[at[keep]])
-                found[2].append(score[keep])
-        return _table(found, ("query_id", "vec_id", "score"))
+                found[0].append(vectors.row_numbers(queries)[rows][query[keep]])
+                found[1].append(vectors.ids(queries)[rows][query[keep]])
+                found[2].append(candidate[at[keep]])
+                found[3].append(score[keep])
+        return _table(found, ("query_row", "query_id", "vec_id", "score"))
 
     return work
 
@@ -132,7 +133,7 @@ def top_k(
     exact = bound < EXACT_DOUBLE
     reach = F.ceil(F.col("norm") * F.col("largest") * (1 + 1e-9) + 1).cast("long")
     state = queries.join(by_dim, "dim").select(
-        "vec_id",
+        "row",
         (-reach).alias("lo"),
         reach.alias("hi"),
         F.least(F.lit(k).cast("long"), F.col("n") - 1).alias("need"),
@@ -140,25 +141,25 @@ def top_k(
     state = staging.put(state.filter("need > 0"), "state")
     span = 2 * math.ceil(bound) + 1
     while span > 1:
-        ranged = queries.join(_with_width(state), "vec_id")
-        bins = vectors.tiles(rows, ranged, n_rows, n_queries, counting(exact), "query_id long, bin long, n long")
+        ranged = queries.join(_with_width(state), "row")
+        bins = vectors.tiles(rows, ranged, n_rows, n_queries, counting(exact), "query_row long, bin long, n long")
         state = staging.put(_narrowed(state, bins), "state")
         span = state.agg(F.max(F.col("hi") - F.col("lo") + 1)).first()[0] or 1
-    found = vectors.tiles(rows, queries.join(state, "vec_id"), n_rows, n_queries, selecting(exact), RESULT)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = vectors.tiles(rows, queries.join(state, "row"), n_rows, n_queries, selecting(exact), RESULT)
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def _narrowed(state: DataFrame, bins: DataFrame) -> DataFrame:
     """The bin that holds the wanted value becomes the range, the counts above it are taken off."""
-    totals = bins.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-    downwards = Window.partitionBy("query_id").orderBy(F.desc("bin"))
+    totals = bins.groupBy("query_row", "bin").agg(F.sum("n").alias("n"))
+    downwards = Window.partitionBy("query_row").orderBy(F.desc("bin"))
     totals = totals.withColumn("reached", F.sum("n").over(downwards))
-    joined = _with_width(state).join(totals, F.col("vec_id") == F.col("query_id"))
+    joined = _with_width(state).join(totals, F.col("row") == F.col("query_row"))
     chosen = joined.filter("reached >= need AND reached - n < need")
     return chosen.select(
-        "vec_id",
+        "row",
         (F.col("lo") + F.col("bin") * F.col("width")).alias("lo"),
         F.least(F.col("lo") + (F.col("bin") + 1) * F.col("width") - 1, "hi").alias("hi"),
         (F.col("need") - (F.col("reached") - F.col("n"))).alias("need"),

@@ -22,22 +22,22 @@ BYTES = """
 
 ORACLES: dict[str, str] = {
     "op5_exact_topk": """
-        WITH rows AS (
-            SELECT vec_id,
+        WITH rows AS MATERIALIZED (
+            SELECT vec_id, row_number() OVER () AS row,
                    list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ),
         scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+            SELECT q.row, q.vec_id AS query_id, c.vec_id AS vec_id,
                    CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-            FROM rows q JOIN rows c ON q.vec_id <> c.vec_id
+            FROM rows q JOIN rows c ON q.row <> c.row
             WHERE q.vec_id % 100 = 0
         ),
         ranked AS (
             SELECT query_id, vec_id, score,
-                   CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+                   CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank
             FROM scored
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10

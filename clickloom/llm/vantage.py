@@ -6,8 +6,10 @@ inequality that distance bounds from below how near a query can come to either p
 skipped when `factor` times its bound exceeds the query's k-th distance so far. With factor one
 nothing nearer is ever skipped and the search is exact; larger factors skip more.
 
-All vectors are indexed, each in the shard of its id's hash. Equal vectors are one point of the
-tree that carries its smallest ids. What a shard returns is scored anew from the original vectors.
+All vectors are indexed, each in the shard of its row's hash. Equal vectors are one point of the
+tree that carries its smallest ids. What a shard returns is scored anew from the original vectors, and
+ties go to the smaller id: where more points than were kept lie within rounding of a query's k-th
+distance, its leaves are walked once more for all of them.
 
 Defined cases: those of `vectors`; a zero vector takes no part; a query with fewer than k candidates
 gets them all; an empty table gives an empty result.
@@ -27,9 +29,14 @@ from clickloom.sources.staging import Staging
 
 LEAF = 64
 FACTOR = 5.0
-# Candidates beyond k that are scored exactly, against rounding in the tree's distances.
+# Points beyond k that a search keeps; queries with more points about the k-th distance are walked again.
 SPARE = 8
+# Rounding of a bound, a difference of two distances of unit vectors.
+SLACK = 1e-6
 SHARD = 8192
+# Queries walked again, and pairs scored, at a time.
+TOGETHER = 64
+PAIRS = 1 << 16
 
 
 class Tree(NamedTuple):
@@ -118,61 +125,122 @@ def search(
     for at in np.unique(first):
         visit(at, np.flatnonzero(first == at))
     for at in np.argsort(least.mean(1), kind="stable"):
-        visit(at, np.flatnonzero(~seen[at] & (factor * least[at] <= reach[:, -1])))
+        visit(at, np.flatnonzero(~seen[at] & (factor * (least[at] - SLACK) <= reach[:, -1])))
     return best, reach, computed
 
 
+def rounding(dim: int) -> float:
+    """How far the squares of two distances of unit vectors that are equal can lie apart."""
+    return 8 * (dim + 4) * float(np.finfo(float).eps)
+
+
+def within(
+    points: np.ndarray, tree: Tree, queries: np.ndarray, reach: np.ndarray, factor: float, skip: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(query, point) pairs whose distance is at most the query's `reach`, give or take rounding."""
+    far = np.sqrt(reach * reach + rounding(points.shape[1]))
+    least = bounds(tree, points, queries)
+    found = []
+    for node, members in enumerate(tree.members):
+        if members is None:
+            continue
+        who = np.flatnonzero(factor * (least[node] - SLACK) <= far)
+        away = _distance(queries[who] @ points[members].T)
+        query, place = np.nonzero((away <= far[who, None]) & (members[None, :] != skip[who, None]))
+        found.append((who[query], members[place]))
+    query, point = (np.concatenate(part) for part in zip(*found, strict=True))
+    order = np.argsort(query, kind="stable")
+    return query[order], point[order]
+
+
 def _cosine(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Row by row, in double precision; equal rows give equal results."""
     dot = np.sum(left * right, 1)
     return dot / (np.sqrt(np.sum(left * left, 1)) * np.sqrt(np.sum(right * right, 1)))
 
 
+class Shard:
+    """The vectors of a shard as points of a tree, and the rows that share each point."""
+
+    def __init__(self, table: pa.Table, dim: int, leaf: int):
+        vecs, ids, numbers = vectors.matrix(table, dim), vectors.ids(table), vectors.row_numbers(table)
+        order = np.lexsort((numbers, ids))
+        vecs, ids, numbers = vecs[order], ids[order], numbers[order]
+        # Equal vectors become one point; its rows follow one another, smallest id first.
+        _, point = np.unique(vecs, axis=0, return_inverse=True)
+        point = point.ravel()
+        grouped = np.argsort(point, kind="stable")
+        self.starts = np.searchsorted(point[grouped], np.arange(point.max() + 2))
+        self.original = vecs[grouped[self.starts[:-1]]]
+        self.ids, self.numbers = ids[grouped], numbers[grouped]
+        self.unit = _unit(self.original)
+        self.tree = build(self.unit, leaf)
+        self.point_of = dict(zip(self.numbers.tolist(), point[grouped].tolist(), strict=True))
+
+    def alone(self, numbers: np.ndarray) -> np.ndarray:
+        """For each row the point that stands for nothing else, or -1."""
+        points = np.array([self.point_of.get(number, -1) for number in numbers.tolist()], np.int64)
+        return np.where((points >= 0) & (np.diff(self.starts)[points] == 1), points, -1)
+
+    def expanded(self, query: np.ndarray, point: np.ndarray, score: np.ndarray, own: np.ndarray, k: int):
+        """query, id and score of the k best rows of each query; `query` ascends. Each point gives its k
+        smallest ids, and one more in case the query's own row is among them."""
+        parts = []
+        for extra in range(k + 1):
+            at = self.starts[point] + extra
+            there = np.flatnonzero(at < self.starts[point + 1])
+            there = there[self.numbers[at[there]] != own[query[there]]]
+            parts.append((query[there], self.ids[at[there]], score[there]))
+        query, ids, score = (np.concatenate(part) for part in zip(*parts, strict=True))
+        order = np.lexsort((ids, -score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        keep = np.arange(len(query)) - np.searchsorted(query, query, "left") < k
+        return query[keep], ids[keep], score[keep]
+
+
+def _unit(vecs: np.ndarray) -> np.ndarray:
+    # Divided by the largest component first, so that squares neither overflow nor vanish.
+    scaled = vecs / np.abs(vecs).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
+def _scored(asked: np.ndarray, original: np.ndarray, query: np.ndarray, point: np.ndarray) -> np.ndarray:
+    slices = [slice(low, low + PAIRS) for low in range(0, len(query), PAIRS)]
+    return np.concatenate([np.empty(0), *[_cosine(asked[query[s]], original[point[s]]) for s in slices]])
+
+
 def shard_search(k: int, factor: float, leaf: int):
+    kinds = {"query_row": np.int64, "query_id": np.int64, "vec_id": np.int64, "score": np.float64}
+
     def work(table: pa.Table, queries: pa.Table) -> pa.Table:
-        found = ([], [], [])
+        found = []
         if table.num_rows and queries.num_rows:
             dim = queries.column("dim")[0].as_py()
-            candidates = vectors.matrix(table, dim)
-            order = np.argsort(vectors.ids(table), kind="stable")
-            candidates, candidate_ids = candidates[order], vectors.ids(table)[order]
-            asked, asked_ids = vectors.matrix(queries, dim), vectors.ids(queries)
-            # Equal vectors become one point; its ids follow one another, smallest first.
-            _, point = np.unique(candidates, axis=0, return_inverse=True)
-            point = point.ravel()
-            grouped = np.argsort(point, kind="stable")
-            starts = np.searchsorted(point[grouped], np.arange(point.max() + 2))
-            original = candidates[grouped[starts[:-1]]]
-            unit = original / np.linalg.norm(original, axis=1, keepdims=True)
-            units = asked / np.linalg.norm(asked, axis=1, keepdims=True)
-            # A point that is only the query itself is no candidate of it.
-            own = np.full(len(asked_ids), -1)
-            at = np.minimum(np.searchsorted(candidate_ids, asked_ids), len(candidate_ids) - 1)
-            here = candidate_ids[at] == asked_ids
-            alone = np.diff(starts) == 1
-            own[here] = np.where(alone[point[at[here]]], point[at[here]], -1)
-            best, _, _ = search(unit, build(unit, leaf), units, k + SPARE, factor, own)
-            query, place = np.nonzero(best >= 0)
-            chosen = best[query, place]
-            score = _cosine(asked[query], original[chosen])
-            # Every point gives its k smallest ids, and one more in case the query is among them.
-            for extra in range(k + 1):
-                more = starts[chosen] + extra < starts[chosen + 1]
-                ids = candidate_ids[grouped[starts[chosen[more]] + extra]]
-                other = ids != asked_ids[query[more]]
-                found[0].append(asked_ids[query[more]][other])
-                found[1].append(ids[other])
-                found[2].append(score[more][other])
-            query_id, vec_id, value = (np.concatenate(part) for part in found)
-            sort = np.lexsort((vec_id, -value, query_id))
-            query_id, vec_id, value = query_id[sort], vec_id[sort], value[sort]
-            rank = np.arange(len(query_id)) - np.searchsorted(query_id, query_id, "left")
-            keep = rank < k
-            found = ([query_id[keep]], [vec_id[keep]], [value[keep]])
-        kinds = (np.int64, np.int64, np.float64)
-        columns = [np.concatenate(part) if part else np.empty(0) for part in found]
+            shard = Shard(table, dim, leaf)
+            asked, numbers = vectors.matrix(queries, dim), vectors.row_numbers(queries)
+            units, skip = _unit(asked), shard.alone(numbers)
+            best, reach, _ = search(shard.unit, shard.tree, units, k + SPARE, factor, skip)
+            last, kth = reach[:, -1], reach[:, k - 1]
+            crowded = np.isfinite(last) & (last * last <= np.square(np.where(np.isfinite(last), kth, 0)) + rounding(dim))
+
+            query, place = np.nonzero((best >= 0) & ~crowded[:, None])
+            found.append((query, best[query, place]))
+            again = np.flatnonzero(crowded)
+            for low in range(0, len(again), TOGETHER):
+                who = again[low : low + TOGETHER]
+                query, point = within(shard.unit, shard.tree, units[who], kth[who], factor, skip[who])
+                found.append((who[query], point))
+            found = [
+                shard.expanded(query, point, _scored(asked, shard.original, query, point), numbers, k)
+                for query, point in found
+            ]
+            found = [(numbers[query], vectors.ids(queries)[query], ids, score) for query, ids, score in found]
+        columns = zip(*found, strict=True) if found else [[]] * len(kinds)
         return pa.table(
-            {n: pa.array(c.astype(t)) for n, c, t in zip(("query_id", "vec_id", "score"), columns, kinds, strict=True)}
+            {
+                name: pa.array(np.concatenate([np.empty(0, kind), *column]).astype(kind))
+                for (name, kind), column in zip(kinds.items(), columns, strict=True)
+            }
         )
 
     return work
@@ -196,8 +264,8 @@ def nearest(
     n_rows, n_queries = rows.count(), queries.count()
     found = vectors.tiles(
         rows, queries, n_rows, n_queries, shard_search(k, factor, leaf),
-        "query_id long, vec_id long, score double", tile=shard,
+        "query_row long, query_id long, vec_id long, score double", tile=shard,
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

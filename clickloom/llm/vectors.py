@@ -1,11 +1,12 @@
 """Vectors for searches of a query set against all rows, tile by tile.
 
-Candidates are dealt into tiles by a hash of their id and queries into blocks; every tile meets
-every block once, in a group of bounded size. Each candidate is sent once per block of queries,
+Candidates are dealt into tiles by a hash of their row's number and queries into blocks; every tile
+meets every block once, in a group of bounded size. Each candidate is sent once per block of queries,
 each query once per tile.
 
-A null id, a null vector and one with null or non-finite components take no part. A repeated id
-counts once, with its smallest vector. Only vectors of equal length are compared.
+A null id, a null vector and one with null or non-finite components take no part. Rows are told apart
+by number, not by id: every row of a repeated id is a candidate, also of another row of that id, and
+each such row that is a query has a result of its own. Only vectors of equal length are compared.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ QUERY_BLOCK = 4096
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """(vec_id, v, dim) with components as double, one row per id."""
+    """(row, vec_id, v, dim) with components as double. Row numbers hold once the frame is written."""
     v = F.col(vector_column).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.filter(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull())
     rows = rows.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v"), finite.alias("finite"))
-    return rows.filter("finite").groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    return rows.filter("finite").select(
+        F.monotonically_increasing_id().alias("row"), "vec_id", "v", F.size("v").alias("dim")
+    )
 
 
 def _part(count: int, of: Column) -> Column:
@@ -44,13 +47,13 @@ def tiles(
     tile: int = TILE,
     block: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """`work(candidates, queries)` for every tile and block; both have `vec_id`, `v` and `dim`."""
+    """`work(candidates, queries)` for every tile and block; both have `row`, `vec_id`, `v`, `dim`."""
     n_tiles = max(1, -(-n_candidates // tile))
     n_blocks = max(1, -(-n_queries // block))
     every_block = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")
     every_tile = F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1))).alias("tile")
-    left = _own(candidates).select("*", _part(n_tiles, F.col("vec_id")).alias("tile"), every_block)
-    right = _own(queries).select("*", _part(n_blocks, F.col("vec_id")).alias("block"), every_tile)
+    left = _own(candidates).select("*", _part(n_tiles, F.col("row")).alias("tile"), every_block)
+    right = _own(queries).select("*", _part(n_blocks, F.col("row")).alias("block"), every_tile)
     key = ["dim", "tile", "block"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(work, schema)
 
@@ -68,3 +71,7 @@ def matrix(table: pa.Table, dim: int) -> np.ndarray:
 
 def ids(table: pa.Table) -> np.ndarray:
     return table.column("vec_id").to_numpy()
+
+
+def row_numbers(table: pa.Table) -> np.ndarray:
+    return table.column("row").to_numpy()

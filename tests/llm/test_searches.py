@@ -25,28 +25,30 @@ ODD = [(1000, None), (1001, [None, 1.0]), (1002, [float("nan"), 1.0]), (1003, [f
 
 
 def brute_top(vecs, step, k):
-    """Smallest vector of an id; equal lengths only."""
-    usable = {}
-    for i, v in vecs:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            usable[i] = min(usable.get(i, v), v)
-    ints = {i: [int(np.floor(1024 * np.float64(np.float32(x)))) for x in v] for i, v in usable.items()}
+    """Every row but the query's own; equal lengths only."""
+    ints = [
+        (i, [int(np.floor(1024 * np.float64(np.float32(x)))) for x in v])
+        for i, v in vecs
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
+    ]
     out = []
-    for q in sorted(i for i in ints if i % step == 0):
+    for at, (q, asked) in enumerate(ints):
+        if q % step:
+            continue
         scored = sorted(
-            (-sum(a * b for a, b in zip(ints[q], v, strict=True)), i)
-            for i, v in ints.items()
-            if i != q and len(v) == len(ints[q])
+            (-sum(a * b for a, b in zip(asked, v, strict=True)), i)
+            for row, (i, v) in enumerate(ints)
+            if row != at and len(v) == len(asked)
         )
         out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:k], 1)]
-    return out
+    return sorted(out)
 
 
 @pytest.mark.parametrize("tile", [4096, 64])
 def test_exact_top_k_equals_brute_force(spark, staging, monkeypatch, tile):
     monkeypatch.setattr(vectors.tiles, "__defaults__", (tile, 8))
     monkeypatch.setattr(exact_topk, "BINS", 32)
-    vecs = [*some_vectors(300, 2, 1, copies=90), *ODD, (5, [0.0, 9.0]), (5, [0.0, 9.0])]
+    vecs = [*some_vectors(300, 2, 1, copies=90), *ODD, (5, [0.0, 9.0]), (5, [0.0, 9.0]), (20, [50.0, 100.0]), (20, [-3.0, 1.0])]
     found = exact_topk.top_k(frame(spark, vecs), F.col("vec_id") % 20 == 0, staging, k=7)
     assert sorted(rows(found)) == brute_top(vecs, 20, 7)
 
@@ -82,6 +84,46 @@ def test_factor_one_is_exact(spark, staging):
     assert {q: sorted(v) for q, v in got.items()} == brute_cosine(vecs, 50, 5)
 
 
+def brute_rows(vecs, step, k):
+    """Every row but the query's own, by exact score of whole numbers, ties by id."""
+    usable = [
+        (i, np.array(v, float))
+        for i, v in vecs
+        if i is not None and v is not None and any(v) and all(x is not None and np.isfinite(x) for x in v)
+    ]
+    out = []
+    for at, (q, x) in enumerate(usable):
+        if q % step == 0:
+            scored = sorted(
+                (-(x @ v) / (np.sqrt(x @ x) * np.sqrt(v @ v)), i)
+                for row, (i, v) in enumerate(usable)
+                if row != at and len(v) == len(x)
+            )
+            out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:k], 1)]
+    return sorted(out)
+
+
+def test_equal_cosines_go_to_the_smaller_id(spark, staging):
+    # Vectors of whole numbers that all have the same angle to the query, exactly.
+    ties = [(1000 - at, [3.0 * 2 ** (at % 5), 4.0 * 2 ** (at % 5) * (-1) ** at, 0.0, 0.0]) for at in range(1, 20)]
+    ties += [(960 + at, [3.0, 0.0, *((4.0, 0.0) if at % 2 else (0.0, 4.0))]) for at in range(1, 21)]
+    vecs = [(50, [1.0, 0.0, 0.0, 0.0]), *ties, (7, [-1.0, 0.0, 0.0, 0.0]), *[(i, v) for i, v in ODD if i != 1004]]
+    for factor in (1.0, 5.0):
+        found = vantage.nearest(frame(spark, vecs), F.col("vec_id") == 50, staging, factor=factor, leaf=4)
+        assert sorted(rows(found)) == [row for row in brute_rows(vecs, 50, 5) if row[0] == 50]
+
+
+def test_every_row_of_a_repeated_id_is_a_candidate(spark, staging):
+    rnd = np.random.default_rng(9)
+    grid = [[float(x) for x in v] for v in rnd.integers(-1, 2, size=(200, 2))]
+    vecs = [(at % 40, v) for at, v in enumerate(grid)]
+    found = vantage.nearest(frame(spark, vecs), F.col("vec_id") % 20 == 0, staging, factor=1.0, leaf=4, shard=64)
+    wanted = brute_rows(vecs, 20, 5)
+    got = sorted(rows(found))
+    assert [row[:3] for row in got] == [row[:3] for row in wanted]
+    assert np.allclose([row[3] for row in got], [row[3] for row in wanted], atol=1e-12)
+
+
 def test_recall_of_the_production_factor(spark, staging):
     vecs = some_vectors(3000, 32, 3)
     found = vantage.nearest(frame(spark, vecs), F.col("vec_id") % 50 == 0, staging)
