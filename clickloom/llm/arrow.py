@@ -43,10 +43,10 @@ def mapped(
     keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """`docs` after some steps in one pass: the columns to keep (all, if not named), then those
-    that the steps add, which replace columns of the same name."""
-    new = {field.name for field in added}
+    that the steps add, which replace columns of the same name in any case."""
+    new = {field.name.lower() for field in added}
     wanted = docs.columns if keep is None else keep
-    kept = [field for field in docs.schema.fields if field.name in wanted and field.name not in new]
+    kept = [field for field in docs.schema.fields if field.name in wanted and field.name.lower() not in new]
     schema = T.StructType([*kept, *added])
     names = schema.names
 
@@ -60,6 +60,14 @@ def mapped(
     return docs.mapInArrow(run, schema)
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """The name, or one made from it, that no column has in any case."""
+    taken = {column.lower() for column in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers, for clusters on which it is not installed."""
     context = spark.sparkContext

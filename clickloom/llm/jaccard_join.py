@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickloom.llm.arrow import Step, mapped, slices, with_columns
+from clickloom.llm.arrow import Step, mapped, slices, unused, with_columns
 from clickloom.sources.staging import Staging
 
 # Longs of the bitmap of fixed length, and bits per element of the other one.
@@ -453,7 +453,7 @@ def one_of_each(
     groups = grouped.groupBy("group").agg(F.sum("rows").alias("n"), order).filter("n > 1")
     several = _spread_join(grouped.select("id", "digest", "group"), groups, "group", "id")
 
-    id_, digest, stays = (_unused(name, docs.columns) for name in ("id", "digest", "stays"))
+    id_, digest, stays = (unused(name, docs.columns) for name in ("id", "digest", "stays"))
     marks = several.select(
         F.col("id").alias(id_),
         F.col("digest").alias(digest),
@@ -467,13 +467,6 @@ def one_of_each(
     return alone.unionByName(chosen.select(f"{stays}.*"))
 
 
-def _unused(name: str, columns: list[str]) -> str:
-    taken = {column.lower() for column in columns}
-    while name in taken:
-        name = f"_{name}"
-    return name
-
-
 def _shared_tiles(rows: DataFrame, full: DataFrame, staging: Staging, n: int, bands: Bands) -> DataFrame:
     """(tile, short) of the tiles in which several nodes meet."""
     pairs = full.agg(F.sum("n_tiles")).first()[0] or 0

@@ -2,10 +2,12 @@
 
 A cheap test for the literal words of the rules decides which texts are looked at; it follows from
 the rules, so it leaves out no text that a rule would match. There, every word that
-is some rule's keyword opens a window, and only the rules with that keyword are tried on it.
+is some rule's keyword opens a window; one pattern per keyword, which joins those of its rules, tells
+whether any of them matches, and only then are they tried one by one.
 Detections that lie inside a detection of at least the same priority are suppressed.
 
-Everything is DataFrame code within the row: no shuffle, no join, whole texts.
+Everything is DataFrame code within the row: no shuffle, no join, whole texts. Words are searched in
+blocks with a margin as wide as the longest detection, so that time grows with a text's length.
 
 Defined cases: a null text is empty. A document without detections has no labels (empty
 strings), null first and last word and score 0. Repeated rows are scanned each for itself; other
@@ -31,6 +33,8 @@ SIGN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 SHORT = 4
 # Longest signature in words, with some room.
 WINDOW = 32
+# Words of a block.
+BLOCK = 512
 PHRASES = (
     ("mit license", "mit"),
     ("apache license", "apache"),
@@ -87,18 +91,30 @@ def _positions(words: Column) -> Column:
     )
 
 
-def _detections(words: Column, rules: Sequence[Signature]) -> Column:
+def _found(words: Column, first: Column, end: Column, rules: Sequence[Signature]) -> Column:
+    """All detections that start in some words before `end`; the words begin at place `first`."""
     table = _rules(rules)
-    keywords = F.array(*[F.lit(k) for k in sorted({rule.keyword for rule in rules})])
+    keywords = sorted({rule.keyword for rule in rules})
     windows = F.transform(
-        F.filter(_positions(words), lambda i: F.array_contains(keywords, F.get(words, i))),
+        F.filter(
+            _positions(words),
+            lambda i: (first + i < end) & F.array_contains(F.array(*map(F.lit, keywords)), F.get(words, i)),
+        ),
         lambda i: F.struct(
-            i.alias("at"),
+            (first + i).alias("at"),
             F.get(words, i).alias("keyword"),
             F.array_join(F.slice(words, i + 1, WINDOW), " ").alias("text"),
         ),
     )
 
+    def possible(window: Column) -> Column:
+        chosen = F.when(F.lit(False), F.lit(False))
+        for keyword in keywords:
+            every = "|".join(rule.pattern for rule in rules if rule.keyword == keyword)
+            matching = F.regexp_like(window["text"], F.lit(f"^(?:{every})(?= |$)"))
+            chosen = chosen.when(window["keyword"] == keyword, matching)
+        return F.coalesce(chosen, F.lit(False))
+
     def hits(window: Column) -> Column:
         matching = F.filter(
             table,
@@ -116,7 +132,35 @@ def _detections(words: Column, rules: Sequence[Signature]) -> Column:
             ),
         )
 
-    return F.flatten(F.transform(windows, hits))
+    return F.flatten(F.transform(F.filter(windows, possible), hits))
+
+
+def _detections(words: Column, rules: Sequence[Signature]) -> Column:
+    """Unsuppressed detections, block by block. What may hold a detection starts less than a window
+    before it, and so within its block's margin."""
+    count = F.size(words)
+    starts = F.when(count > 0, F.sequence(F.lit(0), count - 1, F.lit(BLOCK)))
+    priorities = sorted({rule.priority for rule in rules})
+
+    def cut(low: Column) -> Column:
+        first = F.greatest(low - WINDOW, F.lit(0))
+        last = F.least(low + BLOCK + WINDOW, count) - 1
+        own = F.transform(F.sequence(first, last), lambda i: F.get(words, i))
+        return F.struct(low.alias("low"), first.alias("first"), own.alias("words"))
+
+    def searched(block: Column) -> Column:
+        found = _found(block["words"], block["first"], block["low"] + BLOCK, rules)
+        return F.struct(block["low"].alias("low"), found.alias("found"))
+
+    def resolved(block: Column) -> Column:
+        several = F.when(F.size(block["found"]) > 1, _unsuppressed(block["found"], priorities))
+        left = F.coalesce(several, block["found"])
+        return F.filter(left, lambda d: d["start"] >= block["low"])
+
+    blocks = F.coalesce(starts, F.array().cast("array<int>"))
+    for step in (cut, searched, resolved):
+        blocks = F.transform(blocks, step)
+    return F.flatten(blocks).cast(DETECTION)
 
 
 def _unsuppressed(found: Column, priorities: Sequence[int]) -> Column:
@@ -180,10 +224,7 @@ def detect(
             "signature_words": F.when(_gate(text, gates), small).otherwise(nothing) if gates else small,
         }
     )
-    priorities = sorted({rule.priority for rule in rules})
-    searched = opened.withColumn("detections", _detections(F.col("signature_words"), rules))
-    resolved = F.when(F.size("detections") > 1, _unsuppressed(F.col("detections"), priorities))
-    return searched.withColumn("detections", F.coalesce(resolved, F.col("detections")))
+    return opened.withColumn("detections", _detections(F.col("signature_words"), rules))
 
 
 def license_scan(

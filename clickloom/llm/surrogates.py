@@ -29,10 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickloom.llm.arrow import Step, mapped, with_columns
+from clickloom.llm.arrow import Step, mapped, unused, with_columns
 from clickloom.sources.staging import Staging
 
-ENTITIES, ROW, SURROGATES = "pii_entities", "pii_row", "pii_surrogates"
 ATTEMPTS = 40
 
 MAIL = regex.compile(r"(?<![\w.+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,6}\p{L}{2,24}(?![\p{L}\p{N}-])")
@@ -294,7 +293,7 @@ def shaped(original: str, kind: str, value: str) -> str:
     return value
 
 
-def detector(text_column: str) -> Step:
+def detector(text_column: str, into: str) -> Step:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,17 +303,17 @@ def detector(text_column: str) -> Step:
                 [dict(zip(names, entity, strict=True)) for entity in find(text)]
                 for text in batch.column(text_column).to_pylist()
             ]
-            yield with_columns(batch, {ENTITIES: pa.array(found, kind)})
+            yield with_columns(batch, {into: pa.array(found, kind)})
 
     return run
 
 
-def replacer(text_column: str) -> Step:
+def replacer(text_column: str, entities: str, surrogates: str) -> Step:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
                 replaced(*row)
-                for row in zip(*[batch.column(c).to_pylist() for c in (text_column, ENTITIES, SURROGATES)], strict=True)
+                for row in zip(*[batch.column(c).to_pylist() for c in (text_column, entities, surrogates)], strict=True)
             ]
             yield with_columns(batch, {text_column: pa.array(texts, pa.string())})
 
@@ -367,18 +366,18 @@ def assigned(units: DataFrame, key: bytes, staging: Staging) -> DataFrame:
 def replace_pii(docs: DataFrame, key: bytes, staging: Staging, text_column: str = "text") -> DataFrame:
     """`docs` with surrogates in the text and `n_entities`, the entities replaced."""
     entity = T.StructType([T.StructField(n, T.IntegerType() if n in ("start", "stop") else T.StringType()) for n in ("start", "stop", "kind", "value")])
-    columns = [c for c in docs.columns if c != "n_entities"]
-    found = mapped(docs.select(*columns), [detector(text_column)], [T.StructField(ENTITIES, T.ArrayType(entity))])
-    clean = found.filter(F.size(ENTITIES) == 0).select(*columns, F.lit(0).cast("long").alias("n_entities"))
-    touched = staging.put(
-        found.filter(F.size(ENTITIES) > 0).withColumn(ROW, F.monotonically_increasing_id()), "touched"
-    )
-    mentions = touched.select(ROW, F.explode(ENTITIES).alias("e")).select(ROW, "e.kind", "e.value").distinct()
+    columns = [c for c in docs.columns if c.lower() != "n_entities"]
+    entities, row, chosen = (unused(name, columns) for name in ("pii_entities", "pii_row", "pii_surrogates"))
+    detected = T.StructField(entities, T.ArrayType(entity))
+    found = mapped(docs.select(*columns), [detector(text_column, entities)], [detected])
+    clean = found.filter(F.size(entities) == 0).select(*columns, F.lit(0).cast("long").alias("n_entities"))
+    touched = staging.put(found.filter(F.size(entities) > 0).withColumn(row, F.monotonically_increasing_id()), "touched")
+    mentions = touched.select(F.col(row).alias("row"), F.explode(entities).alias("e"))
+    mentions = mentions.select("row", "e.kind", "e.value").distinct()
     units = staging.put(mentions.select("kind", "value").distinct(), "units")
-    surrogates = assigned(units, key, staging)
-    chosen = mentions.join(surrogates, ["kind", "value"]).groupBy(ROW)
-    chosen = chosen.agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias(SURROGATES))
-    joined = touched.join(chosen, ROW)
-    changed = mapped(joined, [replacer(text_column)], [docs.schema[text_column]], keep=[*columns, ENTITIES])
-    changed = changed.select(*columns, F.size(ENTITIES).cast("long").alias("n_entities"))
+    known = mentions.join(assigned(units, key, staging), ["kind", "value"]).groupBy(F.col("row").alias(row))
+    known = known.agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias(chosen))
+    replace = replacer(text_column, entities, chosen)
+    changed = mapped(touched.join(known, row), [replace], [docs.schema[text_column]], keep=[*columns, entities])
+    changed = changed.select(*columns, F.size(entities).cast("long").alias("n_entities"))
     return changed.unionByName(clean)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from clickloom.llm.arrow import Step, mapped, with_columns
+from clickloom.llm.arrow import Step, mapped, unused, with_columns
 from clickloom.llm.bpe import Merged, Vocabulary, _merged, pieces_of, together
 from clickloom.llm.pretokens import pre_tokens
 
@@ -346,11 +346,12 @@ def count_edited(
         for batch in batches:
             yield with_columns(batch, {"tokens_before": batch.column("n_tokens")})
 
+    edits = unused("edits", docs.columns)
     steps = [
         counter(vocabulary, text_column),
         remember,
-        edit_finder(patterns, text_column),
-        recounter(vocabulary, "edits", text_column),
+        edit_finder(patterns, text_column, edits),
+        recounter(vocabulary, edits, text_column),
     ]
     fields = [*COUNTED, T.StructField("tokens_before", T.LongType()), *RECOUNTED]
     return mapped(docs, steps, fields, keep)

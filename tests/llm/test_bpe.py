@@ -135,3 +135,12 @@ def test_the_wider_of_two_edits_with_one_start_wins(spark, documents):
     assert found.n_tokens == len(LIBRARY.encode_ordinary(found.text))
     edits = [{"start": 3, "stop": stop, "replacement": new} for stop, new in ((5, "a"), (3, "b"), (9, "c"))]
     assert token_counts.usable_edits(edits, 20) == [(3, 3, "b"), (3, 9, "c")]
+
+
+def test_an_edits_column_of_the_input_stays(spark):
+    docs = spark.createDataFrame([(1, "a  b!!", "mine", 9)], "doc_id long, text string, edits string, N_TOKENS int")
+    vocabulary = bpe.Vocabulary(spark, PATH)
+    found = token_counts.count_edited(docs, vocabulary, [(r"!{2,}", "!")])
+    assert found.columns.count("edits") == 1 and "N_TOKENS" not in found.columns
+    row = found.first()
+    assert (row.edits, row.text, row.n_edits) == ("mine", "a  b!", 1)

@@ -183,3 +183,14 @@ def test_the_pipeline_keeps_one_of_each_group_and_clean_documents(spark, staging
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "pii", "packing"]
     for _, stage in corpus_pipeline.STAGES[:3]:
         assert stage(spark, docs, folder).columns == docs.columns
+
+
+def test_surrogates_leave_clashing_columns_alone(spark, staging):
+    docs = spark.createDataFrame(
+        [(1, "mail ab.42@mail8.example.com", 7, "mine", "kept", 3), (2, "none", 8, "own", "too", 4)],
+        "doc_id long, text string, pii_row int, pii_entities string, kind string, N_Entities int",
+    )
+    found = surrogates.replace_pii(docs, KEY, staging)
+    assert found.columns == ["doc_id", "text", "pii_row", "pii_entities", "kind", "n_entities"]
+    got = sorted(rows(found, "doc_id", "pii_row", "pii_entities", "kind", "n_entities"))
+    assert got == [(1, 7, "mine", "kept", 1), (2, 8, "own", "too", 0)]

@@ -119,3 +119,23 @@ def test_repeated_rows_extra_columns_and_empty_tables(documents):
     docs = documents("mit license", "mit license", ids=[4, 4]).withColumnRenamed("lang", "labels")
     assert rows(license_scan.license_scan(docs), "doc_id", "n_base") == [(4, 1), (4, 1)]
     assert license_scan.license_scan(docs.limit(0)).count() == 0
+
+
+def test_blocks_find_what_the_whole_text_holds(spark, documents, monkeypatch):
+    import random
+
+    rnd = random.Random(8)
+    parts = ["licensed under the apache license version 2.0", "mit license", "gnu general public license v3", "word", "under the", "all rights reserved"]
+    texts = [" ".join(rnd.choice(parts) for _ in range(n)) for n in (0, 1, 5, 40, 150, 400)]
+    whole = sorted(rows(license_scan.detect(documents(*texts)), "doc_id", "detections"))
+    monkeypatch.setattr(license_scan, "BLOCK", 7)
+    assert sorted(rows(license_scan.detect(documents(*texts)), "doc_id", "detections")) == whole
+    assert sum(len(found) for _, found in whole) > 100
+
+
+def test_a_very_long_text_and_clashing_columns(spark):
+    n = 100_000
+    text = "licensed under the mit license with words " * (n // 7)
+    docs = spark.createDataFrame([(1, text, 5, "x")], "doc_id long, text string, detections int, signature_words string")
+    (row,) = license_scan.license_scan(docs).collect()
+    assert (row.n_words, row.n_base, row.labels, len(row.detections)) == (n // 7 * 7, n // 7, "mit", n // 7)
