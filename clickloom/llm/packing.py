@@ -45,8 +45,12 @@ REMEMBERED = 600_000
 LONGEST_REMEMBERED = 64
 PARTITION_SHIFT = 33
 # Signs that end a word stand apart from it in the tokenizer as well, if what is before them is
-# surely a letter or digit after normalising: Latin ones, but for the dotted capital I.
-TRAILING = re.compile("(.*[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])([.,;:!?]+)", re.DOTALL)
+# surely a letter or digit after normalising: Latin ones, but for the dotted capital I. Special tokens
+# end with another sign, so they are never cut.
+TRAILING = "!\"#$%&'()*+,-./:;=?@[\\]^_`{|}~"
+BEFORE = re.compile("[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]")
+# What every special token begins with.
+SPECIAL = "<|"
 # Signs that are white space to `str.split` alone; the tokenizer encodes them.
 ENCODED_SEPARATORS = "\x1c\x1d\x1e\x1f"
 WORD = re.compile(f"[^{''.join(map(chr, WHITE_SPACE))}]+")
@@ -83,6 +87,26 @@ def words_of(text: str) -> list[str]:
     return text.split()
 
 
+def lowered(text: str) -> str:
+    """The text in lower case where the tokenizer makes the same of both: its composed form is taken
+    before its small letters, which depend on no context there. Special tokens are told by case."""
+    if SPECIAL in text:
+        return text
+    small = text.lower()
+    if text.isascii():
+        return small
+    alike = is_normalized("NFC", text) and "\u03a3" not in text and "\u0130" not in text
+    return small if alike and is_normalized("NFC", small) else text
+
+
+def parted(word: str) -> tuple[str, str]:
+    """A word and the signs at its end that the tokenizer sets apart from it."""
+    core = word.rstrip(TRAILING)
+    if not core or not BEFORE.match(core[-1]):
+        return word, ""
+    return core, word[len(core) :]
+
+
 def plain_word(word: str) -> bytes | None:
     """The lower-case bytes of a word of letters, where that needs no context; else null."""
     if not word.isalpha() or "\u03a3" in word or not is_normalized("NFC", word):
@@ -93,13 +117,13 @@ def plain_word(word: str) -> bytes | None:
 
 class WordIds(dict):
     """Word between white space to its packed ids. The tokenizer drops white space and nothing
-    reaches across it, so a text's ids are those of its words."""
+    reaches across it, so a text's ids are those of its words. A word without the signs at its end
+    is remembered too, and encoded once for all the signs that follow it."""
 
     def __init__(self, file: TokenizerFile):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(file.broadcast.value)
-        self.tokenizer.encode_special_tokens = True
         self.tails: dict[str, bytes] = {}
         model = json.loads(file.broadcast.value)["model"]
         vocabulary = model["vocab"]
@@ -113,25 +137,18 @@ class WordIds(dict):
 
     def _encode(self, words: list[str]) -> list[bytes]:
         """Words of letters alone are merged together here; the library splits and merges the rest."""
-        cores, tails = [], []
-        for word in words:
-            parts = TRAILING.fullmatch(word) if word[-1] in ".,;:!?" else None
-            cores.append(parts[1] if parts else word)
-            tails.append(self._tail(parts[2]) if parts else b"")
-        plain = [plain_word(core) for core in cores]
-        found = iter(self._merged([core for core in plain if core is not None]))
-        others = [core for core, own in zip(cores, plain, strict=True) if own is None]
-        split = iter(self._split(others))
-        return [
-            (next(split) if own is None else next(found)) + tail
-            for own, tail in zip(plain, tails, strict=True)
-        ]
+        plain = [plain_word(word) for word in words]
+        found = iter(self._merged([word for word in plain if word is not None]))
+        split = iter(self._split([word for word, own in zip(words, plain, strict=True) if own is None]))
+        return [next(split) if own is None else next(found) for own in plain]
 
     def _split(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(word.ids, "<u4").tobytes() for word in found]
 
     def _tail(self, signs: str) -> bytes:
+        if not signs:
+            return b""
         if signs not in self.tails:
             if len(self.tails) >= REMEMBERED:
                 self.tails.clear()
@@ -149,16 +166,31 @@ class WordIds(dict):
         return merge_symbols(ids, lengths, self.pairs)
 
     def __missing__(self, word: str) -> bytes:
-        return self._encode([word])[0]
+        core, signs = parted(word)
+        return self._encode([core])[0] + self._tail(signs)
+
+    def _learn(self, words: list[str]) -> None:
+        ending = {}
+        fresh = set()
+        for word in words:
+            core, signs = parted(word)
+            if signs:
+                ending[word] = core, signs
+            if core not in self:
+                fresh.add(core)
+        cores = list(fresh)
+        self.update(zip(cores, self._encode(cores), strict=True))
+        for word, (core, signs) in ending.items():
+            self[word] = self[core] + self._tail(signs)
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
-        split = [words_of(text) for text in texts]
+        split = [words_of(lowered(text)) for text in texts]
         present = set().union(*split)
         new = [word for word in present if word not in self and len(word) <= LONGEST_REMEMBERED]
         if len(self) + len(new) > REMEMBERED:
             self.clear()
             new = [word for word in present if len(word) <= LONGEST_REMEMBERED]
-        self.update(zip(new, self._encode(new), strict=True))
+        self._learn(new)
         for words in split:
             yield b"".join(map(self.__getitem__, words))
 

@@ -16,7 +16,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @pytest.fixture(scope="module")
 def library():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids + [packing.END_TOKEN]
 
 
@@ -81,3 +80,27 @@ def test_empty_tables_and_repeated_rows(spark, documents):
     docs = documents("same", "same", ids=[1, 1])
     assert sum(n for (n,) in rows(packing.pack(docs, file), "length")) == 4
     assert packing.pack(docs.limit(0), file).count() == 0
+
+
+ALPHABETS = [
+    "aBzÉéW\u030aẘΣσİıſǅK\u1e9e", "'.,!?;:$%*-_()<>|@#&", "0９٣²½中한ア😀\u200d\u0301", " \n\t\x1c\u3000",
+]
+
+
+def test_ids_are_the_library_s_whatever_ends_a_word(library):
+    class File:
+        class broadcast:
+            value = open(PATH, encoding="utf-8").read()
+
+    words = packing.WordIds(File)
+    rnd = random.Random(5)
+    special = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "it's", "I'LL'"]
+    texts = ["a <|endoftext|> b", "WORD<|endoftext|>...", "W\u030a.", "word's'", "A.B.", "x" * 5000 + "!!", "<|endoftext|>" * 3]
+    for _ in range(1500):
+        signs = rnd.choice([*ALPHABETS, "".join(ALPHABETS)]) + rnd.choice(ALPHABETS)
+        parts = [rnd.choice([rnd.choice(signs), rnd.choice(signs), rnd.choice(special)]) for _ in range(rnd.randint(1, 14))]
+        texts.append("".join(parts))
+    end = [packing.END_TOKEN]
+    for text, ids in zip(texts, words.texts(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() + end == library(text), text
+    assert np.frombuffer(next(words.texts(["a <|endoftext|> b"])), "<u4").tolist() == [320, 49407, 321]
