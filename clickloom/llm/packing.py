@@ -23,6 +23,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 from unicodedata import is_normalized
 
 import numpy as np
@@ -47,8 +48,9 @@ PARTITION_SHIFT = 33
 # Signs that end a word stand apart from it in the tokenizer as well, if what is before them is
 # surely a letter or digit after normalising: Latin ones, but for the dotted capital I. Special tokens
 # end with another sign, so they are never cut.
-TRAILING = "!\"#$%&'()*+,-./:;=?@[\\]^_`{|}~"
-BEFORE = re.compile("[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]")
+SIGNS = "[!-/:;=?@\\[-`{|}~]"
+BEFORE = "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]"
+TRAILING = re.compile(f"{SIGNS}(?<={BEFORE}{SIGNS}){SIGNS}*(?=[ \n]|\\Z)")
 # What every special token begins with.
 SPECIAL = "<|"
 # Signs that are white space to `str.split` alone; the tokenizer encodes them.
@@ -81,7 +83,8 @@ def byte_signs() -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    """What stands between the tokenizer's white space."""
+    """What stands between the tokenizer's white space, and signs that end words by themselves."""
+    text = TRAILING.sub(r" \g<0>", text)
     if any(sign in text for sign in ENCODED_SEPARATORS):
         return WORD.findall(text)
     return text.split()
@@ -99,14 +102,6 @@ def lowered(text: str) -> str:
     return small if alike and is_normalized("NFC", small) else text
 
 
-def parted(word: str) -> tuple[str, str]:
-    """A word and the signs at its end that the tokenizer sets apart from it."""
-    core = word.rstrip(TRAILING)
-    if not core or not BEFORE.match(core[-1]):
-        return word, ""
-    return core, word[len(core) :]
-
-
 def plain_word(word: str) -> bytes | None:
     """The lower-case bytes of a word of letters, where that needs no context; else null."""
     if not word.isalpha() or "\u03a3" in word or not is_normalized("NFC", word):
@@ -117,14 +112,12 @@ def plain_word(word: str) -> bytes | None:
 
 class WordIds(dict):
     """Word between white space to its packed ids. The tokenizer drops white space and nothing
-    reaches across it, so a text's ids are those of its words. A word without the signs at its end
-    is remembered too, and encoded once for all the signs that follow it."""
+    reaches across it, so a text's ids are those of its words."""
 
     def __init__(self, file: TokenizerFile):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(file.broadcast.value)
-        self.tails: dict[str, bytes] = {}
         model = json.loads(file.broadcast.value)["model"]
         vocabulary = model["vocab"]
         merges = [pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"]]
@@ -146,15 +139,6 @@ class WordIds(dict):
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(word.ids, "<u4").tobytes() for word in found]
 
-    def _tail(self, signs: str) -> bytes:
-        if not signs:
-            return b""
-        if signs not in self.tails:
-            if len(self.tails) >= REMEMBERED:
-                self.tails.clear()
-            self.tails[signs] = self._split([signs])[0]
-        return self.tails[signs]
-
     def _merged(self, words: list[bytes]) -> list[bytes]:
         if not words:
             return []
@@ -166,31 +150,16 @@ class WordIds(dict):
         return merge_symbols(ids, lengths, self.pairs)
 
     def __missing__(self, word: str) -> bytes:
-        core, signs = parted(word)
-        return self._encode([core])[0] + self._tail(signs)
-
-    def _learn(self, words: list[str]) -> None:
-        ending = {}
-        fresh = set()
-        for word in words:
-            core, signs = parted(word)
-            if signs:
-                ending[word] = core, signs
-            if core not in self:
-                fresh.add(core)
-        cores = list(fresh)
-        self.update(zip(cores, self._encode(cores), strict=True))
-        for word, (core, signs) in ending.items():
-            self[word] = self[core] + self._tail(signs)
+        return self._encode([word])[0]
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         split = [words_of(lowered(text)) for text in texts]
-        present = set().union(*split)
-        new = [word for word in present if word not in self and len(word) <= LONGEST_REMEMBERED]
+        present = [word for word in set().union(*split) if len(word) <= LONGEST_REMEMBERED]
+        new = list(filterfalse(self.__contains__, present))
         if len(self) + len(new) > REMEMBERED:
             self.clear()
-            new = [word for word in present if len(word) <= LONGEST_REMEMBERED]
-        self._learn(new)
+            new = present
+        self.update(zip(new, self._encode(new), strict=True))
         for words in split:
             yield b"".join(map(self.__getitem__, words))
 
