@@ -16,6 +16,9 @@ differ stands for an element that only one set has. Within a tile that is a shor
 length, then for each pair left one as long as its sets need. What both bounds let through is
 intersected exactly, as sorted arrays of 64-bit hashes. Pairs within a component need no comparison.
 
+Each round's tables are removed when the round is over, and the driver is told to let go of its
+finished jobs, so that the executors' disks hold the shuffles of a round and not of all of them.
+
 Tiles are found by the first 64 bits of a node's 128; equal ones only add comparisons.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; its
@@ -26,7 +29,9 @@ an empty result.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -361,25 +366,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, staging: St
     return _filtered(left, sets, "shingles", overlapping, staging)
 
 
+@contextmanager
+def _passing(staging: Staging) -> Iterator[Staging]:
+    """Tables that are removed at the end, as are the shuffle files of jobs that nothing refers to."""
+    with Staging(staging.spark) as scratch:
+        yield scratch
+    gc.collect()
+    staging.spark.sparkContext._jvm.System.gc()
+
+
 def components(links: DataFrame, staging: Staging) -> DataFrame:
     """(node, label): for every node with a link the smallest node of its component. Labels
     spread along links and are then followed once, so that chains shorten by half."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = staging.put(both.distinct(), "both")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("nearest"))
-    labels = staging.put(labels.select("node", F.least("node", "nearest").alias("label")), "labels")
-    while True:
-        of_b = labels.select(F.col("node").alias("b"), F.col("label").alias("offered"))
-        offers = both.join(of_b, "b").groupBy(F.col("a").alias("node")).agg(F.min("offered").alias("offered"))
-        spread = labels.join(offers, "node").select("node", "label", F.least("label", "offered").alias("next"))
-        targets = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        jumped = spread.join(targets, "next").select(
-            "node", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("moved")
-        )
-        stepped = staging.put(jumped, "labels")
-        labels = stepped.select("node", "label")
-        if stepped.filter("moved").isEmpty():
-            return labels
+    with _passing(staging) as scratch:
+        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = scratch.put(both.distinct(), "both")
+        labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("nearest"))
+        labels = scratch.put(labels.select("node", F.least("node", "nearest").alias("label")), "labels")
+        while True:
+            of_b = labels.select(F.col("node").alias("b"), F.col("label").alias("offered"))
+            offers = both.join(of_b, "b").groupBy(F.col("a").alias("node")).agg(F.min("offered").alias("offered"))
+            spread = labels.join(offers, "node").select("node", "label", F.least("label", "offered").alias("next"))
+            targets = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
+            jumped = spread.join(targets, "next").select(
+                "node", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("moved")
+            )
+            stepped = scratch.put(jumped, "labels")
+            labels = stepped.select("node", "label")
+            if stepped.filter("moved").isEmpty():
+                return staging.put(labels, "components")
 
 
 def _signed(
@@ -480,24 +495,34 @@ def _labels(
     rows: DataFrame, full: DataFrame, staging: Staging, n: int, bands: Bands, block: int
 ) -> DataFrame:
     """(node, label) of all nodes that are linked with another one."""
+    with _passing(staging) as scratch:
+        return staging.put(_linked(rows, full, scratch, n, bands, block), "labels")
+
+
+def _linked(
+    rows: DataFrame, full: DataFrame, staging: Staging, n: int, bands: Bands, block: int
+) -> DataFrame:
     num, den = bands.num, bands.den
-    shared = _shared_tiles(rows, full, staging, n, bands)
-    leading = full.groupBy("node").agg(F.min("short").alias("short"), F.min("id").alias("id"))
-    leading = leading.join(shared.select("short").distinct(), "short", "left_semi")
-    leading = staging.put(leading, "leading")
-    chosen = rows.join(leading.select(F.col("id").alias("chosen")), F.col("id").eqNullSafe(F.col("chosen")), "left_semi")
-    sets = mapped(chosen.select("text"), [shingler(n, "text")], SHINGLED, keep=[])
-    sets = sets.join(leading.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    sets = staging.put(sets, "sets")
+    with _passing(staging) as scratch:
+        shared = _shared_tiles(rows, full, scratch, n, bands)
+        leading = full.groupBy("node").agg(F.min("short").alias("short"), F.min("id").alias("id"))
+        leading = leading.join(shared.select("short").distinct(), "short", "left_semi")
+        leading = scratch.put(leading, "leading")
+        chosen = leading.select(F.col("id").alias("chosen"))
+        chosen = rows.join(chosen, F.col("id").eqNullSafe(F.col("chosen")), "left_semi")
+        sets = mapped(chosen.select("text"), [shingler(n, "text")], SHINGLED, keep=[])
+        sets = sets.join(leading.select("node"), "node", "left_semi").dropDuplicates(["node"])
+        sets = staging.put(sets, "sets")
+        members = shared.join(leading.select("short", "node"), "short").select("tile", "node").distinct()
+        members = staging.put(members, "members")
     sized = sets.select("node", "n", *BITS)
-    members = staging.put(shared.join(leading.select("short", "node"), "short").select("tile", "node").distinct(), "members")
 
-    links, labels, pivots = None, None, 0
-    crowded = members.withColumn("label", F.col("node"))
+    links, labels, crowded, pivots = None, None, members.withColumn("label", F.col("node")), 0
     while True:
-        pairs = _pivot_pairs(crowded, pivots).join(_named(sized, "a"), "node_a").join(_named(sized, "b"), "node_b")
-        pairs = pairs.filter(_bound(num, den)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        found = _verified(staging.put(pairs, "pairs"), sets, num, den, staging)
+        with _passing(staging) as scratch:
+            pairs = _pivot_pairs(crowded, pivots).join(_named(sized, "a"), "node_a").join(_named(sized, "b"), "node_b")
+            pairs = pairs.filter(_bound(num, den)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+            found = staging.put(_verified(scratch.put(pairs, "pairs"), sets, num, den, scratch), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links, staging)
         pivots += 1
@@ -512,12 +537,14 @@ def _labels(
             break
         crowded = staging.put(labelled.join(crowds.select("tile"), "tile"), "crowded")
 
-    open_members = labelled.join(open_tiles, "tile")
-    own_tiles = open_members.groupBy("node").agg(F.collect_list("tile").alias("tiles"))
-    unsettled = staging.put(open_members.join(sized, "node").join(own_tiles, "node"), "unsettled")
-    if unsettled.isEmpty():
-        return labels
-    more = _verified(staging.put(_compared(unsettled, num, den, block), "more"), sets, num, den, staging)
+    with _passing(staging) as scratch:
+        open_members = labelled.join(open_tiles, "tile")
+        own_tiles = open_members.groupBy("node").agg(F.collect_list("tile").alias("tiles"))
+        unsettled = scratch.put(open_members.join(sized, "node").join(own_tiles, "node"), "unsettled")
+        if unsettled.isEmpty():
+            return labels
+        compared = scratch.put(_compared(unsettled, num, den, block), "more")
+        more = staging.put(_verified(compared, sets, num, den, scratch), "links")
     return components(links.unionByName(more), staging)
 
 
