@@ -35,22 +35,83 @@ def test_held_out_accuracy(spark):
     assert all(0 <= s <= 1 for (s,) in rows(found, "score"))
 
 
-def test_views_teach_each_other():
-    import numpy as np
+SOUNDS = {"en": ("bdfgk", "aeiou"), "xx": ("πρστλ", "αεηιο")}
+
+
+def two_languages(spark):
+    """Labels for English only; sites tell of quality in both languages, but for one that has either."""
+    rnd, docs, good = random.Random(3), [], []
+    for i in range(900):
+        lang = "en" if i % 2 else "xx"
+        good.append(rnd.random() < 0.5)
+        first, then = SOUNDS[lang]
+        ends = ("n", "r") if good[i] else ("m", "l")
+        words = [rnd.choice(first) + rnd.choice(then) + rnd.choice(ends) for _ in range(40)]
+        site = "mixed" if i % 3 == 0 else "fine" if good[i] else "poor"
+        docs.append((i, " ".join(words), lang, site, None))
+    labels = [(i, int(good[i])) for i in range(900) if i % 2]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    return good, spark.createDataFrame(docs, schema), spark.createDataFrame(labels, "doc_id long, quality int")
+
+
+def test_a_language_without_labels_is_learned_by_exchange(spark):
+    good, docs, labels = two_languages(spark)
+    unseen = docs.filter("lang = 'xx' and source = 'mixed'")
+
+    def accuracy(rounds):
+        found = rows(cotraining.score(unseen, cotraining.train(docs, labels, rounds=rounds)), "doc_id", "content_score")
+        return sum((score > 0.5) == good[i] for i, score in found) / len(found)
+
+    alone, taught = accuracy(0), accuracy(2)
+    assert taught >= 0.95 and taught > alone + 0.2
 
-    rnd = np.random.default_rng(1)
-    truth = rnd.random(2000) < 0.5
-    views = [np.where(truth, 1.0, -1.0)[:, None] + rnd.normal(size=(2000, 4)) for _ in range(2)]
-    few = slice(0, 12)
-    alone, taught = (
-        cotraining.cotrain([v[few] for v in views], truth[few].astype(float), [v[12:] for v in views], rounds)
-        for rounds in (0, 4)
-    )
-    def accuracy(models):
-        odds = sum(m.raw(v) for m, v in zip(models, views, strict=True))
-        return ((odds > 0) == truth).mean()
 
-    assert accuracy(taught) >= accuracy(alone) - 0.01
+def test_the_whole_table_may_teach_and_partitions_do_not_matter(spark, staging):
+    _, docs, labels = two_languages(spark)
+    one, many = (cotraining.train(docs.repartition(n), labels, rounds=1) for n in (1, 7))
+    for view in ("content", "metadata"):
+        first, second = getattr(one, view), getattr(many, view)
+        assert (first.weights == second.weights).all() and (first.slope, first.shift) == (second.slope, second.shift)
+    assert (one.cut, one.prior) == (many.cut, many.prior)
+    names = [field.name for field in cotraining.FEATURES]
+    pool = staging.put(cotraining.mapped(docs, [cotraining.featurer], cotraining.FEATURES, keep=["doc_id"]), "pool")
+    models = [one.content, one.metadata]
+    edges = cotraining.limits(pool, models, 1.0)
+    taught = cotraining.mapped(pool, [cotraining.teacher(models, edges)], cotraining.TAUGHT, keep=names)
+    # With a share of one, all that either view is sure of is taught; sites make it sure of two thirds.
+    assert taught.count() >= 600
+
+
+def test_gradients_of_the_table_equal_those_of_its_rows(spark):
+    import numpy as np
+
+    _, docs, _ = two_languages(spark)
+    taught = cotraining.mapped(docs, [cotraining.featurer], cotraining.FEATURES, keep=["doc_id"])
+    lessons = taught.selectExpr("*", "cast(doc_id % 3 - 1 as int) content_taught", "cast(doc_id % 2 as int) metadata_taught")
+    rnd = np.random.default_rng(5)
+    weights = [cotraining.rounded(rnd.normal(size=places)) for places in cotraining.PLACES]
+    found = cotraining.gradients(lessons)(weights)
+    local = lessons.toPandas()
+    views = cotraining.views_of({f.name: list(local[f.name]) for f in cotraining.FEATURES})
+    for view, name in enumerate(cotraining.VIEWS):
+        target = local[f"{name}_taught"].to_numpy()
+        dense = np.zeros((len(local), cotraining.PLACES[view]))
+        lengths = np.diff(np.append(views[view].starts, len(views[view].at)))
+        dense[np.repeat(np.arange(len(local)), lengths), views[view].at] = views[view].by / 255
+        for label in (0, 1):
+            own = dense[target == label]
+            raw = own @ (weights[view] / cotraining.UNIT)
+            n, loss, sums = found[view][label]
+            assert n == len(own)
+            assert abs(loss / cotraining.UNIT - np.logaddexp(0, raw if label == 0 else -raw).sum()) < 0.01
+            slope = (cotraining.logistic(raw) - label) @ own
+            assert np.abs(sums / (cotraining.UNIT * cotraining.ONE) - slope).max() < 0.01
+
+
+def test_labels_are_drawn_by_class(spark):
+    _, docs, labels = labelled(spark, 400, 1.0)
+    rare = labels.withColumn("quality", F.when(F.col("doc_id") == 7, 0).otherwise(1))
+    assert cotraining.train(docs, rare, labelled=20, rounds=1) is not None
 
 
 def test_without_labels_everything_is_kept(spark):
@@ -73,6 +134,20 @@ def test_null_and_empty_documents_are_scored_alike(spark):
     assert scores[1] == scores[2] and len(scores) == 3
 
 
+def test_odd_ids_and_clashing_columns(spark):
+    _, docs, labels = labelled(spark, 120)
+    odd = spark.createDataFrame([(None, "no id", "en", "s", 1), (0, "other text", None, None, None), (0, "x", "en", "s", 2)], docs.schema)
+    every = docs.unionByName(odd)
+    unknown = labels.unionByName(spark.createDataFrame([(None, 1, 0), (3, None, 0), (10**9, 0, 0)], labels.schema))
+    first, again = (cotraining.train(every.repartition(n), unknown, rounds=1) for n in (1, 5))
+    assert (first.content.weights == again.content.weights).all()
+    clashing = every.selectExpr("*", "'k' Keep", "'s' score", "1 label", "2 content_at")
+    found = cotraining.score(clashing, first)
+    assert found.columns == [*docs.columns, "label", "content_at", "content_score", "metadata_score", "score", "keep"]
+    assert found.count() == 123 and found.filter("keep is null or score is null").count() == 0
+    assert cotraining.train(docs.limit(0), labels) is None
+
+
 KEY = b"test"
 PRIVATE = [
     "Mr. John Smith wrote to ab.42@mail8.example.com from 42.144.35.254. Smith agreed, SMITHY did not.",
