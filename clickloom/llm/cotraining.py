@@ -36,12 +36,12 @@ from clickloom.llm.arrow import Step, mapped, with_columns
 from clickloom.sources.staging import Staging
 
 LABELLED = 4_000
-ROUNDS = 2
+ROUNDS = 3
 CONFIDENT = 0.95
 # Share of the table that may be taught per class; each round adds as much again.
 SHARE = 0.05
 # Steps of training before the first round, and with the table's gradients in each round.
-STEPS, ROUND_STEPS = 60, 4
+STEPS, ROUND_STEPS = 60, 8
 PENALTY = 1e-5
 # Share of held-out good documents that the cut must keep.
 KEEP_GOOD = 0.995
