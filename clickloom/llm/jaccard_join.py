@@ -61,6 +61,7 @@ BAND_GROWTH = 1.5
 REMEMBERED = 200_000
 LONGEST_REMEMBERED = 64
 SHORT_SEED = 77
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 BITS = [f"bits{i}" for i in range(BITMAP)]
 SIGNED = [
@@ -141,6 +142,12 @@ class Bands:
         """One more than linked sets, the larger of this band, can differ in."""
         return 2 * (self.end(band) - 1) * (self.den - self.num) // (self.den + self.num) + 1
 
+    def told(self, size: int, band: int) -> int:
+        """Parts by which a set is found in a band: one more than it can differ in from the largest
+        linked set there."""
+        largest = min(self.end(band) - 1, size * self.den // self.num)
+        return (size + largest) * (self.den - self.num) // (self.den + self.num) + 1
+
 
 @lru_cache(maxsize=256)
 def _edges(parts: int) -> np.ndarray:
@@ -148,7 +155,11 @@ def _edges(parts: int) -> np.ndarray:
 
 
 def tile_keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    """For each part of each band: what the set holds of it, as one number."""
+    """What the set holds of a part, as one number, for the parts of each band that hold most of it.
+    Linked sets differ in fewer parts than either tells. Of the parts in which they agree, take the
+    first in an order that both share, by number of elements and key: what comes before it in one set
+    is no part of the other, so both tell it. Thus no key stands for a part that is empty as long as
+    fuller ones suffice."""
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(hashes), dtype=np.uint64)])
     keys = []
     for band in bands.of(len(hashes)):
@@ -156,7 +167,9 @@ def tile_keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
         cuts = np.concatenate([[0], np.searchsorted(hashes, _edges(parts)), [len(hashes)]])
         held = sums[cuts[1:]] - sums[cuts[:-1]]
         place = np.arange(parts, dtype=np.uint64) + np.uint64(band << 32) + np.uint64(1)
-        keys.append(mixed(held + mixed(place)))
+        held = mixed(held + mixed(place))
+        told = bands.told(len(hashes), band)
+        keys.append(held[np.lexsort((held, cuts[:-1] - cuts[1:]))[:told]] if told < parts else held)
     return np.concatenate(keys)
 
 
@@ -288,7 +301,7 @@ def signer(n: int, bands: Bands, text_column: str) -> Step:
             sets = [shingles(text, n) for text in batch.column(text_column).to_pylist()]
             nodes = [node_of(s) if len(s) else None for s in sets]
             short = [None if node is None else short_of(node) for node in nodes]
-            tiles = [sum(bands.parts(band) for band in bands.of(len(s))) if len(s) else 0 for s in sets]
+            tiles = [sum(bands.told(len(s), band) for band in bands.of(len(s))) if len(s) else 0 for s in sets]
             yield with_columns(
                 batch,
                 {
@@ -337,6 +350,8 @@ def _bound(num: int, den: int) -> Column:
 
 def _filtered(pairs: DataFrame, sets: DataFrame, column: str, linked, staging: Staging) -> DataFrame:
     """The pairs (a, b) for which `linked` holds, given their sizes and one binary column."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    sets = sets.join(nodes.distinct(), "node", "left_semi")
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col(column).alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col(column).alias("right"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "left", "right")
@@ -368,9 +383,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, staging: St
 
 @contextmanager
 def _passing(staging: Staging) -> Iterator[Staging]:
-    """Tables that are removed at the end, as are the shuffle files of jobs that nothing refers to."""
-    with Staging(staging.spark) as scratch:
-        yield scratch
+    """Tables that are removed at the end. Meanwhile shuffle files go as soon as what needed them is
+    written; those of jobs that nothing refers to go at the end."""
+    conf = staging.spark.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        with Staging(staging.spark) as scratch:
+            yield scratch
+    finally:
+        conf.set(CLEANUP, before)
     gc.collect()
     staging.spark.sparkContext._jvm.System.gc()
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -89,6 +90,42 @@ def test_any_linked_sets_share_a_tile():
             assert differ <= len(one) + len(other) - 2 * both
 
 
+def test_unlike_sets_do_not_meet_in_empty_parts():
+    rnd = np.random.default_rng(8)
+    for num, den in ((90, 100), (80, 100)):
+        bands = jj.Bands(num, den)
+        sets = [np.unique(rnd.integers(0, 2**63, int(rnd.integers(40, 400))).astype(np.uint64) * np.uint64(2)) for _ in range(300)]
+        keys = np.concatenate([np.unique(jj.tile_keys(one, bands)) for one in sets])
+        assert len(np.unique(keys)) > 0.99 * len(keys)
+        told = [sum(bands.told(len(one), band) for band in bands.of(len(one))) for one in sets]
+        assert [len(jj.tile_keys(one, bands)) for one in sets] == told
+
+
+def test_shuffle_files_go_as_soon_as_a_table_is_written(spark, documents, staging, monkeypatch):
+    kept, put = {}, jj.Staging.put
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f for f in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+
+    def putting(self, frame, name):
+        before = shuffled()
+        out = put(self, frame, name)
+        deadline = time.monotonic() + 10
+        while (left := shuffled() - before) and time.monotonic() < deadline:
+            time.sleep(0.05)
+        kept[name] = kept.get(name, 0) + len(left)
+        return out
+
+    monkeypatch.setattr(jj.Staging, "put", putting)
+    before = spark.conf.get(jj.CLEANUP)
+    found = jj.jaccard_components(documents(*corpus(1)), staging)
+    assert {"shared", "sets", "members", "pairs", "components", "labels"} <= set(kept)
+    assert not any(kept.values())
+    assert spark.conf.get(jj.CLEANUP) == before
+    assert sorted(rows(found)) == brute(corpus(1), 3, 90, 100)
+
+
 def test_chains_repeated_rows_null_ids_and_empty_tables(spark, documents, staging):
     docs = documents("a b c d", "a b c d", "a b c d", "x y z", None, ids=[7, 7, None, 9, 3])
     found = jj.jaccard_components(docs, staging)
