@@ -2,7 +2,8 @@
 
 Sets that are equal are one node. Sizes fall into bands; a band's hash space is cut into one part
 more than two linked sets of the band can differ in elements, so that any two linked sets agree
-in at least one part. A tile holds the nodes of a band that agree in a part. Passages that many
+in at least one part; of these each set tells only its fullest, as many as that needs. A tile holds
+the nodes of a band that agree in a part. Passages that many
 documents share do not fill a tile, since the rest of the part must agree as well.
 
 Tile keys are not stored. A pass over the texts packs (tile, node) into one binary row per bucket of
@@ -16,8 +17,8 @@ differ stands for an element that only one set has. Within a tile that is a shor
 length, then for each pair left one as long as its sets need. What both bounds let through is
 intersected exactly, as sorted arrays of 64-bit hashes. Pairs within a component need no comparison.
 
-Each round's tables are removed when the round is over, and the driver is told to let go of its
-finished jobs, so that the executors' disks hold the shuffles of a round and not of all of them.
+Each round's tables are removed when the round is over, and shuffle files as soon as the table that
+needed them is written, so that the executors' disks hold the shuffles of one table and not of all.
 
 Tiles are found by the first 64 bits of a node's 128; equal ones only add comparisons.
 
