@@ -66,7 +66,8 @@ def daily_kpis(log: DataFrame, day: Column | None = None) -> DataFrame:
 def _with_session(log: DataFrame, sessions: DataFrame, columns: list[str]) -> DataFrame:
     """Event counts per (session, user), joined to the session's attributes. Counting first
     leaves one row per session and user to shuffle, however busy a session is."""
-    counts = log.groupBy("session_id", "user_id").agg(F.sum(_times(log)).alias("n_events"))
+    events = F.sum("n_events") if "n_events" in log.columns else F.count(F.lit(1))
+    counts = log.groupBy("session_id", "user_id").agg(events.alias("n_events"))
     return counts.join(sessions.select("session_id", *columns), "session_id")
 
 
